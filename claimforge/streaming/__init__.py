@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The modelled workload (corpus construction, batch scoring, run aggregation and
+reporting) has no stream, watermark, windowed aggregate or state.  Users who
+need one have Structured Streaming directly; no wrapper is added here.
+"""
