@@ -11,14 +11,28 @@ from pyspark.sql import functions as F
 
 RESULT_KEYS = ["model", "shot", "SPC", "PPC", "excluded", "dataset"]
 
+MEAN_SCALE = 9
+
+
+def exact_mean(c, scale: int = MEAN_SCALE) -> Column:
+    """Mean from an exact decimal sum: the same bits under any partitioning or task order.
+
+    A floating-point ``avg`` depends on the order partial sums are combined in, so a
+    report could change in its last digit when the cluster re-plans.  Values are summed
+    as ``decimal(38, scale)`` and divided once.
+    """
+    col = c if isinstance(c, Column) else F.col(c)
+    n = F.count(col)
+    return F.when(n > 0, F.sum(col.cast(f"decimal(38,{scale})")).cast("double") / n)
+
 
 def run_summary(runs: DataFrame, keys=("model_no",) + tuple(RESULT_KEYS)) -> DataFrame:
     """G1: mean accuracy, sample std (NULL for one run) and mean examples/s per key."""
     keys = list(keys)
     return runs.groupBy(*keys).agg(
-        F.avg("accuracy").alias("Mean"),
+        exact_mean("accuracy").alias("Mean"),
         F.stddev_samp("accuracy").alias("std"),
-        F.avg(F.col("n_examples") / F.col("seconds")).alias("speed"),
+        exact_mean(F.col("n_examples") / F.col("seconds")).alias("speed"),
     )
 
 
@@ -31,20 +45,20 @@ def pooled_std(col: str = "std") -> Column:
 def pooled_summary(summary: DataFrame, keys=tuple(RESULT_KEYS)) -> DataFrame:
     """Over models of one configuration: mean of means, pooled std, mean speed - one aggregate."""
     return summary.groupBy(*keys).agg(
-        F.avg("Mean").alias("Mean"), pooled_std("std").alias("std"), F.avg("speed").alias("speed")
+        exact_mean("Mean").alias("Mean"), pooled_std("std").alias("std"), exact_mean("speed").alias("speed")
     )
 
 
 def macro_average(results: DataFrame, keys, col: str = "Mean") -> DataFrame:
     """Mean over datasets."""
-    return results.groupBy(*keys).agg(F.avg(col).alias(f"macro_{col}"))
+    return results.groupBy(*keys).agg(exact_mean(col).alias(f"macro_{col}"))
 
 
 def group_first_std(results: DataFrame, how: str = "max", by=("dataset",), order=("SPC", "model", "excluded")) -> DataFrame:
     """Per dataset max (or mean) of Mean and the first non-null std in ``order``."""
     by = list(by)
     ordkey = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) if c == "excluded" else F.col(c) for c in order])
-    agg_mean = F.max("Mean") if how == "max" else F.avg("Mean")
+    agg_mean = F.max("Mean") if how == "max" else exact_mean("Mean")
     first_std = F.min_by(F.col("std"), F.when(F.col("std").isNotNull(), ordkey))
     return results.groupBy(*by).agg(agg_mean.alias("Mean"), first_std.alias("std"))
 

@@ -231,8 +231,8 @@ def _scored_sql(datasets):
 _v, _c = _scored_sql(DATASETS)
 register(
     "score_statements",
-    with_ctes(_v, _c, "select dataset, example_id, cand_idx, round(p_true, 6) as p_true from scored"),
-)(lambda spark, root: _scored(spark, root).select("dataset", "example_id", "cand_idx", F.round("p_true", 6).alias("p_true")))
+    with_ctes(_v, _c, "select dataset, example_id, cand_idx, p_true from scored"),
+)(lambda spark, root: _scored(spark, root).select("dataset", "example_id", "cand_idx", "p_true"))
 
 ARGMAX_SQL = (
     "select dataset, example_id, cand_idx as pred, label from (select *, row_number() over "
@@ -280,10 +280,10 @@ _v, _c = _all_preds_sql()
 register(
     "accuracy_by_dataset",
     with_ctes(_v, _c, (
-        "select dataset, round(avg(cast(pred = label as double)), 6) as accuracy, count(*) as n_examples from preds group by dataset"
+        "select dataset, avg(cast(pred = label as double)) as accuracy, count(*) as n_examples from preds group by dataset"
     )),
 )(lambda spark, root: SCR.accuracy_by(_all_preds(spark, root)).select(
-    "dataset", F.round("accuracy", 6).alias("accuracy"), "n_examples"))
+    "dataset", "accuracy", "n_examples"))
 
 _v, _c = _mrpc_pred_sql()
 register(
@@ -294,12 +294,11 @@ register(
             "sum(case when pred = 1 and label <> 1 then 1 else 0 end) as fp, sum(case when pred <> 1 and label = 1 then 1 else 0 end) as fn from mp"
         ),
     )], (
-        "select round(accuracy, 6) as accuracy, round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else CAST(0 AS DOUBLE) end, 6) as f1, "
-        "round(case when tp + fp > 0 then tp / (tp + fp) else CAST(0 AS DOUBLE) end, 6) as precision, "
-        "round(case when tp + fn > 0 then tp / (tp + fn) else CAST(0 AS DOUBLE) end, 6) as recall from bm"
+        "select accuracy, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else CAST(0 AS DOUBLE) end as f1, "
+        "case when tp + fp > 0 then tp / (tp + fp) else CAST(0 AS DOUBLE) end as precision, "
+        "case when tp + fn > 0 then tp / (tp + fn) else CAST(0 AS DOUBLE) end as recall from bm"
     )),
-)(lambda spark, root: SCR.binary_metrics(_mrpc_pred(spark, root)).select(
-    *[F.round(c, 6).alias(c) for c in ["accuracy", "f1", "precision", "recall"]]))
+)(lambda spark, root: SCR.binary_metrics(_mrpc_pred(spark, root)))
 
 
 def _f8(spark, root):
@@ -327,15 +326,14 @@ DEFAULT_COST = 2
 def _f9(spark, root):
     runs = V(spark, root).runs()
     out = SCR.throughput(runs, ("model", "dataset"), cost=COST, default_cost=DEFAULT_COST)
-    return out.select("model", "dataset", F.round("examples_per_s", 6).alias("examples_per_s"),
-                      F.round("statements_per_s", 6).alias("statements_per_s"))
+    return out.select("model", "dataset", "examples_per_s", "statements_per_s")
 
 
 _cost_case = "case dataset " + " ".join(f"when {q(k)} then {v}" for k, v in COST.items()) + f" else {DEFAULT_COST} end"
 register(
     "throughput",
     with_ctes(["V_runs"], [("tp", "select model, dataset, sum(n_examples) / sum(seconds) as eps from V_runs group by model, dataset")],
-              f"select model, dataset, round(eps, 6) as examples_per_s, round(eps * {_cost_case}, 6) as statements_per_s from tp"),
+              f"select model, dataset, eps as examples_per_s, eps * {_cost_case} as statements_per_s from tp"),
 )(_f9)
 
 
