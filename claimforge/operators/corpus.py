@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.operators import builders as B
-from claimforge.operators.sampling import resize_to_n, stratified_exact, union_all
+from claimforge.operators.sampling import count_many, resize_to_n, stratified_exact, union_all
+from claimforge.session import materialize as materialize_df
 from claimforge.operators.templates import CLASS_NAMES, TRAIN_TEMPLATES, choose_templates
 from claimforge.sources.standins import TaskViews
 
@@ -131,28 +132,58 @@ def parse_exclude(exclude) -> list[str]:
     return [t for t in exclude if t]
 
 
-def task_statements(views: TaskViews, task: str, n=DEFAULT_N, ppc=5, seed=42, materialize=True) -> DataFrame:
-    """Resize (B3) and build (C*) one task; no stratified cap yet."""
+def task_source(views: TaskViews, task: str) -> DataFrame:
+    """The prepared builder input of one task (filters before sampling, as the recipe says)."""
     r = RECIPES[task]
     src = getattr(views, r.view)()
     if r.pre_filter is not None:
         src = r.pre_filter(src)
-    src = r.prep(src)
-    sampled = resize_to_n(src, n, seed, f"samp:{task}", materialize=materialize)
-    return _build(task, r, sampled, _chosen(seed, task, r.template_set, ppc), seed, n)
+    return r.prep(src)
+
+
+def build_statements(views: TaskViews, tasks, n=DEFAULT_N, ppc=5, seed=42, materialize=True) -> DataFrame:
+    """Resize (B3) and build (C*) every task; one counting job, one union plan.
+
+    With ``materialize`` the uncapped statements (bounded by tasks x n x templates, whatever
+    the source size) are written once as Parquet, so the stratified passes that follow never
+    rescan the sources.
+    """
+    tasks = list(tasks)
+    if not tasks:
+        raise ValueError("nothing to build: every task is excluded")
+    srcs = {t: task_source(views, t) for t in tasks}
+    sizes = count_many(srcs)
+    parts = []
+    for t in tasks:
+        sampled = resize_to_n(srcs[t], n, seed, f"samp:{t}", n_rows=sizes[t])
+        parts.append(_build(t, RECIPES[t], sampled, _chosen(seed, t, RECIPES[t].template_set, ppc), seed, n))
+    st = union_all(parts)
+    return materialize_df(st, "statements") if materialize else st
+
+
+def task_statements(views: TaskViews, task: str, n=DEFAULT_N, ppc=5, seed=42, materialize=False) -> DataFrame:
+    """Statements of one task, before the stratified cap."""
+    return build_statements(views, [task], n, ppc, seed, materialize)
+
+
+def cap_statements(statements: DataFrame, spc: int, seed=42) -> DataFrame:
+    """Stratified cap of ``min(spc, len)`` statements per task, proportional to is_true (one pass, all tasks)."""
+    return stratified_exact(statements, spc, seed, "strat", ["task", "sample_idx", "template_id"], "is_true", ["task"])
 
 
 def task_corpus(views: TaskViews, task: str, n=DEFAULT_N, ppc=5, spc=4000, seed=42, materialize=True) -> DataFrame:
-    """One task of the corpus: statements capped to ``min(spc, len)`` rows, stratified by is_true."""
-    st = task_statements(views, task, n, ppc, seed, materialize)
-    return stratified_exact(st, spc, seed, f"strat:{task}", ["sample_idx", "template_id"], "is_true")
+    """One task of the corpus."""
+    return cap_statements(build_statements(views, [task], n, ppc, seed, materialize), spc, seed)
 
 
 def build_corpus(views: TaskViews, exclude=None, n=DEFAULT_N, ppc=5, spc=4000, seed=42, tasks=None, materialize=True) -> DataFrame:
-    """C15 + A7: union of every non-excluded task corpus (raises when nothing is left)."""
+    """C15 + A7: union of every non-excluded task corpus; excluded tasks are never read.
+
+    Raises when nothing is left, as concatenating an empty list would.
+    """
     excluded = set(parse_exclude(exclude))
     chosen = [t for t in (tasks or TASKS) if t not in excluded]
-    return union_all(task_corpus(views, t, n, ppc, spc, seed, materialize) for t in chosen)
+    return cap_statements(build_statements(views, chosen, n, ppc, seed, materialize), spc, seed)
 
 
 def corpus_profile(corpus: DataFrame) -> DataFrame:

@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimforge.functions.draws import N_BUCKETS, bucket_of, draw, hash_key
-from claimforge.session import ensure_checkpoint_dir
 
 _ALL = "_cf_all"
 
@@ -52,8 +51,8 @@ def take_first(
     groups missing from the quota frame keep nothing.
     """
     tie_cols = list(tie_cols)
-    d, g = _groups(df.withColumn("_cf_h", order_hex), group_cols)
-    d = d.withColumn("_cf_b", bucket_of(F.col("_cf_h")))
+    d, g = _groups(df, group_cols)
+    d = d.withColumns({"_cf_h": order_hex, "_cf_b": bucket_of(order_hex)})
     hist = d.groupBy(*g, "_cf_b").agg(F.count(F.lit(1)).alias("_cf_n"))
     if isinstance(quota, DataFrame):
         hist = hist.join(quota.select(*g, F.col("quota").alias("_cf_q")), g)
@@ -86,8 +85,8 @@ def take_first(
 def dense_rank(df: DataFrame, order_hex: Column, tie_cols, group_cols=(), name: str = "rank") -> DataFrame:
     """0-based position of every row in ``(order_hex, tie_cols)`` order within its group."""
     tie_cols = list(tie_cols)
-    d, g = _groups(df.withColumn("_cf_h", order_hex), group_cols)
-    d = d.withColumn("_cf_b", bucket_of(F.col("_cf_h")))
+    d, g = _groups(df, group_cols)
+    d = d.withColumns({"_cf_h": order_hex, "_cf_b": bucket_of(order_hex)})
     hist = d.groupBy(*g, "_cf_b").agg(F.count(F.lit(1)).alias("_cf_n"))
     w = Window.partitionBy(*g).orderBy("_cf_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hist.select(*g, "_cf_b", F.coalesce(F.sum("_cf_n").over(w), F.lit(0)).alias("_cf_before"))
@@ -128,14 +127,16 @@ def bootstrap_exact(df: DataFrame, n: int, n_rows: int, seed, salt: str, id_col:
     return picks.join(ranked, "_cf_pos").drop("_cf_pos")
 
 
-def resize_to_n(df: DataFrame, n: int, seed, salt: str, id_col: str = "id", materialize: bool = True) -> DataFrame:
+def resize_to_n(df: DataFrame, n: int, seed, salt: str, id_col: str = "id", n_rows: int | None = None,
+                materialize: bool = False) -> DataFrame:
     """More than ``n`` rows -> exact subsample; ``n`` or fewer -> bootstrap to ``n``.
 
-    One count on the driver chooses the branch.  With ``materialize`` the ``n``-row
-    result is checkpointed to the shared checkpoint folder, so later stages (explode,
-    strata) neither rescan the source nor depend on a lost executor's blocks.
+    ``n_rows`` (the table size) chooses the branch; it is counted when not given (callers
+    resizing many tables count them all in one job).  ``materialize`` writes the ``n``-row
+    result below the checkpoint folder, cutting the lineage back to the source scan.
     """
-    n_rows = df.count()
+    if n_rows is None:
+        n_rows = df.count()
     if n_rows == 0:
         raise ValueError(f"{salt}: source table is empty")
     if n < n_rows:
@@ -144,11 +145,18 @@ def resize_to_n(df: DataFrame, n: int, seed, salt: str, id_col: str = "id", mate
         out = bootstrap_exact(df, n, n_rows, seed, salt, id_col)
     out = out.withColumn("source_id", F.col(id_col).cast("bigint"))
     if materialize:
-        ensure_checkpoint_dir(df.sparkSession)
-        out = out.checkpoint(eager=True)
+        from claimforge.session import materialize as _mat
+
+        out = _mat(out, "resize")
     return out
 
 
+def count_many(frames: dict) -> dict:
+    """Row counts of several tables in one job (one small row per table)."""
+    parts = [df.groupBy().count().withColumn("_name", F.lit(name)) for name, df in frames.items()]
+    return {r["_name"]: r["count"] for r in union_all(parts).collect()}
+
+
 def head_n(df: DataFrame, n: int, order_col: str = "id") -> DataFrame:
     """First ``n`` rows by a key (storage order carries no meaning in Spark)."""
     return df.orderBy(order_col).limit(n)

@@ -1 +1,208 @@
-"""placeholder"""
+"""Ablation sweeps (I1-I5) and replicated evaluation runs."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from claimforge.operators import ablation as AB
+from claimforge.operators import scoring as SCR
+from claimforge.operators.corpus import TASKS, build_corpus, corpus_profile
+from claimforge.plans import sql_corpus as SC
+from claimforge.plans.base import N, PPC, SEED, SPC, V, register
+from claimforge.plans.q_eval import ARGMAX_SQL, K_WAY, TWO_WAY, _eval_long, eval_ctes, p_sql
+from claimforge.plans.sqlviews import q, sql_hash, with_ctes
+
+SPC_SIZES = [1000, 2000, 3000, 4000, 5000]
+PPC_VALUES = [1, 2, 3, 4, 5]
+PPC_SWEEP_SPC = 1000
+N_RUNS = 3
+
+_groups_sql = "[" + ", ".join(q(g) for g in AB.LEAVE_OUT_ORDER) + "]"
+PLAN_SQL = (
+    f"select cast(range as int) as variant, list_slice({_groups_sql}, 1, range) as excluded_list, "
+    f"array_to_string(list_slice({_groups_sql}, 1, range), ',') as excluded from range(0, {len(AB.LEAVE_OUT_ORDER) + 1})"
+)
+
+
+def _corpus_ctes():
+    ctes = []
+    for t in TASKS:
+        ctes += SC.sql_task_corpus(t, N, PPC, SPC, SEED)
+    ctes.append(("corpus", " union all ".join(f"select * from t_{t}_corpus" for t in TASKS)))
+    return ctes
+
+
+def _stm_ctes(ppc=PPC):
+    ctes = []
+    for t in TASKS:
+        ctes += SC.sql_task_statements(t, N, ppc, SEED)
+    ctes.append(("stm", " union all ".join(f"select * from t_{t}_st" for t in TASKS)))
+    return ctes
+
+
+VIEWS = SC.views_for(TASKS)
+
+
+def _profile(s, r):
+    return corpus_profile(build_corpus(V(s, r), None, N, PPC, SPC, SEED))
+
+
+# ---- I1 / I2 ------------------------------------------------------------------------------------
+
+
+def _i1(s, r):
+    plan = AB.ablation_plan(s)
+    prof = _profile(s, r).select("task", "n_statements")
+    # one row per task: bounded broadcast
+    x = plan.crossJoin(F.broadcast(prof)).filter(~F.array_contains("excluded_list", F.col("task")))
+    return x.groupBy("variant", "excluded").agg(
+        F.count(F.lit(1)).alias("n_tasks"), F.sum("n_statements").cast("bigint").alias("n_statements")
+    )
+
+
+register(
+    "ablation_plan",
+    with_ctes(VIEWS, _corpus_ctes() + [
+        ("plan", PLAN_SQL),
+        ("prof", "select task, count(*) as n_statements from corpus group by task"),
+    ], "select variant, excluded, count(*) as n_tasks, cast(sum(n_statements) as bigint) as n_statements from plan "
+       "join prof on not list_contains(excluded_list, task) group by variant, excluded"),
+)(_i1)
+
+
+def _i2(s, r):
+    n_tasks = _profile(s, r).count()
+    return AB.constant_budget(AB.ablation_plan(s), n_tasks).select("variant", "excluded", "n_tasks", "spc")
+
+
+register(
+    "constant_budget",
+    with_ctes(VIEWS, _corpus_ctes() + [("plan", PLAN_SQL), ("nt", "select count(distinct task) as n from corpus")], (
+        "select variant, excluded, cast(n - len(excluded_list) as int) as n_tasks, "
+        f"cast(round(CAST({AB.BUDGET} AS DOUBLE) / (n - len(excluded_list))) as bigint) as spc from plan cross join nt"
+    )),
+)(_i2)
+
+# ---- I3 / I4 / I5 -------------------------------------------------------------------------------
+
+
+def _statements(s, r, ppc=PPC):
+    return AB.all_statements(V(s, r), N, ppc, SEED)
+
+
+def _i3(s, r):
+    plan = AB.constant_budget(AB.ablation_plan(s), len(TASKS))
+    return AB.ablation_corpora(_statements(s, r), plan, SEED)
+
+
+ORDER_SQL = sql_hash(SEED, "strat", "task", "sample_idx", "template_id")
+
+
+def _quota_ctes(p: str, cnt: str, parent: list[str]) -> list[tuple[str, str]]:
+    """Largest-remainder quotas from a CTE with ``parent + [is_true, n, req]``."""
+    part = "partition by " + ", ".join(parent)
+    return [
+        (f"{p}_qa", f"select *, sum(n) over ({part}) as tot from {cnt}"),
+        (f"{p}_qb", f"select *, least(cast(req as bigint), cast(tot as bigint)) as k from {p}_qa"),
+        (f"{p}_qc", f"select *, (k * n) // tot as base, (k * n) % tot as rem from {p}_qb"),
+        (f"{p}_qd", f"select *, k - sum(base) over ({part}) as lft, row_number() over ({part} order by rem desc, is_true) as rr from {p}_qc"),
+        (f"{p}_quota", f"select {', '.join(parent)}, is_true, cast(base + case when rr <= lft then 1 else 0 end as bigint) as quota from {p}_qd"),
+    ]
+
+
+register(
+    "ablation_corpora",
+    with_ctes(VIEWS, _stm_ctes() + [
+        ("plan", PLAN_SQL),
+        ("plan2", f"select variant, excluded_list, cast(round(CAST({AB.BUDGET} AS DOUBLE) / ({len(TASKS)} - len(excluded_list))) as bigint) as spc from plan"),
+        ("cnt0", "select task, is_true, count(*) as n from stm group by task, is_true"),
+        ("cnt", "select p.variant, c.task, c.is_true, c.n, p.spc as req from cnt0 c cross join plan2 p where not list_contains(p.excluded_list, c.task)"),
+    ] + _quota_ctes("ab", "cnt", ["variant", "task"]) + [
+        ("rk", f"select *, row_number() over (partition by task, is_true order by {ORDER_SQL}, task, sample_idx, template_id) as rn_ from stm"),
+    ], "select rk.* exclude (rn_), q.variant from rk join ab_quota q using (task, is_true) where rn_ <= q.quota"),
+)(_i3)
+
+
+def _i4(s, r):
+    return AB.spc_sweep(_statements(s, r), SPC_SIZES, SEED)
+
+
+register(
+    "spc_sweep",
+    with_ctes(VIEWS, _stm_ctes() + [
+        ("sz", "select * from (values " + ", ".join(f"({x})" for x in SPC_SIZES) + ") t(spc)"),
+        ("cnt0", "select task, is_true, count(*) as n from stm group by task, is_true"),
+        ("cnt", "select cast(sz.spc as bigint) as spc, c.task, c.is_true, c.n, sz.spc as req from cnt0 c cross join sz"),
+    ] + _quota_ctes("sw", "cnt", ["spc", "task"]) + [
+        ("rk", f"select *, row_number() over (partition by task, is_true order by {ORDER_SQL}, task, sample_idx, template_id) as rn_ from stm"),
+    ], "select rk.* exclude (rn_), q.spc from rk join sw_quota q using (task, is_true) where rn_ <= q.quota"),
+)(_i4)
+
+
+def _i5(s, r):
+    return AB.ppc_sweep(_statements(s, r, max(PPC_VALUES)), PPC_VALUES, PPC_SWEEP_SPC, SEED)
+
+
+def _ranks_sql():
+    rows = []
+    from claimforge.functions.draws import py_hash_key
+    from claimforge.operators.corpus import RECIPES
+    from claimforge.operators.templates import TRAIN_TEMPLATES
+
+    for task in TASKS:
+        tset = RECIPES[task].template_set
+        for group, ts in TRAIN_TEMPLATES[tset].items():
+            order = sorted(range(len(ts)), key=lambda i: (py_hash_key(SEED, f"tpl:{task}:{group}", i), i))
+            for rank, i in enumerate(order, start=1):
+                rows.append((task, AB.template_id_of(task, group, i), rank))
+        rows.append((task, -1, 0))
+    return "select * from (values " + ", ".join(f"({q(t)}, {i}, {k})" for t, i, k in rows) + ") t(task, template_id, tpl_rank)"
+
+
+register(
+    "ppc_sweep",
+    with_ctes(VIEWS, _stm_ctes(max(PPC_VALUES)) + [
+        ("rk0", _ranks_sql()),
+        ("pp", "select * from (values " + ", ".join(f"({p})" for p in PPC_VALUES) + ") t(ppc)"),
+        ("x", "select s.*, pp.ppc from stm s join rk0 using (task, template_id) cross join pp where rk0.tpl_rank <= pp.ppc"),
+        ("cnt", f"select ppc, task, is_true, count(*) as n, {PPC_SWEEP_SPC} as req from x group by ppc, task, is_true"),
+    ] + _quota_ctes("pc", "cnt", ["ppc", "task"]) + [
+        ("rk", f"select *, row_number() over (partition by ppc, task, is_true order by {ORDER_SQL}, task, sample_idx, template_id) as rn_ from x"),
+    ], "select rk.* exclude (rn_) from rk join pc_quota q using (ppc, task, is_true) where rn_ <= q.quota"),
+)(_i5)
+
+# ---- I7: replicated evaluation runs ---------------------------------------------------------------
+
+
+def _run_preds(s, r, run):
+    multi = SCR.argmax_candidates(SCR.keyed_scorer(_eval_long(s, r, TWO_WAY + K_WAY, run), SEED))
+    mrpc = SCR.argmax_logits(SCR.keyed_logits(_eval_long(s, r, ["mrpc"], run), SEED)).select("dataset", "example_id", "pred", "label")
+    return multi.unionByName(mrpc).withColumn("run", F.lit(run))
+
+
+def _i7(s, r):
+    preds = reduce(lambda a, b: a.unionByName(b), [_run_preds(s, r, k) for k in range(N_RUNS)])
+    return SCR.accuracy_by(preds, ("run", "dataset"))
+
+
+def _i7_sql():
+    views, ctes, parts = [], [], []
+    for k in range(N_RUNS):
+        p = f"r{k}_"
+        v, c = eval_ctes(TWO_WAY + K_WAY + ["mrpc"], k, p)
+        views += [x for x in v if x not in views]
+        ctes += c
+        ctes.append((f"{p}scored", f"select *, {p_sql()} as p_true from {p}long_all where dataset <> 'mrpc'"))
+        ctes.append((f"{p}mc", ARGMAX_SQL.replace("from scored", f"from {p}scored")))
+        ctes.append((f"{p}lg", f"select *, [{p_sql('l0')}, {p_sql('l1')}] as logits from {p}l_mrpc"))
+        ctes.append((f"{p}mp", f"select dataset, example_id, cast(list_position(logits, list_max(logits)) - 1 as int) as pred, label from {p}lg"))
+        parts.append(f"select {k} as run, * from {p}mc union all select {k} as run, * from {p}mp")
+    ctes.append(("preds", " union all ".join(parts)))
+    return with_ctes(views, ctes, (
+        "select run, dataset, avg(cast(pred = label as double)) as accuracy, count(*) as n_examples from preds group by run, dataset"
+    ))
+
+
+register("replicated_runs", _i7_sql())(_i7)

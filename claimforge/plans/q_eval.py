@@ -63,19 +63,20 @@ def _cands_sql(d: str, run: int = 0) -> tuple[list[str], str]:
     raise ValueError(d)
 
 
-def eval_ctes(datasets, run: int = 0) -> tuple[list[str], list[tuple[str, str]]]:
+def eval_ctes(datasets, run: int = 0, prefix: str = "") -> tuple[list[str], list[tuple[str, str]]]:
     views, ctes = [], []
     for d in datasets:
         sql, vs = EVAL_INPUT_SQL[d]
         views += [v for v in vs if v not in views]
-        ctes.append((f"e_{d}", sql))
+        ctes.append((f"{prefix}e_{d}", sql))
         stmts, label = _cands_sql(d, run)
         parts = [
-            f"select {q(d)} as dataset, id as example_id, {k} as cand_idx, {s} as statement, cast({label} as int) as label from e_{d}"
+            f"select {q(d)} as dataset, id as example_id, {k} as cand_idx, {s} as statement, cast({label} as int) as label "
+            f"from {prefix}e_{d}"
             for k, s in enumerate(stmts)
         ]
-        ctes.append((f"l_{d}", " union all ".join(parts)))
-    ctes.append(("long_all", " union all ".join(f"select * from l_{d}" for d in datasets)))
+        ctes.append((f"{prefix}l_{d}", " union all ".join(parts)))
+    ctes.append((f"{prefix}long_all", " union all ".join(f"select * from {prefix}l_{d}" for d in datasets)))
     return views, ctes
 
 

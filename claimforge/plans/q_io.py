@@ -1 +1,126 @@
-"""placeholder"""
+"""Source and sink queries (A1-A6, A8) and the fitted scorer (F2).
+
+Sinks write below the shared checkpoint folder; each query writes a fresh folder
+and reads it back, so the returned rows are what a later reader would see.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from claimforge.operators import sampling as S
+from claimforge.operators import scoring as SCR
+from claimforge.operators.corpus import build_corpus
+from claimforge.plans.base import N, PPC, SEED, SPC, V, register
+from claimforge.plans.q_eval import _eval_long
+from claimforge.plans.q_runs import R6, RES_COLS, RUN_DATASETS, MS, r6, results, rsql
+from claimforge.plans.sqlviews import with_ctes
+from claimforge.session import materialize, scratch_path
+from claimforge.sources import results as IO
+from claimforge.sources.tables import source, split_of
+
+register("scan_split", "select doc_id, lang, n_chars from documents where lang = 'en'")(
+    lambda s, r: split_of(source(s, r, "documents"), "en", "lang").select("doc_id", "lang", "n_chars")
+)
+
+
+def _write_results(s, r):
+    base = scratch_path(s, "results")
+    data = IO.write_results(r6(results(s, r)), os.path.join(base, "pooled.csv"))
+    return base, data
+
+
+def _a2(s, r):
+    base, _ = _write_results(s, r)
+    return IO.scan_results_dir(s, base, "*.csv").drop("file")
+
+
+register("scan_results_dir", rsql(f"select {R6(MS, RES_COLS)} from res"))(_a2)
+
+
+def _a5(s, r):
+    _, data = _write_results(s, r)
+    return s.read.schema(IO.RESULT_SCHEMA).option("header", True).csv(data)
+
+
+register("write_results", rsql(f"select {R6(MS, RES_COLS)} from res"))(_a5)
+
+SPEED_SQL = "select model, dataset, sum(n_examples) / sum(seconds) as examples_per_s from V_runs group by model, dataset"
+
+
+def _speeds_long(s, r):
+    return SCR.throughput(V(s, r).runs(), ("model", "dataset"))
+
+
+def _a6(s, r):
+    path = scratch_path(s, "decoder-speeds")
+    IO.write_speed_wide(_speeds_long(s, r), path, RUN_DATASETS)
+    return s.read.option("header", True).schema(
+        "model string, " + ", ".join(f"{d} double" for d in RUN_DATASETS)
+    ).csv(path)
+
+
+_WIDE_SQL = "select model, " + ", ".join(
+    f"avg(case when dataset = '{d}' then examples_per_s end) as {d}" for d in RUN_DATASETS
+) + " from sp group by model"
+register("write_speed_wide", with_ctes(["V_runs"], [("sp", SPEED_SQL)], _WIDE_SQL))(_a6)
+
+
+def _a3(s, r):
+    base = scratch_path(s, "speedfiles")
+    sp = _speeds_long(s, r)
+    for m, name in [("org/base", "decoder-speeds-base"), ("large", "decoder-speeds-large")]:
+        IO.write_speed_wide(sp.filter(F.col("model") == m), os.path.join(base, name), RUN_DATASETS)
+    # a file that must not be picked up by the glob
+    sp.limit(0).write.mode("overwrite").option("header", True).csv(os.path.join(base, "notes"))
+    return IO.scan_speed_files(s, os.path.join(base, "*speeds*"))
+
+
+register("scan_speed_files", with_ctes(["V_runs"], [("sp", SPEED_SQL)], _WIDE_SQL))(_a3)
+
+
+def _a4(s, r):
+    path = scratch_path(s, "size_ablation")
+    IO.write_wide_baseline(V(s, r).wide_baseline(), path)
+    return IO.read_wide_baseline(s, path)
+
+
+register(
+    "read_wide_baseline",
+    with_ctes(["V_wide_baseline"], [], "select eval_set, model, full_shot as full_3000_shot, shot_1000, shot_0 from V_wide_baseline"),
+)(_a4)
+
+# ---- F2 / A8: pyspark.ml scorer (rows-only checks) -----------------------------------------------
+
+
+def _corpus_split(s, r):
+    # the fit makes several passes (IDF, optimizer); read the capped corpus from Parquet
+    corpus = materialize(build_corpus(V(s, r), None, N, PPC, SPC, SEED), "corpus")
+    corpus = corpus.withColumn("group_key", F.concat_ws(":", "task", F.col("source_id").cast("string")))
+    return S.train_val_split(corpus, 0.1, SEED, "f2", ["task", "sample_idx", "template_id"], group="group_key")
+
+
+def _f2(s, r):
+    train, test = _corpus_split(s, r)
+    model = SCR.fit_scorer(train)
+    scored = SCR.model_scorer(model)(test)
+    return scored.select("task", "sample_idx", "template_id", "is_true", (F.col("p_true") >= 0.5).cast("int").alias("pred"))
+
+
+register("fit_scorer")(_f2)
+
+
+def _a8(s, r):
+    train, _ = _corpus_split(s, r)
+    model = SCR.fit_scorer(train)
+    path = scratch_path(s, "scorer")
+    SCR.save_scorer(model, path)
+    loaded = SCR.load_scorer(path)
+    ev = _eval_long(s, r, ["copa"])
+    scored = SCR.model_scorer(loaded)(ev)
+    return SCR.argmax_candidates(scored)
+
+
+register("save_load_scorer")(_a8)

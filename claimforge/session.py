@@ -59,3 +59,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared checkpoint folder (for written tables)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as Parquet below the shared checkpoint folder and reading it back.
+
+    Parquet (unlike an RDD checkpoint) is columnar and compressed, so later passes read only
+    the columns they use; recomputation after an executor loss starts from these files.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -14,13 +14,23 @@ from pyspark.sql import functions as F
 from claimforge.sources.tables import source
 
 
+_TABLES: dict = {}
+
+
 class TaskViews:
+    """Lazily built views; each driver table is opened once per (session, folder)."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
 
     def table(self, name: str) -> DataFrame:
-        return source(self.spark, self.root, name)
+        key = (id(self.spark), self.root, name)
+        df = _TABLES.get(key)
+        if df is None or df.sparkSession is not self.spark:
+            df = source(self.spark, self.root, name)
+            _TABLES[key] = df
+        return df
 
     # -- documents-based views -------------------------------------------------
     def docs(self) -> DataFrame:
