@@ -25,8 +25,23 @@ def _as_col(k) -> Column:
     return k if isinstance(k, Column) else F.col(k)
 
 
+def _sql_str(s: str) -> str:
+    return "'" + str(s).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _hash_sql(seed, salt: str, keys) -> str:
+    ks = ", ".join(f"cast(`{k}` as string)" for k in keys)
+    return f"md5(concat_ws(':', {_sql_str(seed)}, {_sql_str(salt)}, {ks}))"
+
+
 def hash_key(seed, salt: str, *keys) -> Column:
-    """md5 hex of ``seed:salt:key1:key2...`` (keys are columns or column names)."""
+    """md5 hex of ``seed:salt:key1:key2...`` (keys are columns or column names).
+
+    With plain column names the expression is parsed on the JVM in one call (building it
+    from many ``F.*`` calls costs a py4j round trip each).
+    """
+    if keys and all(isinstance(k, str) for k in keys):
+        return F.expr(_hash_sql(seed, salt, keys))
     parts = [F.lit(str(seed)), F.lit(salt)] + [_as_col(k).cast("string") for k in keys]
     return F.md5(F.concat_ws(":", *parts))
 
@@ -37,11 +52,15 @@ def hex_to_u32(hex_col: Column) -> Column:
 
 def draw(seed, salt: str, *keys) -> Column:
     """Uniform integer in [0, 2**32)."""
+    if keys and all(isinstance(k, str) for k in keys):
+        return F.expr(f"cast(conv(substring({_hash_sql(seed, salt, keys)}, 1, 8), 16, 10) as bigint)")
     return hex_to_u32(hash_key(seed, salt, *keys))
 
 
 def draw_mod(seed, salt: str, k, *keys) -> Column:
     """Uniform integer in [0, k); ``k`` may be a column."""
+    if not isinstance(k, Column) and keys and all(isinstance(x, str) for x in keys):
+        return F.expr(f"pmod(cast(conv(substring({_hash_sql(seed, salt, keys)}, 1, 8), 16, 10) as bigint), {int(k)})")
     return F.pmod(draw(seed, salt, *keys), k if isinstance(k, Column) else F.lit(int(k)))
 
 

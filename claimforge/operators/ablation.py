@@ -42,7 +42,7 @@ def nested_select(statements: DataFrame, quotas: DataFrame, seed, key_cols=("sam
     only (an output-sized set), and each setting is a filter on it: smaller corpora nest in larger ones.
     """
     key_cols = list(key_cols)
-    order = hash_key(seed, "strat", F.col("task"), *key_cols)
+    order = hash_key(seed, "strat", "task", *key_cols)
     top = quotas.groupBy("task", "is_true").agg(F.max("quota").alias("quota"))
     cand = take_first(statements, order, ["task"] + key_cols, top, ["task", "is_true"])
     ranked = dense_rank(cand, order, ["task"] + key_cols, ["task", "is_true"], name="_rk")
@@ -110,7 +110,7 @@ def ppc_sweep(statements: DataFrame, ppcs, spc: int, seed, key_cols=("sample_idx
     ).drop("tpl_rank")
     counts = x.groupBy("ppc", "task", "is_true").agg(F.count(F.lit(1)).alias("n"))
     quotas = largest_remainder_quotas(counts, int(spc), ["ppc", "task"], "is_true")
-    order = hash_key(seed, "strat", F.col("task"), *key_cols)
+    order = hash_key(seed, "strat", "task", *key_cols)
     return take_first(x, order, ["task"] + key_cols, quotas, ["ppc", "task", "is_true"])
 
 

@@ -47,38 +47,46 @@ def take_first(
 ) -> DataFrame:
     """Keep the first ``quota`` rows of each group in ``(order_hex, tie_cols)`` order.
 
-    ``quota`` is an int (same for every group) or a DataFrame ``(group_cols..., quota)``;
-    groups missing from the quota frame keep nothing.
+    ``quota`` is an int (same for every group), a DataFrame ``(group_cols..., quota)`` (groups
+    missing from it keep nothing), or a function from per-group row counts
+    ``(group_cols..., n)`` to such a DataFrame; the counts then come from the bucket
+    histogram, so quotas cost no extra pass over the data.
     """
     tie_cols = list(tie_cols)
     d, g = _groups(df, group_cols)
     d = d.withColumns({"_cf_h": order_hex, "_cf_b": bucket_of(order_hex)})
     hist = d.groupBy(*g, "_cf_b").agg(F.count(F.lit(1)).alias("_cf_n"))
-    if isinstance(quota, DataFrame):
-        hist = hist.join(quota.select(*g, F.col("quota").alias("_cf_q")), g)
-    else:
-        hist = hist.withColumn("_cf_q", F.lit(int(quota)))
-    w = Window.partitionBy(*g).orderBy("_cf_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_cf_before", F.coalesce(F.sum("_cf_n").over(w), F.lit(0)))
-    cut = (
-        hist.filter(F.col("_cf_before") + F.col("_cf_n") > F.col("_cf_q"))
-        .groupBy(*g)
-        .agg(F.min(F.struct("_cf_b", (F.col("_cf_q") - F.col("_cf_before")).alias("rem"))).alias("_cf_cut"))
-        .select(*g, F.col("_cf_cut._cf_b").alias("_cf_cb"), F.col("_cf_cut.rem").alias("_cf_rem"))
+    # one row per group: its sorted bucket histogram (<= 65536 entries) and its size
+    per_g = hist.groupBy(*g).agg(
+        F.sort_array(F.collect_list(F.struct("_cf_b", "_cf_n"))).alias("_cf_hist"), F.sum("_cf_n").alias("n")
     )
+    if callable(quota) and not isinstance(quota, DataFrame):
+        quota = quota(per_g.select(*g, "n"))
     if isinstance(quota, DataFrame):
-        # groups with a quota but fewer rows than it keep everything; groups without a quota keep nothing
-        have = quota.select(*g).distinct()
-        d = d.join(have, g)
-    j = d.join(cut, g, "left")
-    cb = F.coalesce(F.col("_cf_cb"), F.lit(N_BUCKETS))
-    j = j.filter(F.col("_cf_b") <= cb)
+        # groups without a quota row keep nothing
+        per_g = per_g.join(quota.select(*g, F.col("quota").alias("_cf_q")), g, "left")
+        per_g = per_g.withColumn("_cf_q", F.coalesce(F.col("_cf_q"), F.lit(0)).cast("long"))
+    else:
+        per_g = per_g.withColumn("_cf_q", F.lit(int(quota)).cast("long"))
+    # first bucket whose running count passes the quota, and how many of its rows are still needed
+    init = F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("int").alias("cb"), F.lit(None).cast("long").alias("rem"))
+
+    def step(acc, x):
+        cum = acc["cum"] + x["_cf_n"]
+        crossing = acc["cb"].isNull() & (cum > F.col("_cf_q"))
+        return F.struct(
+            cum.alias("cum"),
+            F.when(crossing, x["_cf_b"]).otherwise(acc["cb"]).alias("cb"),
+            F.when(crossing, F.col("_cf_q") - acc["cum"]).otherwise(acc["rem"]).alias("rem"),
+        )
+
+    found = F.aggregate(F.col("_cf_hist"), init, step)
+    cut = per_g.select(*g, found["cb"].alias("_cf_cb"), found["rem"].alias("_cf_rem"))
+    cb = F.coalesce(F.col("_cf_cb"), F.lit(N_BUCKETS))  # no crossing: the whole group fits
     wr = Window.partitionBy(*g, "_cf_b").orderBy("_cf_h", *tie_cols)
-    j = j.withColumn(
-        "_cf_keep",
-        F.when(F.col("_cf_b") < cb, F.lit(True)).otherwise(F.row_number().over(wr) <= F.col("_cf_rem")),
-    )
-    out = j.filter("_cf_keep").drop("_cf_h", "_cf_b", "_cf_cb", "_cf_rem", "_cf_keep")
+    j = d.join(cut, g, "left").filter(F.col("_cf_b") <= cb)
+    keep = F.when(F.col("_cf_b") < cb, F.lit(True)).otherwise(F.row_number().over(wr) <= F.col("_cf_rem"))
+    out = j.withColumn("_cf_keep", keep).filter("_cf_keep").drop("_cf_h", "_cf_b", "_cf_cb", "_cf_rem", "_cf_keep")
     return out.drop(_ALL) if _ALL in out.columns else out
 
 
@@ -122,7 +130,7 @@ def bootstrap_exact(df: DataFrame, n: int, n_rows: int, seed, salt: str, id_col:
     spark = df.sparkSession
     ranked = dense_rank(df, hash_key(seed, salt + ":rank", id_col), [id_col], name="_cf_pos")
     picks = spark.range(n).select(
-        F.col("id").alias("sample_idx"), F.pmod(draw(seed, salt + ":boot", F.col("id")), F.lit(n_rows)).alias("_cf_pos")
+        F.col("id").alias("sample_idx"), F.pmod(draw(seed, salt + ":boot", "id"), F.lit(n_rows)).alias("_cf_pos")
     )
     return picks.join(ranked, "_cf_pos").drop("_cf_pos")
 
@@ -207,9 +215,10 @@ def stratified_exact(
     """
     key_cols = list(key_cols)
     p = list(parent_cols)
-    counts = df.groupBy(*p, stratum_col).agg(F.count(F.lit(1)).alias("n"))
-    quotas = largest_remainder_quotas(counts, total, p, stratum_col)
-    return take_first(df, hash_key(seed, salt, *key_cols), key_cols, quotas, p + [stratum_col])
+    return take_first(
+        df, hash_key(seed, salt, *key_cols), key_cols,
+        lambda counts: largest_remainder_quotas(counts, total, p, stratum_col), p + [stratum_col],
+    )
 
 
 def stratified_split(df: DataFrame, n_first: int, seed, salt: str, key_cols, stratum_col: str = "label") -> DataFrame:
