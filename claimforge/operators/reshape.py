@@ -45,21 +45,32 @@ def melt(df: DataFrame, ids, value_cols, var_name="shot", value_name="accuracy")
 
 
 def dedup_first(df: DataFrame, keys, order) -> DataFrame:
-    """H3: keep the first row of each key in an explicit order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """H3: keep the first row of each key in an explicit order (ascending ``order`` columns).
+
+    An aggregate, not a window: ``min_by`` combines map-side, so a key holding a third of
+    all rows is reduced in every partition before the shuffle instead of in one task.
+    """
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    order_cols = [o if isinstance(o, str) else o for o in order]
+    ordkey = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order_cols])
+    row = F.min_by(F.struct(*[F.col(c) for c in rest]), ordkey).alias("_row")
+    return df.groupBy(*keys).agg(row).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def dedup_none(df: DataFrame, keys) -> DataFrame:
-    """H4: drop every member of a duplicated key (NULLs compare equal)."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("_cnt", F.count(F.lit(1)).over(w)).filter("_cnt = 1").drop("_cnt")
+    """H4: drop every member of a duplicated key (NULLs compare equal); an aggregate with map-side combine."""
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"), F.any_value(F.struct(*[F.col(c) for c in rest])).alias("_row"))
+    return agg.filter("_cnt = 1").select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def baseline_delta(results: DataFrame, baseline: DataFrame, on=("shot", "dataset"), value="Mean", base_value="accuracy") -> DataFrame:
     """H7: subtract the baseline accuracy of the same (shot, dataset); first baseline row per key."""
     on = list(on)
-    b = dedup_first(baseline, on, [F.col(base_value).asc_nulls_last()]).select(*on, F.col(base_value).alias("_base"))
+    ranked = baseline.withColumn("_nullfirst", F.col(base_value).isNull())
+    b = dedup_first(ranked, on, ["_nullfirst", base_value]).select(*on, F.col(base_value).alias("_base"))
     return results.join(b, on).withColumn("delta", F.col(value) - F.col("_base")).drop("_base")
 
 
