@@ -7,12 +7,12 @@ partitioned by (variant, task).  Nothing loops on the driver per variant.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimforge.functions.draws import hash_key, py_hash_key
 from claimforge.operators.corpus import RECIPES, TASKS, build_statements
-from claimforge.operators.sampling import dense_rank, largest_remainder_quotas, take_first, union_all
+from claimforge.operators.sampling import largest_remainder_quotas, take_first
 from claimforge.operators.templates import TRAIN_TEMPLATES
 
 # Task groups removed cumulatively by the leave-groups-out sweep (fixed order).
@@ -45,7 +45,10 @@ def nested_select(statements: DataFrame, quotas: DataFrame, seed, key_cols=("sam
     order = hash_key(seed, "strat", "task", *key_cols)
     top = quotas.groupBy("task", "is_true").agg(F.max("quota").alias("quota"))
     cand = take_first(statements, order, ["task"] + key_cols, top, ["task", "is_true"])
-    ranked = dense_rank(cand, order, ["task"] + key_cols, ["task", "is_true"], name="_rk")
+    # cand holds at most max(quota) rows per stratum (bounded by the sweep, not by the data),
+    # so a window per stratum is safe even when one task holds most of the rows
+    w = Window.partitionBy("task", "is_true").orderBy(order, *(["task"] + key_cols))
+    ranked = cand.withColumn("_rk", F.row_number().over(w) - 1)
     # quotas has one row per (setting, task, stratum): bounded by settings x tasks x 2
     return ranked.join(F.broadcast(quotas), ["task", "is_true"]).filter(F.col("_rk") < F.col("quota")).drop("_rk", "quota")
 
