@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
-from claimforge.functions.draws import draw_mod, hash_key
+from claimforge.functions.draws import draw_mod
 from claimforge.functions.text import fill_template
 from claimforge.operators import builders as B
 from claimforge.operators import sampling as S
 from claimforge.operators.corpus import build_corpus, corpus_profile, task_corpus, task_statements
 from claimforge.plans import sql_corpus as SC
 from claimforge.plans.base import N, PPC, SEED, SPC, V, register
-from claimforge.plans.sqlviews import q, sql_draw, sql_hash, with_ctes
+from claimforge.plans.sqlviews import sql_draw, sql_hash, with_ctes
 
 
 # =============================================================================================

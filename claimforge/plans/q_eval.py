@@ -6,8 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from claimforge.functions.draws import hash_key
-from claimforge.functions.text import prompt_slots, render_prompt, shuffle_words
+from claimforge.functions.text import render_prompt, shuffle_words
 from claimforge.operators import evalsets as EV
 from claimforge.operators import scoring as SCR
 from claimforge.operators.templates import CLASS_NAMES, EVAL_TEMPLATES, PROMPTS, eval_template_draw, template_table

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimforge.functions.text import format_1f, model_short_name, parse_percent, word_count
+from claimforge.functions.text import model_short_name, parse_percent, word_count
 from claimforge.operators import reshape as R
 from claimforge.operators import runs as G
 from claimforge.operators import scoring as SCR
 from claimforge.operators.corpus import parse_exclude
-from claimforge.plans.base import SEED, V, register
+from claimforge.plans.base import V, register
 from claimforge.plans.q_eval import DATASETS as EVAL_DATASETS
 from claimforge.plans.q_eval import _eval_long, eval_ctes
 from claimforge.plans.sqlviews import q, with_ctes
