@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimforge.functions.draws import hash_key
 
 # Word separators used by word counting and word shuffling (ASCII whitespace).
 WS_PATTERN = "[ \\t\\n\\r\\f]+"
@@ -44,8 +43,10 @@ def word_count(text) -> Column:
 def shuffle_words(text, seed, salt: str, key) -> Column:
     """Seeded word shuffle: order words by md5(seed:salt:key:position), join by one space."""
     w = words(text)
+    # md5(seed:salt:key:position); the per-row prefix is built once, outside the lambda
+    prefix = F.concat_ws(":", F.lit(str(seed)), F.lit(salt), _col(key).cast("string"), F.lit(""))
     keyed = F.transform(
-        w, lambda x, i: F.struct(hash_key(seed, salt, key, i).alias("h"), i.alias("i"), x.alias("w"))
+        w, lambda x, i: F.struct(F.md5(F.concat(prefix, i.cast("string"))).alias("h"), i.alias("i"), x.alias("w"))
     )
     return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["w"]), " ")
 
