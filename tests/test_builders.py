@@ -95,3 +95,16 @@ def test_corpus_caps_and_exclusion(views):
     prof = {r["task"]: r for r in corpus_profile(corpus).collect()}
     assert set(prof) == set(TASKS) - {"samsum", "wikilingua"}
     assert all(r["n_statements"] == 150 for r in prof.values())
+
+
+def test_corpus_same_under_any_shuffle_partitioning(spark, views):
+    def rows(parts):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        c = build_corpus(views, None, n=200, ppc=2, spc=120, seed=11, tasks=["qqp", "mintaka", "race", "massive"])
+        return sorted((r["task"], r["sample_idx"], r["template_id"], r["statement"], r["is_true"]) for r in c.collect())
+
+    try:
+        a, b = rows(1), rows(16)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert a == b and len(a) == 4 * 120
