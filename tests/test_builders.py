@@ -108,3 +108,12 @@ def test_corpus_same_under_any_shuffle_partitioning(spark, views):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b and len(a) == 4 * 120
+
+
+def test_materialized_statements_cut_lineage_to_sources(views):
+    from claimforge.operators.corpus import build_statements, cap_statements
+
+    st = build_statements(views, ["qqp", "race"], n=150, ppc=2, seed=5, materialize=True)
+    files = cap_statements(st, 100, 5).inputFiles()
+    # the capped corpus reads only the written statements, never documents / part again
+    assert files and all("/tables/statements-" in f for f in files)
