@@ -107,3 +107,16 @@ def test_shot_correlation_pairwise(spark):
     df = spark.createDataFrame(rows, "SPC int, dataset string, shot string, Mean double")
     got = {(r["shot_a"], r["shot_b"]): r["corr"] for r in R.shot_correlation(df).collect()}
     assert abs(got[("0", "32")] - 1.0) < 1e-12
+
+
+def test_fit_save_load_scorer_roundtrip(spark, tmp_path):
+    rows = [(f"the sky is blue {i}", 1) for i in range(20)] + [(f"the sky is green {i}", 0) for i in range(20)]
+    train = spark.createDataFrame(rows, "statement string, is_true int")
+    model = SCR.fit_scorer(train, num_features=1 << 10, max_iter=10)
+    path = str(tmp_path / "scorer")
+    SCR.save_scorer(model, path)
+    loaded = SCR.load_scorer(path)
+    test = spark.createDataFrame([("the sky is blue now",), ("the sky is green now",)], "statement string")
+    p = {r["statement"]: r["p_true"] for r in SCR.model_scorer(loaded)(test).collect()}
+    assert set(test.columns) | {"p_true"} == set(SCR.model_scorer(loaded)(test).columns)
+    assert p["the sky is blue now"] > 0.5 > p["the sky is green now"]
