@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimforge.llm.common import read_table
 from claimforge.llm.exact_dedup import copy_groups
+from claimforge.llm.pieces import digests, encode_decode
 from claimforge.llm.token_counts import count_tokens
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: number of ids, digests of ids and of the decoded text."""
+    return digests(encode_decode(read_table(spark, sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document: which row stays, group size, digest."""
     return copy_groups(read_table(spark, sf_dir, "documents")).select(
@@ -21,7 +27,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_exact_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op8_exact_dedup, op9_token_counts)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
