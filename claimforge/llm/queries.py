@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimforge.llm.common import read_table
 from claimforge.llm.exact_dedup import copy_groups
+from claimforge.llm.mixing import mix_report
 from claimforge.llm.pieces import digests, encode_decode
 from claimforge.llm.token_counts import count_tokens
 
@@ -15,6 +16,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(read_table(spark, sf_dir, "documents")))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: target of each source, words taken of each document."""
+    return mix_report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document: which row stays, group size, digest."""
     return copy_groups(read_table(spark, sf_dir, "documents")).select(
@@ -27,7 +33,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op8_exact_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op7_mix_sources, op8_exact_dedup, op9_token_counts)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
