@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimforge.llm.common import read_table
+from claimforge.llm import quality
+from claimforge.llm.common import fold_bucket, read_table
 from claimforge.llm.exact_dedup import copy_groups
 from claimforge.llm.mixing import mix_report
 from claimforge.llm.pieces import digests, encode_decode
@@ -16,6 +17,13 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(read_table(spark, sf_dir, "documents")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; rows whose fold is 0 of 5 are held out of training."""
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: target of each source, words taken of each document."""
     return mix_report(read_table(spark, sf_dir, "documents"))
@@ -33,7 +41,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op7_mix_sources, op8_exact_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
