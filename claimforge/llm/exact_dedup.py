@@ -59,9 +59,16 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The input rows that stay, one per distinct normalised text, with their own columns."""
     verdict = copy_groups(docs, id_col, text_col, support)
-    stay = verdict.filter("kept").select(F.col("id").alias("__keep_id"), F.col("digest").alias("__keep_digest")).distinct()
+    stay = verdict.filter("kept").groupBy(F.col("id").alias("__keep_id"), F.col("digest").alias("__keep_digest"))
+    stay = cut(stay.agg(F.count(F.lit(1)).alias("__rows")), "kept-digests")
     own = docs.withColumn("__digest", text_digest(text_col))
-    met = own.join(
-        stay, F.col("__digest").eqNullSafe(F.col("__keep_digest")) & F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi"
-    )
-    return met.dropDuplicates(["__digest", id_col]).drop("__digest")
+
+    def met(some: DataFrame) -> DataFrame:
+        same = F.col("__digest").eqNullSafe(F.col("__keep_digest")) & F.col(id_col).eqNullSafe(F.col("__keep_id"))
+        return own.join(some, same, "left_semi")
+
+    again = stay.filter("__rows > 1")  # rows that repeat an id with the same text
+    if again.isEmpty():
+        return met(stay).drop("__digest")
+    once = met(again).dropDuplicates(["__digest", id_col])
+    return met(stay.filter("__rows = 1")).unionByName(once).drop("__digest")

@@ -8,6 +8,7 @@ from claimforge.llm import quality
 from claimforge.llm.common import fold_bucket, read_table
 from claimforge.llm.exact_dedup import copy_groups
 from claimforge.llm.mixing import mix_report
+from claimforge.llm.near_dups import near_groups
 from claimforge.llm.pieces import digests, encode_decode
 from claimforge.llm.token_counts import count_tokens
 
@@ -17,6 +18,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(read_table(spark, sf_dir, "documents")))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies of every document: size of its shingle set, its group, whether it stays."""
+    return near_groups(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; rows whose fold is 0 of 5 are held out of training."""
     docs = read_table(spark, sf_dir, "documents")
@@ -41,7 +47,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_minhash_near_dedup, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
