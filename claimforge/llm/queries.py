@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimforge.llm import quality
+from claimforge.llm import quality, toxicity
 from claimforge.llm.common import fold_bucket, read_table
 from claimforge.llm.exact_dedup import copy_groups
 from claimforge.llm.mixing import mix_report
@@ -23,6 +23,13 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; rows whose fold is 2 of 4 are held out of training."""
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold_bucket("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; rows whose fold is 0 of 5 are held out of training."""
     docs = read_table(spark, sf_dir, "documents")
@@ -47,7 +54,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_minhash_near_dedup, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
