@@ -130,7 +130,8 @@ class Network:
             own[:, :WIDTH] = means[:, :WIDTH] + self.p["word"][word[lo:hi]]
             own[:, WIDTH] = self.word_fact[word[lo:hi]]
             own[:, WIDTH + 1] = means[:, WIDTH]
-            own[:, WIDTH + 2] = np.maximum.reduceat(rows[:, WIDTH], heads) * some
+            rows[-1, WIDTH] = -np.inf  # so that the last word's maximum is its own
+            own[:, WIDTH + 2] = np.where(some, np.maximum.reduceat(rows[:, WIDTH], heads), 0)
         return out
 
     def run(self, x: np.ndarray, tokens: np.ndarray, length: np.ndarray, keep: bool = False):
