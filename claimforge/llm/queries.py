@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimforge.llm import quality, toxicity
+from claimforge.llm import personal_data, quality, toxicity
 from claimforge.llm.common import fold_bucket, read_table
 from claimforge.llm.exact_dedup import copy_groups
 from claimforge.llm.mixing import mix_report
@@ -54,7 +54,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans counted and digested, all spans listed."""
+    return personal_data.report(personal_data.find(read_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts, op10_personal_data)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
