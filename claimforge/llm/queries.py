@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimforge.llm import personal_data, quality, toxicity
 from claimforge.llm.common import fold_bucket, read_table
+from claimforge.llm.embedding_dups import near_vectors
 from claimforge.llm.exact_dedup import copy_groups
 from claimforge.llm.mixing import mix_report
 from claimforge.llm.near_dups import near_groups
@@ -13,6 +14,11 @@ from claimforge.llm.pieces import digests, encode_decode
 from claimforge.llm.token_counts import count_tokens
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies of every embedding within its label: links, group, whether it stays."""
+    return near_vectors(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded: number of ids, digests of ids and of the decoded text."""
     return digests(encode_decode(read_table(spark, sf_dir, "documents")))
@@ -59,7 +65,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(personal_data.find(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts, op10_personal_data)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
