@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimforge.llm import personal_data, quality, toxicity
+from claimforge.llm import page_text, personal_data, quality, toxicity
 from claimforge.llm.common import fold_bucket, read_table
 from claimforge.llm.embedding_dups import near_vectors
 from claimforge.llm.exact_dedup import copy_groups
@@ -14,6 +14,11 @@ from claimforge.llm.pieces import digests, encode_decode
 from claimforge.llm.token_counts import count_tokens
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return page_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies of every embedding within its label: links, group, whether it stays."""
     return near_vectors(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
@@ -65,7 +70,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(personal_data.find(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_embedding_near_dedup, op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts, op10_personal_data)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
