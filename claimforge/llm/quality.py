@@ -6,11 +6,10 @@ a shape being a word's letter case, its outer marks, its length class and whethe
 repeats the word before.  ``BUCKETS`` hash buckets.
 
 *Fit.*  Per bucket, the class log-count ratio ``r = log((p + 1) / |p|) - log((q + 1) / |q|)``
-from counts over all labelled training rows (aggregated on the cluster).  Indicators are
-scaled by ``r`` and to unit length, and a linear hinge-loss model (squared, with a bias) is fitted to at most
-``FIT_ROWS`` rows of each class, the first in the order of a hash of the id, by dual
-coordinate descent.  Its margins on ``CALIBRATION_ROWS`` further rows give a logistic
-calibration.  Only labels and texts enter; lang, source and ids do not.
+over at most ``FIT_ROWS`` labelled training rows of each class, the first in the order of a
+hash of the id.  Indicators are scaled by ``r`` and to unit length, and a linear hinge-loss
+model (squared, with a bias) is fitted to these rows by dual coordinate descent.  Its margins
+on up to ``CALIBRATION_ROWS`` further rows give a logistic calibration.  Only labels and texts enter; lang, source and ids do not.
 
 *Score.*  Every whole text, per Arrow batch: words are hashed once per distinct word.
 
@@ -27,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from claimforge.llm.common import byte_slices, fold_bucket, mix64, texts_of, word_hashes, word_tokens
+from claimforge.llm.common import byte_slices, fold_bucket, mix64, spread, texts_of, word_hashes, word_tokens
 
 BUCKETS = 1 << 18
 FIT_ROWS = 2000
@@ -149,33 +148,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         mod: int = 5, held_out: int = 0, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> QualityModel:
     known = labels.filter(F.col(label_col).isin(0, 1) & (fold_bucket(id_col, mod) != held_out))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS + 1), np.int64)  # the last: rows
-        for b in batches:
-            texts, y = texts_of(b.column(1)), b.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi in byte_slices(texts, SLICE_BYTES):
-                off, ids = features(texts[lo:hi])
-                own = np.repeat(y[lo:hi], np.diff(off))
-                for k in (0, 1):
-                    total[k, :-1] += np.bincount(ids[own == k], minlength=BUCKETS)
-                    total[k, -1] += (y[lo:hi] == k).sum()
-        found = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[0, found]), pa.array(total[1, found])], ["f", "n0", "n1"])
-
-    parts = rows.mapInArrow(count, "f bigint, n0 bigint, n1 bigint").groupBy("f")
-    table = parts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()  # at most BUCKETS + 1 rows
-    n0, n1 = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    n0[table.f], n1[table.f] = table.n0, table.n1
-    rows0, rows1 = n0[-1], n1[-1]
-    if not rows0 or not rows1:
-        share = 0.5 if rows0 + rows1 == 0 else rows1 / (rows0 + rows1)
-        logit = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-        return QualityModel(np.zeros(BUCKETS), np.zeros(BUCKETS), logit, 1.0, 0.0)
-    p, q = n1[:-1] + 1, n0[:-1] + 1
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio[(n0[:-1] + n1[:-1]) == 0] = 0.0  # a bucket that no training row has says nothing
     # a bounded sample: the first rows of each class in the order of a hash of the id
     picked = [
         known.filter(F.col("y") == k).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(fit_rows + calibration_rows // 2)
@@ -197,24 +169,31 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     lists = got["ids"].combine_chunks()
     off = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    values = ratio[ids] / np.repeat(_norms(ratio, off, ids), np.diff(off))
     order = np.concatenate([np.flatnonzero(y == k) for k in (1, -1)])
     counts = [(y == 1).sum(), (y == -1).sum()]
+    if not all(counts):
+        share = 0.5 if not len(y) else counts[0] / len(y)
+        logit = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+        return QualityModel(np.zeros(BUCKETS), np.zeros(BUCKETS), logit, 1.0, 0.0)
     keep = [min(fit_rows, max(1, int(c * 2 / 3))) for c in counts]
     train = np.concatenate([order[: keep[0]], order[counts[0] : counts[0] + keep[1]]])
     rest = np.setdiff1d(order, train)
 
     def pick(rows_):
         lens = np.diff(off)[rows_]
-        at = np.concatenate([np.arange(off[i], off[i + 1]) for i in rows_]) if len(rows_) else np.zeros(0, np.int64)
-        return np.concatenate([[0], np.cumsum(lens)]), ids[at], values[at]
+        return np.concatenate([[0], np.cumsum(lens)]), ids[spread(off[rows_], lens)]
 
-    t_off, t_ids, t_values = pick(train)
+    t_off, t_ids = pick(train)
+    own = np.repeat(y[train], np.diff(t_off))
+    p, q = (np.bincount(t_ids[own == k], minlength=BUCKETS) + 1.0 for k in (1, -1))
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    ratio[p + q == 2] = 0.0  # a bucket that no training row has says nothing
+    t_values = ratio[t_ids] / np.repeat(_norms(ratio, t_off, t_ids), np.diff(t_off))
     weights = np.where(y[train] > 0, 0.5 * len(train) / keep[0], 0.5 * len(train) / keep[1]) * PENALTY
     w, bias = dual_descent(t_off, t_ids, t_values, y[train], weights)
     model = QualityModel(w * ratio, ratio, bias, 1.0, 0.0)
     check = rest if len(set(y[rest].tolist())) == 2 else train
-    c_off, c_ids, _ = pick(check)
+    c_off, c_ids = pick(check)
     model.slope, model.offset = _platt(margins(model, c_off, c_ids), y[check])
     return model
 
