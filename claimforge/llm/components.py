@@ -1,8 +1,10 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
+"""Connected components of an edge table by least labels with pointer jumping.
 
-Every step is a grouped minimum and a join; the edges stay distributed and each round is
-written below the shared checkpoint folder.  The minima are written before they are joined,
-so that both sides of that join are plain exchanges and a hot node can be split.
+A round gives every node the least label of its neighbours and itself, then the label of its
+label, which halves the way to the component's least node.  A round is two joins and a
+grouped minimum over the distributed tables, and its labels are written below the shared
+checkpoint folder.  The joined tables are read from there, so both sides of each join are
+plain exchanges and a hot node can be split.
 """
 
 from __future__ import annotations
@@ -11,32 +13,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from claimforge.llm.common import cut
 
-MOST_ROUNDS = 60
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+MOST_ROUNDS = 100
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of an edge, component being its smallest reachable node."""
-    edges = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = cut(edges, "edges")
-    state = _state(edges)
+    ends = F.explode(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v"))))
+    edges = cut(edges.filter(F.col(a) != F.col(b)).select(ends.alias("e")).select("e.u", "e.v").distinct(), "edges")
+    first = edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label"))
+    labels = cut(first, "labels")
     for _ in range(MOST_ROUNDS):
-        if not state[0]:
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "large-star")
-        big = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        big = cut(big, "large-edges")
-        least = cut(big.groupBy("u").agg(F.min("v").alias("m")), "small-star")
-        small = big.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        before, state = state, _state(edges)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
-    roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+        near = edges.join(labels, F.col("u") == F.col("node")).groupBy(F.col("v").alias("near")).agg(F.min("label").alias("least"))
+        own = labels.join(near, F.col("node") == F.col("near")).select("node", F.col("label").alias("old"), F.least("label", "least").alias("to"))
+        up = labels.select(F.col("node").alias("up"), F.col("label").alias("upper"))
+        after = own.join(up, F.col("to") == F.col("up")).select("node", "old", F.least("to", "upper").alias("label"))
+        labels = cut(after, "labels")
+        if labels.filter("label <> old").isEmpty():
+            return labels.select("node", F.col("label").alias("component"))
+        labels = labels.select("node", "label")
+    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

@@ -8,13 +8,17 @@
    that come first in one global order, the rarest first (prefix filter).  Pairs that one node
    alone has come first of all and are never shuffled on, so most nodes post nothing, and the
    pairs of passages which many documents share come last.
-3. *Candidates without all pairs of a list.*  Only components matter, so a list is first
-   joined to one leader (a star, linear in its length).  Then a list whose nodes are in one
-   component is done; in any other list the nodes outside its largest component meet all nodes
-   of other components, exactly.  While that would be more than ``DENSE`` times the postings,
-   up to ``STARS`` further stars with other leaders go before.
-4. *Confirmation.*  Candidates count their agreeing coordinates and, from ``MATCHES`` on,
-   compare their full sets: linked if ``100 * intersection >= PERCENT * union``.
+3. *Bounds.*  Of a posted node's full set, ``lone`` shingles are in no other posted node's.  Two
+   sets can't share more than the smaller of their other shingles, which rules out, exactly,
+   most edited copies of one text for each other.
+4. *Merging the lists.*  A node's home is the most widely shared leader of its lists: edited copies
+   of one text have one home, however many lists they share.  Homes are cut into units of about
+   ``CHUNK`` nodes, and two units meet in one task if any list has nodes of both: a pair of
+   nodes is compared once, in a task of bounded size, not once for every list that has it.
+5. *Counting and confirmation.*  A task counts the coordinates in which its pairs agree.  Pairs with
+   ``MATCHES`` or more, best first, compare their full sets, as bit sets over the task's shared
+   shingles, unless links already join them: linked if ``100 * intersection >= PERCENT *
+   union``.  It returns one edge per linked node, to the least node of its local component.
 
 A pair at the similarity limit agrees in fewer than ``MATCHES`` = 40 of 64 coordinates with a
 probability of about 2e-6; links above it are lost more rarely still, and no false link is made.
@@ -40,8 +44,7 @@ SHINGLE = 5
 PERCENT = 85
 COORDINATES = 64
 MATCHES = 40
-STARS = 3
-DENSE = 20
+CHUNK = 128
 SEED = 12345
 SLICE_BYTES = 8 << 20
 
@@ -113,108 +116,154 @@ def sign(docs: DataFrame, id_col: str, text_col: str, size: int, coordinates: in
 
 
 def prefix_postings(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """``token, node``: the prefix of each node's (coordinate, value) pairs that other nodes share."""
+    """``token, node, wide``: the prefix of each node's (coordinate, value) pairs that other nodes share, and
+    how widely all its pairs are shared."""
     pairs = nodes.select("node", F.posexplode("sig").alias("k", "value"))
     token = F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     pairs = pairs.select("node", token.alias("token"))
     shared = cut(pairs.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "pair-counts")
-    met = pairs.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("s"))
+    met = pairs.join(shared, "token").groupBy("node")
+    met = met.agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("s"), F.sum("f").alias("wide"))
     first = F.size("s") - matches + 1  # of the prefix, the rest are pairs of this node alone
-    met = met.filter(first > 0).select("node", F.explode(F.slice("s", 1, first)).alias("p"))
-    return met.select("node", F.col("p.token").alias("token"))
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The candidate pairs ``(a, b)`` that agree in ``matches`` coordinates and whose full sets are similar."""
-    side = lambda s, *cols: sets.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", *cols)])
-    a, b = side("a", "n", "sig"), side("b", "n", "sig")
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    likely = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b")).filter(near).filter(agree >= matches)
-    likely = cut(likely.select("a", "b"), "likely-pairs")
-    a, b = side("a", "n", "shingles"), side("b", "n", "shingles")
-    met = likely.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
-    met = met.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), F.size(F.array_intersect("shingles_a", "shingles_b")).alias("both"))
-    return met.filter(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b")
-
-
-def distinct_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-
-
-def star_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Each list's leader of this turn with the list's nodes outside the leader's component."""
-    order = F.xxhash64("node", F.lit(turn))
-    leaders = lists.filter("component <> main" if turn else "true").groupBy("token").agg(
-        F.min(F.struct(order.alias("o"), F.col("node").alias("leader"), F.col("component").alias("own"))).alias("l")
-    )
-    leaders = cut(leaders.select("token", "l.leader", "l.own"), "leaders")
-    met = lists.join(leaders, "token").filter("component <> own")
-    return cut(distinct_pairs(met, "leader", "node"), "star-pairs")
-
-
-def with_components(postings: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Postings of lists not yet in one component, with ``component`` and the list's largest, ``main``."""
-    if parts is None:
-        lists = postings.withColumn("component", F.col("node"))
-    else:
-        lists = postings.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lists = cut(lists, "lists")
-    sizes = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.groupBy("token").agg(F.sum("c").alias("f"), F.max(F.struct("c", "component")).alias("m"))
-    sizes = cut(sizes.filter("f > m.c").select("token", "f", F.col("m.component").alias("main")), "list-sizes")
-    return cut(lists.join(sizes, "token"), "open-lists")
-
-
-def rest_pairs(lists: DataFrame) -> DataFrame:
-    """Every pair of a list in different components: nodes outside the largest one with all others."""
-    few = lists.filter("component <> main").select("token", F.col("node").alias("x"), F.col("component").alias("cx"))
-    every = lists.select("token", F.col("node").alias("y"), F.col("component").alias("cy"))
-    return cut(distinct_pairs(few.join(every, "token").filter("cx <> cy"), "x", "y"), "rest-pairs")
+    met = met.filter(first > 0).select("node", "wide", F.explode(F.slice("s", 1, first)).alias("p"))
+    return met.select("node", "wide", F.col("p.token").alias("token"))
+
+
+def set_bounds(sets: DataFrame, percent: int) -> DataFrame:
+    """``node, n, rest`` of the nodes that can be linked at all, ``rest`` being the shingles that another node has too."""
+    lone = sets.select("node", F.explode("shingles").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
+    lone = lone.filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    rest = sets.select("node", "n").join(lone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("rest"))
+    return rest.filter(F.col("rest") * 100 >= F.col("n") * percent)
+
+
+def task_members(postings: DataFrame, chunk: int) -> DataFrame:
+    """``h1, c1, h2, c2, second, node``: the nodes of every two units that share a list."""
+    leaders = postings.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.max(F.struct("wide", "node")).alias("leader"))
+    leaders = cut(leaders.filter("f > 1").select("token", "leader"), "leaders")
+    lists = cut(postings.join(leaders, "token").select("token", "node", "n", "leader"), "lists")
+    homes = lists.groupBy("node").agg(F.first("n").alias("n"), F.max("leader").alias("leader"))
+    homes = cut(homes.select("node", "n", F.col("leader.node").alias("home")), "homes")
+    size = F.greatest(F.count(F.lit(1)) / F.lit(chunk), F.sum("n") / F.lit(chunk * 1024))
+    crowd = cut(homes.groupBy("home").agg(F.ceil(size).cast("int").alias("units")), "home-sizes")
+    units = homes.join(crowd, "home").select("node", "home", F.pmod(F.xxhash64("node"), "units").cast("int").alias("unit"))
+    units = cut(units, "units")
+    held = cut(lists.select("token", "node").join(units, "node").select("token", "home", "unit").distinct(), "units-of-lists")
+    one = held.select("token", F.struct("home", "unit").alias("x"))
+    met = one.join(one.select("token", F.col("x").alias("y")), "token").filter("x <= y").select("x", "y").distinct()
+    sides = F.when(F.col("x") == F.col("y"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    met = met.select("x", "y", F.explode(sides).alias("second"))
+    key = [F.col("x.home").alias("h1"), F.col("x.unit").alias("c1"), F.col("y.home").alias("h2"), F.col("y.unit").alias("c2")]
+    own = F.when(F.col("second") == 1, F.col("y")).otherwise(F.col("x"))
+    met = cut(met.select(*key, "second", own["home"].alias("home"), own["unit"].alias("unit")), "tasks")
+    return met.join(units, ["home", "unit"]).select("h1", "c1", "h2", "c2", "second", "node")
+
+
+def task_links(node, second, n, rest, sig, shingles, matches: int, percent: int) -> list[tuple[int, int]]:
+    """One edge per linked node of a task, to the least node of its local component."""
+    size = len(node)
+    first = np.flatnonzero(~second)
+    other = np.flatnonzero(second) if second.any() else first
+    found = []
+    for lo in range(0, len(first), 32):
+        i = first[lo : lo + 32]
+        agree = (sig[i][:, None, :] == sig[other][None, :, :]).sum(axis=2)
+        most = np.minimum(rest[i][:, None], rest[other][None, :])
+        p, q = np.nonzero((agree >= matches) & (most * 100 >= (n[i][:, None] + n[other][None, :] - most) * percent))
+        found.append(np.column_stack([agree[p, q], i[p], other[q]]))
+    found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    found = found[found[:, 1] != found[:, 2]] if not second.any() else found
+    found = found[np.argsort(-found[:, 0], kind="stable")]
+    root = list(range(size))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    bits: dict[int, int] = {}
+    if len(found):
+        used = np.unique(found[:, 1:])
+        every = np.concatenate([shingles[i] for i in used])
+        _, place, times = np.unique(every, return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1  # only shingles that two sets of the task have
+        at = 0
+        for i in used.tolist():
+            own = place[at : at + len(shingles[i])]
+            at += len(shingles[i])
+            flags = np.zeros(int(number[-1]) + 1, np.uint8)
+            flags[number[own[times[own] > 1]]] = 1
+            bits[i] = int.from_bytes(np.packbits(flags).tobytes(), "big")
+    for _, i, j in found.tolist():
+        x, y = find(i), find(j)
+        if x != y:
+            both = (bits[i] & bits[j]).bit_count()
+            if 100 * both >= percent * (n[i] + n[j] - both):
+                root[max(x, y, key=lambda k: node[k])] = min(x, y, key=lambda k: node[k])
+    return [(int(node[k]), int(node[find(k)])) for k in range(size) if root[k] != k]
+
+
+def unit_links(members: DataFrame, sets: DataFrame, bounds: DataFrame, matches: int, percent: int) -> DataFrame:
+    """``a, b``: the edges that all tasks return."""
+    data = cut(sets.drop("n").join(bounds, "node"), "bounded-sets")
+    key = ["h1", "c1", "h2", "c2"]
+    rows = members.join(data, "node").select(*key, "second", "node", "n", "rest", "sig", "shingles")
+    rows = rows.repartition(*key).sortWithinPartitions(*key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def links():
+            t = pa.Table.from_batches(held)
+            get = lambda c: t[c].to_numpy()
+            sig = np.stack(t["sig"].to_numpy())
+            edges = task_links(get("node"), get("second") == 1, get("n"), get("rest"), sig, t["shingles"].to_numpy(), matches, percent)
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            ids = np.column_stack([b[c].to_numpy() for c in key])
+            edges = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                now = tuple(ids[lo].tolist())
+                if held and now != last:
+                    yield links()
+                    held.clear()
+                held.append(b.slice(lo, hi - lo))
+                last = now
+        if held:
+            yield links()
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT,
-                coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+                coordinates: int = COORDINATES, matches: int = MATCHES, chunk: int = CHUNK) -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id, kept``."""
     signed = cut(sign(docs, id_col, text_col, size, coordinates), "signatures")
-    named = signed.filter("node IS NOT NULL AND id IS NOT NULL")
-    firsts = cut(named.groupBy("node").agg(F.min("id").alias("first")), "nodes")
-    nodes = named.join(firsts.withColumnRenamed("node", "own"), (F.col("node") == F.col("own")) & (F.col("id") == F.col("first")))
-    nodes = nodes.select("node", "n", "sig").dropDuplicates(["node"])
+    named = signed.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node")
+    nodes = cut(named.agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig")), "nodes")
     postings = cut(prefix_postings(nodes, coordinates, matches), "postings")
-    lists = with_components(postings, None)
     # the full sets of all nodes that can be in a candidate pair
-    active = lists.select("node").distinct().join(firsts, "node").select("node", "first")
-    wanted = cut(active, "active-nodes")
+    wanted = cut(postings.select("node").distinct().join(nodes.select("node", "first"), "node"), "posted-nodes")
     own = docs.join(wanted.select(F.col("first").alias(id_col)).distinct(), id_col, "left_semi")
     sets = sign(own, id_col, text_col, size, coordinates, with_sets=True).join(wanted.select("node"), "node", "left_semi")
     sets = cut(sets.dropDuplicates(["node"]), "sets")
-    n_postings = postings.count()
-    links, parts = None, None
-    for turn in range(STARS + 1):
-        if turn:
-            lists = with_components(postings, parts)
-            few = lists.groupBy("token").agg(F.first("f").alias("f"), F.sum((F.col("component") != F.col("main")).cast("long")).alias("few"))
-            work = few.agg(F.sum(F.col("f") * F.col("few"))).first()[0] or 0
-            if work <= DENSE * n_postings:
-                break
-        found = confirmed(star_pairs(lists, turn), sets, matches, percent)
-        links = cut(found if links is None else links.unionByName(found), "links")
-        parts = connected_components(links)
-    else:
-        lists = with_components(postings, parts)
-    links = links.unionByName(confirmed(rest_pairs(lists), sets, matches, percent))
-    parts = connected_components(links)
-    return _verdict(signed, parts)
-
-
-def _verdict(signed: DataFrame, parts: DataFrame) -> DataFrame:
-    rows = signed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
-    rows = cut(rows.join(parts, "node", "left").select("id", "n", F.coalesce("component", "node").alias("component")), "row-components")
-    grouped = rows.filter("component IS NOT NULL")
-    smallest = cut(grouped.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("rows")), "smallest")
-    out = rows.join(smallest.filter("rows > 1").drop("rows"), "component", "left")
-    out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    bounds = cut(set_bounds(sets, percent), "bounds")
+    members = task_members(postings.join(bounds, "node"), chunk)
+    links = unit_links(members, sets, bounds, matches, percent)
+    # smallest id of each component, then of each node that stands for two rows or more
+    parts = connected_components(links).join(nodes.select("node", "first"), "node")
+    parts = cut(parts, "components")
+    smallest = cut(parts.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
+    linked = parts.join(smallest, "component").select("node", "component_id")
+    alone = nodes.filter("rows > 1").join(parts.select("node"), "node", "left_anti").select("node", F.col("first").alias("component_id"))
+    groups = cut(linked.unionByName(alone), "groups")
+    rows = signed.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
+    out = rows.join(groups, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
