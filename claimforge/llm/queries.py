@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimforge.llm import page_text, personal_data, quality, toxicity
@@ -70,7 +71,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(personal_data.find(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_text, op2_embedding_near_dedup, op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts, op10_personal_data)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_embedding_near_dedup, op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts, op10_personal_data, pipeline)}
 
 ORACLE = {
     "op8_exact_dedup": r"""

@@ -400,3 +400,15 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """The rows that are not called toxic, with their own columns; no row moves."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.scores(texts_of(b.column(at))) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
