@@ -49,8 +49,14 @@ THRESHOLD = 0.3
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def word_inputs(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word row, n-gram rows one after another, n-gram offsets) of each distinct word."""
+def word_inputs(words: pa.Array, block: int = 16_384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word row, n-gram rows one after another, n-gram offsets) of each distinct word, some words at a time."""
+    parts = [_word_inputs(words[lo : lo + block]) for lo in range(0, max(1, len(words)), block)]
+    sizes = np.concatenate([np.diff(p[2]) for p in parts])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _word_inputs(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bare = pa.array([w.strip(MARKS).lower() for w in words.to_pylist()], pa.large_string())
     chars, off = char_codes(bare)
     lens = np.diff(off)
@@ -69,9 +75,9 @@ def word_inputs(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rolled = mix64(rolled[:n] * np.uint64(31) + padded[size - 1 :])
         inside = word[:n] == word[size - 1 :]
         if size > 2:
-            rows.append((rolled[inside] % np.uint64(CHAR_ROWS)).astype(np.int64))
+            rows.append((rolled[inside] % np.uint64(CHAR_ROWS)).astype(np.int32))
             owner.append(word[:n][inside])
-    rows, owner = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*owner, np.zeros(0, np.int64)])
+    rows, owner = np.concatenate([*rows, np.zeros(0, np.int32)]), np.concatenate([*owner, np.zeros(0, np.int64)])
     order = np.argsort(owner, kind="stable")
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(padded + np.arange(len(padded), dtype=np.uint64) - np.repeat(poff[:-1], padded_lens).astype(np.uint64) * np.uint64(1)))])
     key = sums[poff[1:]] - sums[poff[:-1]]  # a hash of the characters with their places
@@ -253,17 +259,28 @@ def _sum_rows(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.column_stack([np.bincount(rows, weights=values[:, j], minlength=size) for j in range(values.shape[1])]).astype(np.float32)
 
 
-def label_facts(doc: np.ndarray, rows: np.ndarray, size: int, y: np.ndarray, of: np.ndarray) -> np.ndarray:
+def count_labels(off, codes, word, grams, gram_off, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of texts of each group that have a word row, and an n-gram row: (groups, rows) each, some texts at a time."""
+    words, chars = np.zeros((groups, WORD_ROWS + 1)), np.zeros((groups, CHAR_ROWS))
+    size = np.diff(gram_off)
+    for lo in range(0, len(off) - 1, 64):
+        hi = min(len(off) - 1, lo + 64)
+        doc = np.repeat(np.arange(lo, hi, dtype=np.int64), np.diff(off[lo : hi + 1]))
+        own = np.unique(doc * np.int64(len(word) + 1) + codes[off[lo] : off[hi]])
+        doc, code = own // (len(word) + 1), own % (len(word) + 1)
+        for rows, of, table in ((word[code], doc, words), (grams[spread(gram_off[code], size[code])], np.repeat(doc, size[code]), chars)):
+            seen = np.unique(of * np.int64(table.shape[1]) + rows)
+            at = group[seen // table.shape[1]] * table.shape[1] + seen % table.shape[1]
+            table += np.bincount(at, minlength=table.size).reshape(table.shape)
+    return words, chars
+
+
+def label_facts(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
     """Per row: signed likelihood-ratio statistic of its texts' labels against the overall share, in units of 20, at most 3."""
-    seen = np.unique(doc * np.int64(size) + rows)
-    lab, row = y[seen // size], seen % size
-    pos, neg = np.bincount(row[lab == 1], minlength=size).astype(float), np.bincount(row[lab == 0], minlength=size).astype(float)
-    y = y[of]
-    rates = pos / max(1, (y == 1).sum()), neg / max(1, (y == 0).sum())
-    n, share = pos + neg, min(max((y == 1).mean() if len(y) else 0.5, 1e-6), 1 - 1e-6)
+    n, share = pos + neg, min(max(n_pos / max(1, n_pos + n_neg), 1e-6), 1 - 1e-6)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.where(pos > 0, pos * np.log(pos / (n * share)), 0) + np.where(neg > 0, neg * np.log(neg / (n * (1 - share))), 0))
-    return np.clip(np.where(rates[0] >= rates[1], g, -g) / 20, -3, 3).astype(np.float32)
+    return np.clip(np.where(pos * max(1, n_neg) >= neg * max(1, n_pos), g, -g) / 20, -3, 3).astype(np.float32)
 
 
 def train(texts: list[str], y: np.ndarray, passes: int = 3, batch: int = 256, rate: float = 0.01, most_steps: int = 270, seed: int = 0) -> Network:
@@ -273,18 +290,19 @@ def train(texts: list[str], y: np.ndarray, passes: int = 3, batch: int = 256, ra
     word, grams, gram_off = word_inputs(words)
     start, length, text = windows(off)
     label = y[text].astype(np.float32)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(off))
-    size = np.diff(gram_off)[codes]
-    gram_doc, gram = np.repeat(doc, size), grams[spread(gram_off[codes], size)]
     fold = np.zeros(len(texts), np.int64)  # a text is trained with facts from the other half of the texts
     for k in (0, 1):
         fold[np.flatnonzero(y == k)[1::2]] = 1
 
-    def facts(of: np.ndarray):
-        """Word and n-gram facts from the labels of some texts."""
-        return label_facts(doc[of[doc]], word[codes[of[doc]]], WORD_ROWS + 1, y, of), label_facts(gram_doc[of[gram_doc]], gram[of[gram_doc]], CHAR_ROWS, y, of)
+    counts = count_labels(off, codes, word, grams, gram_off, 2 * fold + y, 4)
+    rows_of = np.bincount(2 * fold + y, minlength=4)
+
+    def facts(folds: list[int]):
+        """Word and n-gram facts from the labels of some folds."""
+        neg, pos = ([2 * f + k for f in folds] for k in (0, 1))
+        return [label_facts(t[pos].sum(axis=0), t[neg].sum(axis=0), rows_of[pos].sum(), rows_of[neg].sum()) for t in counts]
 
-    crossed = [facts(fold != k) for k in (0, 1)]
+    crossed = [facts([1 - k]) for k in (0, 1)]
 
     def use(k: int):
         net.word_fact, net.char_fact = crossed[k]
@@ -353,7 +371,7 @@ def train(texts: list[str], y: np.ndarray, passes: int = 3, batch: int = 256, ra
             chosen = rng.permutation(chosen)
     worst = np.maximum.reduceat(all_logits(), np.searchsorted(text, np.arange(len(texts)))).astype(np.float64)
     net.slope, net.offset = _calibrate(worst, y, texts_of_class)
-    net.word_fact, net.char_fact = facts(np.ones(len(texts), bool))
+    net.word_fact, net.char_fact = facts([0, 1])
     return net
 
 
