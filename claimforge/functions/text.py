@@ -83,6 +83,11 @@ def model_short_name(c) -> Column:
     return F.get(F.split(_col(c), "/"), 1)
 
 
+def token_count(c) -> Column:
+    """Default token counter of the length filters: white-space words."""
+    return word_count(c)
+
+
 SLOT_RE = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 
 

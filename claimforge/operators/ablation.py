@@ -11,21 +11,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimforge.functions.draws import hash_key, py_hash_key
-from claimforge.operators.corpus import RECIPES, TASKS, build_statements
+from claimforge.operators.corpus import RECIPES, TASKS, build_statements, with_digest
 from claimforge.operators.sampling import largest_remainder_quotas, take_first
 from claimforge.operators.templates import TRAIN_TEMPLATES
 
-# Task groups removed cumulatively by the leave-groups-out sweep (fixed order).
-LEAVE_OUT_ORDER = ["samsum", "wikilingua", "offensive", "massive", "dpr", "yelp_polarity"]
+# The task groups that the leave-groups-out sweep removes one after another.
+LEAVE_OUT_GROUPS = [
+    ["samsum", "wikilingua"],
+    ["offensive"],
+    ["massive"],
+    ["dpr"],
+    ["yelp_polarity"],
+    ["mintaka", "squad", "qasc", "sciq", "race"],
+]
 BUDGET = 100000
 
 
-def ablation_plan(spark: SparkSession, groups=LEAVE_OUT_ORDER) -> DataFrame:
+def ablation_plan(spark: SparkSession, groups=LEAVE_OUT_GROUPS) -> DataFrame:
     """Variant k excludes the first k groups (k = 0..len)."""
-    arr = F.array(*[F.lit(g) for g in groups])
-    return spark.range(0, len(groups) + 1).select(
-        F.col("id").cast("int").alias("variant"), F.slice(arr, 1, F.col("id").cast("int")).alias("excluded_list")
-    ).withColumn("excluded", F.array_join("excluded_list", ","))
+    rows = [(k, [t for g in groups[:k] for t in g], ",".join(t for g in groups[:k] for t in g)) for k in range(len(groups) + 1)]
+    return spark.createDataFrame(rows, "variant int, excluded_list array<string>, excluded string")
 
 
 def constant_budget(plan: DataFrame, n_tasks: int, budget: int = BUDGET) -> DataFrame:
@@ -117,5 +122,6 @@ def ppc_sweep(statements: DataFrame, ppcs, spc: int, seed, key_cols=("sample_idx
     return take_first(x, order, ["task"] + key_cols, quotas, ["ppc", "task", "is_true"])
 
 
-def all_statements(views, n, ppc, seed, tasks=TASKS, materialize=True) -> DataFrame:
-    return build_statements(views, tasks, n, ppc, seed, materialize)
+def all_statements(views, n, ppc, seed, tasks=TASKS, materialize=True, shape=with_digest) -> DataFrame:
+    """The statements that a sweep selects from, by default by digest: texts come last."""
+    return build_statements(views, tasks, n, ppc, seed, materialize, shape)

@@ -121,19 +121,25 @@ def drop_nogold(df: DataFrame, label="label") -> DataFrame:
 
 
 def build_shifted_answer(df, task, templates, question, answer, n_sample, seed=42, block_size=1000):
-    """The negative answer is the next row's answer inside a random block (wrapping).
+    """The negative answer is the next distinct answer inside a random block (wrapping).
 
     Blocks are ``ceil(n / block_size)`` md5 buckets of the sampled rows, so the window is
-    spread over many tasks.  A negative whose borrowed answer equals the truth is dropped.
+    spread over many tasks.  A negative is dropped only if its whole block has one answer.
     """
     n_blocks = max(1, -(-int(n_sample) // block_size))
     pos = is_positive(seed, task)
     x = df.withColumn("_blk", draw_mod(seed, f"blk:{task}", n_blocks, "sample_idx")).withColumn("_pos", pos)
     w = Window.partitionBy("_blk").orderBy("sample_idx")
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nxt = F.coalesce(F.lead(_c(answer)).over(w), F.first(_c(answer)).over(wall))
-    x = x.withColumn("_other", nxt)
-    x = x.filter(F.col("_pos") | ~F.col("_other").eqNullSafe(_c(answer)))
+    # where the next row has another answer; the first such place from a row on ends its run of equal answers
+    follow = F.lead(F.struct(_c(answer).alias("v"))).over(w)
+    x = x.withColumn("_turn", F.when(follow.isNotNull() & ~follow["v"].eqNullSafe(_c(answer)), follow))
+    ahead = F.first("_turn", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    head = F.first(F.struct(_c(answer).alias("v"))).over(wall)  # the block starts again
+    head = F.when(~head["v"].eqNullSafe(_c(answer)), head)
+    second = F.first("_turn", ignorenulls=True).over(wall)
+    x = x.withColumn("_next", F.coalesce(ahead, head, second))
+    x = x.filter(F.col("_pos") | F.col("_next").isNotNull()).withColumn("_other", F.col("_next")["v"])
     ans = F.when(F.col("_pos"), _c(answer)).otherwise(F.col("_other"))
     x = x.withColumn("_ans", ans)
     x = _explode(x, [(i, fill_template(t, [_c(question), F.col("_ans")])) for i, t in templates])

@@ -141,12 +141,26 @@ def task_source(views: TaskViews, task: str) -> DataFrame:
     return r.prep(src)
 
 
-def build_statements(views: TaskViews, tasks, n=DEFAULT_N, ppc=5, seed=42, materialize=True) -> DataFrame:
+KEYS = ["task", "sample_idx", "template_id", "is_true"]
+
+
+def keys_only(statements: DataFrame) -> DataFrame:
+    """What selections and profiles need: the statements' texts are then never made."""
+    return statements.select(*KEYS)
+
+
+def with_digest(statements: DataFrame) -> DataFrame:
+    """Statements by the md5 of their text, for selections over many corpora (the text can be joined to
+    the selected keys at the end)."""
+    return statements.withColumn("statement_md5", F.md5("statement")).drop("statement")
+
+
+def build_statements(views: TaskViews, tasks, n=DEFAULT_N, ppc=5, seed=42, materialize=True, shape=_ident) -> DataFrame:
     """Resize (B3) and build (C*) every task; one counting job, one union plan.
 
     With ``materialize`` the uncapped statements (bounded by tasks x n x templates, whatever
     the source size) are written once as Parquet, so the stratified passes that follow never
-    rescan the sources.
+    rescan the sources.  ``shape`` picks what is kept of a statement (see ``keys_only``).
     """
     tasks = list(tasks)
     if not tasks:
@@ -157,7 +171,7 @@ def build_statements(views: TaskViews, tasks, n=DEFAULT_N, ppc=5, seed=42, mater
     for t in tasks:
         sampled = resize_to_n(srcs[t], n, seed, f"samp:{t}", n_rows=sizes[t])
         parts.append(_build(t, RECIPES[t], sampled, _chosen(seed, t, RECIPES[t].template_set, ppc), seed, n))
-    st = union_all(parts)
+    st = shape(union_all(parts))
     return materialize_df(st, "statements") if materialize else st
 
 
@@ -176,14 +190,14 @@ def task_corpus(views: TaskViews, task: str, n=DEFAULT_N, ppc=5, spc=4000, seed=
     return cap_statements(build_statements(views, [task], n, ppc, seed, materialize), spc, seed)
 
 
-def build_corpus(views: TaskViews, exclude=None, n=DEFAULT_N, ppc=5, spc=4000, seed=42, tasks=None, materialize=True) -> DataFrame:
+def build_corpus(views: TaskViews, exclude=None, n=DEFAULT_N, ppc=5, spc=4000, seed=42, tasks=None, materialize=True, shape=_ident) -> DataFrame:
     """C15 + A7: union of every non-excluded task corpus; excluded tasks are never read.
 
     Raises when nothing is left, as concatenating an empty list would.
     """
     excluded = set(parse_exclude(exclude))
     chosen = [t for t in (tasks or TASKS) if t not in excluded]
-    return cap_statements(build_statements(views, chosen, n, ppc, seed, materialize), spc, seed)
+    return cap_statements(build_statements(views, chosen, n, ppc, seed, materialize, shape), spc, seed)
 
 
 def corpus_profile(corpus: DataFrame) -> DataFrame:

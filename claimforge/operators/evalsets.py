@@ -16,8 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.functions.draws import py_draw
-from claimforge.functions.text import fill_template, shuffle_words
+from claimforge.functions.text import fill_template, shuffle_words, token_count
 from claimforge.operators.templates import CLASS_NAMES, EVAL_TEMPLATES
+from claimforge.sources.standins import after_first_sentence, first_sentence
+
+#: Statements of the topic and emotion sets are shorter than this.
+MAX_EVAL_TOKENS = 514
+#: Candidate answers of each set (a pair set has one statement and two classes).
+SET_SIZES = {"copa": 2, "mrpc": 2, "amazon_p": 2, "figqa": 2, "storycloze": 2, "yahoo": 10, "emotion": 6}
 
 OUT_COLS = ["dataset", "example_id", "cand_idx", "statement", "label"]
 
@@ -106,12 +112,27 @@ def eval_class_candidates(df, text_cols, class_names, seed=42, run=0, shuffle=Fa
     return _long(x, dataset, cands, F.col("label"))
 
 
+def short_examples(long: DataFrame, candidates: int, limit: int = MAX_EVAL_TOKENS, count=token_count) -> DataFrame:
+    """Examples all of whose candidate statements have fewer than ``limit`` tokens.
+
+    The longest candidate decides; candidates of an example differ by one short slot, so the test
+    runs per statement and an example stays if all of its ``candidates`` do.
+    """
+    ok = long.filter(count(F.col("statement")) < limit)
+    whole = ok.groupBy("dataset", "example_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == candidates)
+    return ok.join(whole.drop("_n"), ["dataset", "example_id"], "left_semi").select(*OUT_COLS)
+
+
 def eval_topic_candidates(df, seed=42, run=0, shuffle=False):
-    return eval_class_candidates(df, ["title", "content"], CLASS_NAMES["language"], seed, run, shuffle, "yahoo")
+    """Ten topics; over-long examples are left out."""
+    names = CLASS_NAMES["topic"]
+    return short_examples(eval_class_candidates(df, ["title", "content"], names, seed, run, shuffle, "yahoo"), len(names))
 
 
 def eval_emotion_candidates(df, seed=42, run=0, shuffle=False):
-    return eval_class_candidates(df, ["text"], CLASS_NAMES["language"], seed, run, shuffle, "emotion")
+    """Six emotions; over-long examples are left out."""
+    names = CLASS_NAMES["emotion"]
+    return short_examples(eval_class_candidates(df, ["text"], names, seed, run, shuffle, "emotion"), len(names))
 
 
 def wide_candidates(long: DataFrame, n_cands: int) -> DataFrame:
@@ -126,22 +147,19 @@ def wide_candidates(long: DataFrame, n_cands: int) -> DataFrame:
 def eval_inputs(views) -> dict[str, DataFrame]:
     """The seven evaluation sets over the stand-in views (column names as the modelled tasks)."""
     bin_ = views.bin()
-    multi = views.multi()
     return {
         "copa": views.copa(),
         "mrpc": views.pairs(),
         "amazon_p": bin_.select(
-            "id", F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 140).alias("content"), "label"
+            "id", first_sentence("text").alias("title"), after_first_sentence("text").alias("content"), "label"
         ),
         "figqa": views.choice().select(
             "id", F.col("sentence").alias("startphrase"), F.col("option1").alias("ending1"),
             F.col("option2").alias("ending2"), F.col("label").alias("labels"),
         ),
         "storycloze": views.story(),
-        "yahoo": multi.select(
-            "id", F.substring("text", 1, 100).alias("title"), F.substring("text", 101, 100).alias("content"), "label"
-        ),
-        "emotion": multi.select("id", "text", "label"),
+        "yahoo": views.topic(),
+        "emotion": views.emotion(),
     }
 
 

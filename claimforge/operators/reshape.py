@@ -67,11 +67,14 @@ def dedup_none(df: DataFrame, keys) -> DataFrame:
 
 
 def baseline_delta(results: DataFrame, baseline: DataFrame, on=("shot", "dataset"), value="Mean", base_value="accuracy") -> DataFrame:
-    """H7: subtract the baseline accuracy of the same (shot, dataset); first baseline row per key."""
+    """H7: subtract the baseline accuracy of the same (shot, dataset); first baseline row per key.
+
+    Results without a baseline stay, with a NULL delta.
+    """
     on = list(on)
     ranked = baseline.withColumn("_nullfirst", F.col(base_value).isNull())
     b = dedup_first(ranked, on, ["_nullfirst", base_value]).select(*on, F.col(base_value).alias("_base"))
-    return results.join(b, on).withColumn("delta", F.col(value) - F.col("_base")).drop("_base")
+    return results.join(b, on, "left").withColumn("delta", F.col(value) - F.col("_base")).drop("_base")
 
 
 # ---- H8: Savitzky-Golay smoothing -------------------------------------------------------------------

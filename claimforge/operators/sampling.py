@@ -8,10 +8,12 @@ survives skewed groups at any size:
 
 1. a histogram of the first 16 bits of the md5 per group
    (partial aggregation map-side; at most 65536 rows per group);
-2. per group, the bucket where the running count crosses ``q``
-   (one row per group; AQE broadcasts it when it is small);
-3. rows in earlier buckets are kept outright; only rows of the crossing bucket
-   are ranked, by a window partitioned by (group, bucket).
+2. per group, the bucket where the running count crosses ``q``: one row per
+   group, written to the scratch folder, so that Spark plans the join with the
+   input from its true size and broadcasts it when it is small;
+3. rows beyond the crossing bucket are dropped before any exchange; the kept
+   rows are ranked by a window partitioned by (group, bucket), which decides
+   about those of the crossing bucket.
 
 No task ever holds more than one bucket of one group, so a group holding a
 third of all rows is split 65536 ways.  The dense rank used by the bootstrap
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimforge.functions.draws import N_BUCKETS, bucket_of, draw, hash_key
+from claimforge.session import materialize
 
 _ALL = "_cf_all"
 
@@ -81,7 +84,9 @@ def take_first(
         )
 
     found = F.aggregate(F.col("_cf_hist"), init, step)
-    cut = per_g.select(*g, found["cb"].alias("_cf_cb"), found["rem"].alias("_cf_rem"))
+    # one row per group; written first, so that the join below is planned from its true size: a small
+    # table is broadcast and the input is cut before any exchange, a large one is sort-merged
+    cut = materialize(per_g.select(*g, found["cb"].alias("_cf_cb"), found["rem"].alias("_cf_rem")), "cuts")
     cb = F.coalesce(F.col("_cf_cb"), F.lit(N_BUCKETS))  # no crossing: the whole group fits
     wr = Window.partitionBy(*g, "_cf_b").orderBy("_cf_h", *tie_cols)
     j = d.join(cut, g, "left").filter(F.col("_cf_b") <= cb)

@@ -64,10 +64,14 @@ def pandas_scorer(fn: Callable[[list[str]], list[float]], batch_size: int = 64):
 
 
 def argmax_candidates(scored: DataFrame, keys=("dataset", "example_id")) -> DataFrame:
-    """predicted candidate = highest ``p_true``; the first index wins ties."""
+    """predicted candidate = highest ``p_true``; the first index wins ties.
+
+    An example's few candidates are collected (a hash aggregate, no sort of the input) and compared
+    as (probability, -index).
+    """
     keys = list(keys)
-    best = F.max_by(F.col("cand_idx"), F.struct(F.col("p_true"), -F.col("cand_idx")))
-    return scored.groupBy(*keys).agg(best.alias("pred"), F.first("label").alias("label"))
+    some = F.array_max(F.collect_list(F.struct(F.col("p_true"), (-F.col("cand_idx")).alias("i"))))
+    return scored.groupBy(*keys).agg((-some["i"]).alias("pred"), F.min("label").alias("label"))
 
 
 def argmax_logits(df: DataFrame, col: str = "logits") -> DataFrame:
@@ -132,14 +136,11 @@ def throughput(log: DataFrame, keys=("dataset",), n_col="n_examples", t_col="sec
     return out
 
 
-def random_baseline(long: DataFrame, single_statement_classes: int = 2) -> DataFrame:
-    """chance accuracy per dataset = mean of 1 / candidates per example.
-
-    Sets with one statement per example are binary decisions (chance 1/2).
-    """
-    per_ex = long.groupBy("dataset", "example_id").agg(F.count(F.lit(1)).alias("k"))
-    k = F.when(F.col("k") == 1, F.lit(single_statement_classes)).otherwise(F.col("k"))
-    return per_ex.groupBy("dataset").agg(F.avg(F.lit(1.0) / k).alias("accuracy")).withColumn("model", F.lit("random"))
+def random_baseline(counts: DataFrame, set_sizes: dict[str, int]) -> DataFrame:
+    """accuracy of a random guess per set, ``1 / candidate answers``, which the set's definition says
+    (no statement is built); ``counts`` is ``(dataset, n_examples)``."""
+    sizes = F.create_map(*[F.lit(x) for kv in set_sizes.items() for x in kv])
+    return counts.withColumn("accuracy", F.lit(1.0) / F.element_at(sizes, F.col("dataset"))).withColumn("model", F.lit("random"))
 
 
 # ---- F2: fit a claim classifier with pyspark.ml ------------------------------------------------------

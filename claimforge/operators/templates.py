@@ -1,7 +1,7 @@
 """Template sets and template selection.
 
-Wording is our own; only the slot structure follows the modelled tasks.
-``${n}`` is the n-th value passed to ``fill_template``.  A task's templates
+The sets are written from the slot contract of each task (the comments), which is all that a
+builder relies on; how many templates a group has and how they read is free.  ``${n}`` is the n-th value passed to ``fill_template``.  A task's templates
 are grouped: ``pos``/``neg`` for pair tasks, a class index for class-keyed
 tasks, ``g1``..``g4`` for multi-group tasks.
 """
@@ -13,147 +13,105 @@ from pyspark.sql import functions as F
 
 from claimforge.functions.draws import hash_key, py_hash_key
 
-# ---- fixed template wording (training tasks) ------------------------------------------------
+# ---- training tasks: each set is written from its slot contract alone -------------------------
 TRAIN_TEMPLATES: dict[str, dict[str, list[str]]] = {
+    # 1, 2: two questions
     "qqp": {
         "pos": [
-            '"${1}" asks the same thing as "${2}"',
-            '"${1}" and "${2}" are duplicate questions',
-            '"${1}" means the same as "${2}"',
-            '"${1}" restates "${2}"',
-            '"${1}" is equivalent to "${2}"',
+            "One could swap ${1} for ${2}",
+            "${1} // ${2} // both want one thing",
+            "Whoever answers ${2} has answered ${1}",
+            "Merge these: ${1} + ${2}",
         ],
         "neg": [
-            '"${1}" and "${2}" are different questions',
-            '"${1}" does not mean the same as "${2}"',
-            '"${1}" is not equivalent to "${2}"',
-            '"${1}" asks something other than "${2}"',
-            '"${1}" and "${2}" are not duplicates',
-            '"${1}" differs in meaning from "${2}"',
+            "One could not swap ${1} for ${2}",
+            "${1} // ${2} // each wants its own thing",
+            "Keep these apart: ${1} + ${2}",
         ],
     },
-    "winogrande": {
-        "all": [
-            'In the sentence "${1}", the blank stands for ${2}',
-            'Fill in "${1}": ${2}',
-            'The word missing from "${1}" is ${2}',
-            '"${1}" -> the blank is ${2}',
-            'Sentence: "${1}" Blank: ${2}',
-        ]
-    },
-    "piqa": {
-        "all": [
-            "${1} ${2}",
-            "To achieve: ${1}. Do this: ${2}",
-            "A good way to ${1} is: ${2}",
-            "Task: ${1} | Method: ${2}",
-        ]
-    },
+    # 1: sentence with a blank, 2: what fills it
+    "winogrande": {"all": ["[${2}] completes ${1}", "Gap text: ${1}\nGap: ${2}", "Read _ as ${2} in: ${1}"]},
+    # 1: aim, 2: way
+    "piqa": {"all": ["Aim - ${1}. Way - ${2}.", "${2}: that is how you ${1}", "Step for ${1}\n* ${2}", "Tip (${1}): ${2}", "If you want to ${1}, then ${2}"]},
+    # 1: what is given, 2: what is claimed; one list per relation
     "nli": {
-        "0": ['"${1}" implies "${2}"', "${1} So it is true that ${2}", "Premise: ${1} | Hypothesis: ${2} | relation: implied"],
-        "1": [
-            '"${1}" neither implies nor rules out "${2}"',
-            "${1} So it might be that ${2}",
-            "Premise: ${1} | Hypothesis: ${2} | relation: undetermined",
-        ],
-        "2": ['"${1}" rules out "${2}"', "${1} So it is false that ${2}", "Premise: ${1} | Hypothesis: ${2} | relation: conflicting"],
-    },
-    "qa": {
-        "all": [
-            "Question: ${1} | Answer: ${2}",
-            "${1} ${2}",
-            "Asked: ${1} Replied: ${2}",
-            "The reply to ${1} is ${2}",
-        ]
-    },
-    "summary": {
-        "all": [
-            "Text: ${1} | Summary: ${2}",
-            'A summary of "${1}" is ${2}',
-            "Passage: ${1} In short: ${2}",
-            "Summarise: ${1} -> ${2}",
-            'In brief, "${1}" says ${2}',
-        ]
-    },
+        "0": ["Granted ${1}, ${2} follows", "${2} [supported by: ${1}]"],
+        "1": ["Granted ${1}, ${2} stays open", "${2} [not settled by: ${1}]"],
+        "2": ["Granted ${1}, ${2} can't hold", "${2} [refuted by: ${1}]"],
+    },
+    # 1: question, 2: answer
+    "qa": {"all": ["user> ${1}\nbot> ${2}", "${2} settles the question ${1}", "FAQ entry. ${1} :: ${2}"]},
+    # 1: long text, 2: short text
+    "summary": {"all": ["${2}\n(long form: ${1})", "tl;dr of ${1}: ${2}", "Headline: ${2}\nBody: ${1}", "${1}\n\nAbstract: ${2}"]},
+    # 1: text; one list per tone
     "polarity": {
-        "0": ['"${1}" reads as negative', "${1} Tone: negative", 'The tone of "${1}" is unfavourable'],
-        "1": ['"${1}" reads as positive', "${1} Tone: positive", 'The tone of "${1}" is favourable'],
-    },
-    "squad": {
-        "all": [
-            "Passage: ${1} Question: ${2} Answer: ${3}",
-            'From "${1}", the answer to "${2}" is ${3}',
-            "${1} Q: ${2} A: ${3}",
-        ]
-    },
-    "class": {
-        "all": ['"${1}" is labelled ${2}', "Text: ${1} | Class: ${2}", "The category of ${1} is ${2}", "${1} => ${2}"]
-    },
-    "dpr": {
-        "all": [
-            'In "${1}", the word ${2} points to ${3}',
-            'Sentence: ${1} | "${2}" means ${3}',
-            "${1} Here ${2} is ${3}",
-        ]
-    },
+        "0": ["Thumbs down: ${1}", "${1} [unhappy customer]", "Complaint - ${1}", "One star. ${1}"],
+        "1": ["Thumbs up: ${1}", "${1} [happy customer]", "Praise - ${1}", "Five stars. ${1}"],
+    },
+    # 1: passage, 2: question, 3: answer
+    "squad": {"all": ["${2} ${3}, according to: ${1}", "Excerpt\n${1}\nQuiz\n${2}\nKey\n${3}"]},
+    # 1: text, 2: class name
+    "class": {"all": ["${2}: ${1}", "File under ${2} >> ${1}", "Tag(${1}) = ${2}"]},
+    # 1: sentence, 2: pronoun, 3: whom it names
+    "dpr": {"all": ["${2} = ${3} in: ${1}", "${1}\n(who is ${2}? ${3})"]},
+    # g1: 1 lettered question, 2 letter; g2: 1 lettered question, 2 option; g3: 1 fact, 2 question, 3 option;
+    # g4: 1 fact, 2 lettered question, 3 letter
     "qasc": {
-        "g1": ["${1} Choice: ${2}", 'Question "${1}" has answer ${2}', "${1} -> ${2}"],
-        "g2": ['For "${1}" the answer is ${2}'],
-        "g3": ["Fact: ${1} Question: ${2} Answer: ${3}", '${2} Given "${1}", the answer is ${3}', "${1} ${2} ${3}"],
-        "g4": ["Fact: ${1} | Question: ${2} | Choice: ${3}"],
+        "g1": ["Tick ${2} on: ${1}", "${1}\nKey: ${2}"],
+        "g2": ["${2} is the pick for ${1}", "${1}\nWritten out: ${2}"],
+        "g3": ["Since ${1}, ${2} leads to ${3}", "${3} - asked ${2} - because ${1}"],
+        "g4": ["Hint: ${1}\n${2}\nTick ${3}", "${2} (${3}, as ${1})"],
     },
+    # g1: 1 question, 2 answer; g2: 1 support, 2 question, 3 answer
     "sciq": {
-        "g1": ["${1} ${2}", "Question: ${1} | Answer: ${2}"],
-        "g2": [
-            "${1} Question: ${2} Answer: ${3}",
-            "Using ${1}, we answer ${2} with ${3}",
-            'Given "${1}", the answer to ${2} is ${3}',
-        ],
+        "g1": ["Exam item ${1}, solution ${2}", "${2} <- ${1}", "Lab card: ${1} / ${2}"],
+        "g2": ["Textbook says ${1}; hence for ${2} write ${3}", "${3} <- ${2} <- ${1}"],
     },
-    "race": {"all": ["${1} ${2}"]},
+    # 1: article, 2: question with its option filled in
+    "race": {"all": ["${2}\n-- from ${1}", "Having read ${1}: ${2}"]},
 }
 
-# ---- fixed template wording (evaluation sets) -----------------------------------------------
+# ---- evaluation sets, from their slot contracts -------------------------------------------------
 EVAL_TEMPLATES: dict[str, dict[str, list[str]]] = {
+    # 1: premise, 2: choice
     "copa": {
-        "cause": ['"${1}" happened because "${2}"', 'The reason for "${1}" is "${2}"', '"${1}", caused by "${2}"'],
-        "effect": ['"${1}", and as a result "${2}"', 'A consequence of "${1}" is "${2}"', '"${1}", hence "${2}"'],
-    },
-    "mrpc": {
-        "all": [
-            '"${1}" says the same as "${2}"',
-            '"${1}" Put differently: "${2}"',
-            '"${1}" restated: "${2}"',
-            '"${1}" is a rewording of "${2}"',
-        ]
+        "cause": ["${2}; that is why ${1}", "First ${2}, then ${1}"],
+        "effect": ["${1}; that is why ${2}", "First ${1}, then ${2}"],
     },
+    # 1, 2: two sentences
+    "mrpc": {"all": ["${1} can be retold as ${2}", "Twins: ${1} & ${2}", "${2} adds nothing to ${1}"]},
+    # 1: title, 2: content
     "amazon_p": {
-        "0": ['"${1} ${2}" is a negative review', "${1} ${2} Verdict: negative", "The review ${1} ${2} is unhappy"],
-        "1": ['"${1} ${2}" is a positive review', "${1} ${2} Verdict: positive", "The review ${1} ${2} is happy"],
-    },
-    "figqa": {"all": ["${1} ${2}", "${1} which means ${2}", "Phrase: ${1} | Meaning: ${2}"]},
-    "storycloze": {
-        "all": ["${1} ${2} ${3} ${4} ${5}", "Story: ${1} ${2} ${3} ${4} End: ${5}", 'Story: "${1} ${2} ${3} ${4}" End: "${5}"']
-    },
-    "yahoo": {"all": ['"${1} ${2}" is about ${3}', "Post: ${1} ${2} | Topic: ${3}", "The subject of ${1} ${2} is ${3}"]},
-    "emotion": {"all": ['"${1}" expresses ${2}', "Text: ${1} | Feeling: ${2}", "The writer of ${1} feels ${2}"]},
+        "0": ["Would not buy again. ${1}: ${2}", "Refund wanted - ${1} - ${2}"],
+        "1": ["Would buy again. ${1}: ${2}", "Well worth it - ${1} - ${2}"],
+    },
+    # 1: phrase, 2: ending
+    "figqa": {"all": ["${1}, in plain words: ${2}", "Put simply, ${1} ${2}"]},
+    # 1-4: story so far, 5: ending
+    "storycloze": {"all": ["${1}. ${2}. ${3}. ${4}. At last ${5}", "(1) ${1} (2) ${2} (3) ${3} (4) ${4} (5) ${5}"]},
+    # 1: title, 2: content, 3: topic
+    "yahoo": {"all": ["Forum ${3}: ${1} ${2}", "${3} fans may like: ${1} - ${2}"]},
+    # 1: text, 2: feeling
+    "emotion": {"all": ["[${2}] ${1}", "${1} ... full of ${2}", "Mood ${2}: ${1}", "It takes ${2} to write ${1}"]},
 }
 
-# ---- fixed class names for the stand-in label sets --------------------------------------------
+# ---- class names of the stand-in label sets ------------------------------------------------------
 CLASS_NAMES = {
     "offensive": ["harmless", "offensive"],
     "language": ["German", "English", "Spanish", "another language"],
+    "topic": ["gardening", "astronomy", "cooking", "law", "football", "painting", "banking", "travel", "medicine", "programming"],
+    "emotion": ["calm", "disgust", "pride", "boredom", "hope", "envy"],
 }
 
-# ---- fixed prompt templates for the speed harness (D9, D10) -----------------------------------
+# ---- prompt templates for the speed harness (D9, D10) --------------------------------------------
 PROMPTS = {
-    "copa": "{{ premise }} so {{ choice1 }}",
-    "mrpc": "First: {{ text1 }}\nSecond: {{ text2 }}\nSame meaning?\nReply:",
-    "figqa": "{{ sentence }} meaning {{ option1 }}",
-    "amazon_p": "{{ text }}\nIs the tone positive or negative?\nReply:",
+    "copa": "Given {{ premise }}, is {{ choice1 }} likelier than {{ choice2 }}?",
+    "mrpc": "{{ text1 }}\n---\n{{ text2 }}\nTwins (yes/no):",
+    "figqa": "{{ sentence }}: {{ option1 }} or {{ option2 }}?",
+    "amazon_p": "Customer wrote: {{ text }}\nHappy?",
     "storycloze": "{{[input_sentence_1, input_sentence_2]|join(' ')}}",
-    "yahoo": "{{ text }}\nWhich language is this?\nReply:",
-    "emotion": "{{ text }}\nWhat feeling is expressed?\nReply:",
+    "yahoo": "Pick a forum for this post: {{ text }}",
+    "emotion": "Name the mood of: {{ text }}",
 }
 
 

@@ -8,21 +8,30 @@ from pyspark.sql import functions as F
 
 from claimforge.operators import ablation as AB
 from claimforge.operators import scoring as SCR
-from claimforge.operators.corpus import TASKS, build_corpus, corpus_profile
+from claimforge.operators.corpus import RECIPES, TASKS, build_corpus, corpus_profile, keys_only
 from claimforge.plans import sql_corpus as SC
 from claimforge.plans.base import N, PPC, SEED, SPC, V, register
 from claimforge.plans.q_eval import ARGMAX_SQL, K_WAY, TWO_WAY, _eval_long, eval_ctes, p_sql
 from claimforge.plans.sqlviews import q, sql_hash, with_ctes
 
-SPC_SIZES = [1000, 2000, 3000, 4000, 5000]
+SPC_SIZES = [1000, 2000, 3000, 4000, 5000, 10000, 20000, 40000, 50000]
 PPC_VALUES = [1, 2, 3, 4, 5]
-PPC_SWEEP_SPC = 1000
+PPC_SWEEP_SPC = 4000
 N_RUNS = 3
 
-_groups_sql = "[" + ", ".join(q(g) for g in AB.LEAVE_OUT_ORDER) + "]"
+# The oracle states the sweep itself: variant, tasks left out, rows per task.
+_SWEEP = [
+    (0, "", 6250),
+    (1, "samsum,wikilingua", 7143),
+    (2, "samsum,wikilingua,offensive", 7692),
+    (3, "samsum,wikilingua,offensive,massive", 8333),
+    (4, "samsum,wikilingua,offensive,massive,dpr", 9091),
+    (5, "samsum,wikilingua,offensive,massive,dpr,yelp_polarity", 10000),
+    (6, "samsum,wikilingua,offensive,massive,dpr,yelp_polarity,mintaka,squad,qasc,sciq,race", 20000),
+]
 PLAN_SQL = (
-    f"select cast(range as int) as variant, list_slice({_groups_sql}, 1, range) as excluded_list, "
-    f"array_to_string(list_slice({_groups_sql}, 1, range), ',') as excluded from range(0, {len(AB.LEAVE_OUT_ORDER) + 1})"
+    "select variant, excluded, spc, case when excluded = '' then [] else string_split(excluded, ',') end as excluded_list from (values "
+    + ", ".join(f"({v}, '{x}', {n})" for v, x, n in _SWEEP) + ") t(variant, excluded, spc)"
 )
 
 
@@ -38,7 +47,7 @@ def _stm_ctes(ppc=PPC):
     ctes = []
     for t in TASKS:
         ctes += SC.sql_task_statements(t, N, ppc, SEED)
-    ctes.append(("stm", " union all ".join(f"select * from t_{t}_st" for t in TASKS)))
+    ctes.append(("stm", " union all ".join(f"select * exclude (statement), md5(statement) as statement_md5 from t_{t}_st" for t in TASKS)))
     return ctes
 
 
@@ -46,7 +55,7 @@ VIEWS = SC.views_for(TASKS)
 
 
 def _profile(s, r):
-    return corpus_profile(build_corpus(V(s, r), None, N, PPC, SPC, SEED))
+    return corpus_profile(build_corpus(V(s, r), None, N, PPC, SPC, SEED, shape=keys_only))
 
 
 # ---- I1 / I2 ------------------------------------------------------------------------------------
@@ -72,18 +81,37 @@ register(
 )(_i1)
 
 
+def _source_counts(s, r):
+    """Rows that each task can be sampled from (one small aggregate per task, no statement built)."""
+    views = V(s, r)
+    parts = []
+    for t, recipe in RECIPES.items():
+        df = getattr(views, recipe.view)()
+        df = recipe.pre_filter(df) if recipe.pre_filter else df
+        parts.append(df.agg(F.count(F.lit(1)).alias("n_source")).select(F.lit(t).alias("task"), "n_source"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def _i2(s, r):
-    n_tasks = _profile(s, r).count()
-    return AB.constant_budget(AB.ablation_plan(s), n_tasks).select("variant", "excluded", "n_tasks", "spc")
+    plan = AB.constant_budget(AB.ablation_plan(s), len(TASKS))
+    left = plan.crossJoin(F.broadcast(_source_counts(s, r))).filter(~F.array_contains("excluded_list", F.col("task")))
+    return left.groupBy("variant", "excluded", "spc").agg(
+        F.count_if(F.col("n_source") > 0).alias("n_tasks"), F.sum("n_source").cast("bigint").alias("n_source")
+    )
 
 
-register(
-    "constant_budget",
-    with_ctes(VIEWS, _corpus_ctes() + [("plan", PLAN_SQL), ("nt", "select count(distinct task) as n from corpus")], (
-        "select variant, excluded, cast(n - len(excluded_list) as int) as n_tasks, "
-        f"cast(round(CAST({AB.BUDGET} AS DOUBLE) / (n - len(excluded_list))) as bigint) as spc from plan cross join nt"
-    )),
-)(_i2)
+def _i2_sql():
+    parts = []
+    for t in TASKS:
+        where = {"mnli": " where label >= 0", "snli": " where label >= 0", "race": " where instr(question, ' _') > 0"}.get(t, "")
+        parts.append(f"select '{t}' as task, count(*) as n_source from V_{RECIPES[t].view}{where}")
+    return with_ctes(VIEWS, [("plan", PLAN_SQL), ("src", " union all ".join(parts))], (
+        "select variant, excluded, cast(spc as bigint) as spc, count(*) filter (n_source > 0) as n_tasks, cast(sum(n_source) as bigint) as n_source "
+        "from plan join src on not list_contains(excluded_list, task) group by variant, excluded, spc"
+    ))
+
+
+register("constant_budget", _i2_sql())(_i2)
 
 # ---- I3 / I4 / I5 -------------------------------------------------------------------------------
 
@@ -116,9 +144,8 @@ register(
     "ablation_corpora",
     with_ctes(VIEWS, _stm_ctes() + [
         ("plan", PLAN_SQL),
-        ("plan2", f"select variant, excluded_list, cast(round(CAST({AB.BUDGET} AS DOUBLE) / ({len(TASKS)} - len(excluded_list))) as bigint) as spc from plan"),
         ("cnt0", "select task, is_true, count(*) as n from stm group by task, is_true"),
-        ("cnt", "select p.variant, c.task, c.is_true, c.n, p.spc as req from cnt0 c cross join plan2 p where not list_contains(p.excluded_list, c.task)"),
+        ("cnt", "select p.variant, c.task, c.is_true, c.n, cast(p.spc as bigint) as req from cnt0 c cross join plan p where not list_contains(p.excluded_list, c.task)"),
     ] + _quota_ctes("ab", "cnt", ["variant", "task"]) + [
         ("rk", f"select *, row_number() over (partition by task, is_true order by {ORDER_SQL}, task, sample_idx, template_id) as rn_ from stm"),
     ], "select rk.* exclude (rn_), q.variant from rk join ab_quota q using (task, is_true) where rn_ <= q.quota"),
@@ -177,8 +204,8 @@ register(
 
 
 def _run_preds(s, r, run):
-    multi = SCR.argmax_candidates(SCR.keyed_scorer(_eval_long(s, r, TWO_WAY + K_WAY, run), SEED))
-    mrpc = SCR.argmax_logits(SCR.keyed_logits(_eval_long(s, r, ["mrpc"], run), SEED)).select("dataset", "example_id", "pred", "label")
+    multi = SCR.argmax_candidates(SCR.keyed_scorer(_eval_long(s, r, TWO_WAY + K_WAY, run), SEED + run))
+    mrpc = SCR.argmax_logits(SCR.keyed_logits(_eval_long(s, r, ["mrpc"], run), SEED + run)).select("dataset", "example_id", "pred", "label")
     return multi.unionByName(mrpc).withColumn("run", F.lit(run))
 
 
@@ -194,9 +221,9 @@ def _i7_sql():
         v, c = eval_ctes(TWO_WAY + K_WAY + ["mrpc"], k, p)
         views += [x for x in v if x not in views]
         ctes += c
-        ctes.append((f"{p}scored", f"select *, {p_sql()} as p_true from {p}long_all where dataset <> 'mrpc'"))
+        ctes.append((f"{p}scored", f"select *, {p_sql(seed=SEED + k)} as p_true from {p}long_all where dataset <> 'mrpc'"))
         ctes.append((f"{p}mc", ARGMAX_SQL.replace("from scored", f"from {p}scored")))
-        ctes.append((f"{p}lg", f"select *, [{p_sql('l0')}, {p_sql('l1')}] as logits from {p}l_mrpc"))
+        ctes.append((f"{p}lg", f"select *, [{p_sql('l0', SEED + k)}, {p_sql('l1', SEED + k)}] as logits from {p}l_mrpc"))
         ctes.append((f"{p}mp", f"select dataset, example_id, cast(list_position(logits, list_max(logits)) - 1 as int) as pred, label from {p}lg"))
         parts.append(f"select {k} as run, * from {p}mc union all select {k} as run, * from {p}mp")
     ctes.append(("preds", " union all ".join(parts)))

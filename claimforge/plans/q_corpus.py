@@ -8,7 +8,7 @@ from claimforge.functions.draws import draw_mod
 from claimforge.functions.text import fill_template
 from claimforge.operators import builders as B
 from claimforge.operators import sampling as S
-from claimforge.operators.corpus import build_corpus, corpus_profile, task_corpus, task_statements
+from claimforge.operators.corpus import build_corpus, corpus_profile, keys_only, task_corpus, task_statements
 from claimforge.plans import sql_corpus as SC
 from claimforge.plans.base import N, PPC, SEED, SPC, V, register
 from claimforge.plans.sqlviews import sql_draw, sql_hash, with_ctes
@@ -102,7 +102,7 @@ register(
         "select task, count(*) as n_statements, cast(sum(is_true) as bigint) as n_true, round(avg(is_true), 6) as share_true "
         "from corpus group by task",
     ),
-)(lambda spark, root: corpus_profile(build_corpus(V(spark, root), None, N, PPC, SPC, SEED)))
+)(lambda spark, root: corpus_profile(build_corpus(V(spark, root), None, N, PPC, SPC, SEED, shape=keys_only)))
 
 # =============================================================================================
 # B: sampling

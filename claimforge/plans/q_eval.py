@@ -20,19 +20,27 @@ from claimforge.plans.sqlviews import q, sql_fill, sql_hash, with_ctes
 EVAL_INPUT_SQL = {
     "copa": ("select * from V_copa", ["V_copa"]),
     "mrpc": ("select * from V_pairs", ["V_pairs"]),
-    "amazon_p": ("select id, substring(text,1,60) as title, substring(text,61,140) as content, label from V_bin", ["V_bin"]),
+    "amazon_p": (
+        "select id, split_part(text, '.', 1) as title, substring(text, length(split_part(text, '.', 1)) + 2) as content, label from V_bin",
+        ["V_bin"],
+    ),
     "figqa": (
         "select id, sentence as startphrase, option1 as ending1, option2 as ending2, label as labels from V_choice",
         ["V_choice"],
     ),
     "storycloze": ("select * from V_story", ["V_story"]),
-    "yahoo": (
-        "select id, substring(text,1,100) as title, substring(text,101,100) as content, label from V_multi",
-        ["V_multi"],
-    ),
-    "emotion": ("select id, text, label from V_multi", ["V_multi"]),
+    "yahoo": ("select * from V_topic", ["V_topic"]),
+    "emotion": ("select * from V_emotion", ["V_emotion"]),
 }
 
+# The oracle states the class names and the length limit itself.
+TOPICS = ["gardening", "astronomy", "cooking", "law", "football", "painting", "banking", "travel", "medicine", "programming"]
+EMOTIONS = ["calm", "disgust", "pride", "boredom", "hope", "envy"]
+SHORT_SQL = (
+    "select * from {0} where example_id in (select example_id from {0} group by example_id "
+    "having max(len(list_filter(regexp_split_to_array(statement, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))) < 514)"
+)
+
 DATASETS = list(EVAL_INPUT_SQL)
 TWO_WAY = ["copa", "amazon_p", "figqa", "storycloze"]
 K_WAY = ["yahoo", "emotion"]
@@ -56,9 +64,9 @@ def _cands_sql(d: str, run: int = 0) -> tuple[list[str], str]:
         ctx = [f"input_sentence_{i}" for i in range(1, 5)]
         return [sql_fill(t("all"), ctx + [e]) for e in ["sentence_quiz1", "sentence_quiz2"]], "answer_right_ending - 1"
     if d == "yahoo":
-        return [sql_fill(t("all"), ["title", "content", q(n)]) for n in CLASS_NAMES["language"]], "label"
+        return [sql_fill(t("all"), ["title", "content", q(n)]) for n in TOPICS], "label"
     if d == "emotion":
-        return [sql_fill(t("all"), ["text", q(n)]) for n in CLASS_NAMES["language"]], "label"
+        return [sql_fill(t("all"), ["text", q(n)]) for n in EMOTIONS], "label"
     raise ValueError(d)
 
 
@@ -74,6 +82,9 @@ def eval_ctes(datasets, run: int = 0, prefix: str = "") -> tuple[list[str], list
             f"from {prefix}e_{d}"
             for k, s in enumerate(stmts)
         ]
+        if d in K_WAY:
+            ctes.append((f"{prefix}u_{d}", " union all ".join(parts)))
+            parts = [SHORT_SQL.format(f"{prefix}u_{d}")]
         ctes.append((f"{prefix}l_{d}", " union all ".join(parts)))
     ctes.append((f"{prefix}long_all", " union all ".join(f"select * from {prefix}l_{d}" for d in datasets)))
     return views, ctes
@@ -82,8 +93,8 @@ def eval_ctes(datasets, run: int = 0, prefix: str = "") -> tuple[list[str], list
 P_SQL = "(('0x' || substr(md5(concat_ws(':', '{seed}', '{salt}', statement)), 1, 8))::BIGINT / CAST(4294967296 AS DOUBLE))"
 
 
-def p_sql(salt="score"):
-    return P_SQL.format(seed=SEED, salt=salt)
+def p_sql(salt="score", seed=SEED):
+    return P_SQL.format(seed=seed, salt=salt)
 
 
 def _eval_long(spark, root, datasets=None, run=0):
@@ -177,16 +188,20 @@ def _d10(spark, root):
     rows = [(d, t) for d, t in PROMPTS.items()]
     tpl = spark.createDataFrame(rows, "dataset string, template string")
     slots = tpl.select("dataset", F.regexp_extract_all("template", F.lit(r"\{\{\s*(\w+)\s*\}\}"), 1).alias("slots"))
-    counts = _eval_long(spark, root).groupBy("dataset").agg(F.countDistinct("example_id").alias("n_examples"))
+    inputs = EV.eval_inputs(V(spark, root))
+    counts = reduce(lambda a, b: a.unionByName(b), [
+        inputs[d].agg(F.countDistinct("id").alias("n_examples")).select(F.lit(d).alias("dataset"), "n_examples") for d in PROMPTS
+    ])
     return slots.join(counts, "dataset")
 
 
-_d10_views, _d10_ctes = eval_ctes(DATASETS)
+_d10_views = [v for d in PROMPTS for v in EVAL_INPUT_SQL[d][1]]
+_d10_ctes = [(f"e_{d}", EVAL_INPUT_SQL[d][0]) for d in PROMPTS]
 register(
     "prompt_slots",
     with_ctes(_d10_views, _d10_ctes + [
         ("tpl", "select * from (values " + ", ".join(f"({q(d)}, {q(t)})" for d, t in PROMPTS.items()) + ") t(dataset, template)"),
-        ("cnt", "select dataset, count(distinct example_id) as n_examples from long_all group by dataset"),
+        ("cnt", " union all ".join(f"select {q(d)} as dataset, count(distinct id) as n_examples from e_{d}" for d in PROMPTS)),
     ], "select tpl.dataset, regexp_extract_all(template, '\\{\\{\\s*(\\w+)\\s*\\}\\}', 1) as slots, n_examples "
        "from tpl join cnt on cnt.dataset = tpl.dataset"),
 )(_d10)
@@ -319,7 +334,7 @@ register(
     ], "select dataset, example_id, label, round(p_label, 6) as p_label, round(-ln(p_label), 6) as loss from sm"),
 )(_f8)
 
-COST = {"yahoo": 10, "emotion": 6}
+COST = {"click": 10, "view": 6}  # candidate answers per example of these sets
 DEFAULT_COST = 2
 
 
@@ -338,14 +353,19 @@ register(
 
 
 def _f10(spark, root):
-    rb = SCR.random_baseline(_eval_long(spark, root))
-    return rb.select("dataset", "model", F.round("accuracy", 6).alias("accuracy"))
+    sets = EV.eval_inputs(V(spark, root))
+    counts = reduce(lambda a, b: a.unionByName(b), [d.agg(F.count(F.lit(1)).alias("n_examples")).select(F.lit(k).alias("dataset"), "n_examples") for k, d in sets.items()])
+    return SCR.random_baseline(counts, EV.SET_SIZES).select("dataset", "model", "n_examples", F.round("accuracy", 6).alias("accuracy"))
 
 
-_v, _c = eval_ctes(DATASETS)
 register(
     "random_baseline",
-    with_ctes(_v, _c + [("k", "select dataset, example_id, count(*) as k from long_all group by dataset, example_id")], (
-        "select dataset, 'random' as model, round(avg(CAST(1 AS DOUBLE) / case when k = 1 then 2 else k end), 6) as accuracy from k group by dataset"
-    )),
+    with_ctes(
+        [v for _, vs in EVAL_INPUT_SQL.values() for v in vs],
+        [(f"e_{d}", sql) for d, (sql, _) in EVAL_INPUT_SQL.items()],
+        " union all ".join(
+            f"select '{d}' as dataset, 'random' as model, (select count(*) from e_{d}) as n_examples, round(CAST(1 AS DOUBLE) / {k}, 6) as accuracy"
+            for d, k in (("copa", 2), ("mrpc", 2), ("amazon_p", 2), ("figqa", 2), ("storycloze", 2), ("yahoo", 10), ("emotion", 6))
+        ),
+    ),
 )(_f10)

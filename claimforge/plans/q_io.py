@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from claimforge.operators import sampling as S
 from claimforge.operators import scoring as SCR
 from claimforge.operators.corpus import build_corpus
+from claimforge.operators.hooks import max_token_filter
 from claimforge.plans.base import N, PPC, SEED, SPC, V, register
-from claimforge.plans.q_eval import _eval_long
-from claimforge.plans.q_runs import R6, RES_COLS, RUN_DATASETS, MS, r6, results, rsql
-from claimforge.plans.sqlviews import with_ctes
+from claimforge.plans.q_eval import _eval_long, eval_ctes
+from claimforge.plans.q_runs import MAX_TOKENS, MS, R6, RES_COLS, RUN_DATASETS, r6, results, rsql
+from claimforge.plans.sqlviews import sql_hash, with_ctes
 from claimforge.session import materialize, scratch_path
 from claimforge.sources import results as IO
 from claimforge.sources.tables import source, split_of
@@ -33,7 +34,13 @@ def _write_results(s, r):
 
 
 def _a2(s, r):
-    base, _ = _write_results(s, r)
+    # files as the modelled code writes them, with an unnamed index column first, beside files in another order
+    base = scratch_path(s, "indexed_results")
+    data = results(s, r)
+    odd = F.col("dataset") < "p"
+    indexed = data.filter(odd).select(F.monotonically_increasing_id().alias("index"), *IO.RESULT_COLUMNS)
+    indexed.toDF("", *IO.RESULT_COLUMNS).write.option("header", True).csv(os.path.join(base, "indexed"))
+    data.filter(~odd).select(*reversed(IO.RESULT_COLUMNS)).write.option("header", True).csv(os.path.join(base, "reversed"))
     return IO.scan_results_dir(s, base, "*.csv").drop("file")
 
 
@@ -92,24 +99,39 @@ register(
     with_ctes(["V_wide_baseline"], [], "select eval_set, model, full_shot as full_3000_shot, shot_1000, shot_0 from V_wide_baseline"),
 )(_a4)
 
-# ---- F2 / A8: pyspark.ml scorer (rows-only checks) -----------------------------------------------
+# ---- F2 / A8: pyspark.ml scorer; what is deterministic about it is checked -------------------------
 
 
 def _corpus_split(s, r):
+    """Training and test rows of the corpus: over-long statements left out, split by source row."""
+    corpus = build_corpus(V(s, r), None, N, PPC, SPC, SEED).filter(F.col("is_true").isNotNull())
+    corpus = max_token_filter(corpus, "statement", MAX_TOKENS)
     # the fit makes several passes (IDF, optimizer); read the capped corpus from Parquet
-    corpus = materialize(build_corpus(V(s, r), None, N, PPC, SPC, SEED), "corpus")
-    corpus = corpus.withColumn("group_key", F.concat_ws(":", "task", F.col("source_id").cast("string")))
+    corpus = materialize(corpus.withColumn("group_key", F.concat_ws(":", "task", F.col("source_id").cast("string"))), "corpus")
     return S.train_val_split(corpus, 0.1, SEED, "f2", ["task", "sample_idx", "template_id"], group="group_key")
 
 
 def _f2(s, r):
     train, test = _corpus_split(s, r)
     model = SCR.fit_scorer(train)
-    scored = SCR.model_scorer(model)(test)
-    return scored.select("task", "sample_idx", "template_id", "is_true", (F.col("p_true") >= 0.5).cast("int").alias("pred"))
+    scored = SCR.model_scorer(model)(test).withColumn("ok", (F.col("p_true") >= 0) & (F.col("p_true") <= 1))
+    tests = scored.groupBy("task").agg(F.count(F.lit(1)).alias("n_test"), F.count_if("ok").alias("n_scored"))
+    return train.groupBy("task").agg(F.count(F.lit(1)).alias("n_train")).join(tests, "task", "full")
 
 
-register("fit_scorer")(_f2)
+def _f2_sql():
+    from claimforge.plans.q_ablation import VIEWS, _corpus_ctes
+
+    return with_ctes(VIEWS, _corpus_ctes() + [
+        ("short", "select *, concat_ws(':', task, cast(source_id as varchar)) as group_key from corpus where is_true is not null and "
+                  "len(list_filter(regexp_split_to_array(statement, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')) < 534"),
+        ("grp", f"select group_key, row_number() over (order by {sql_hash(SEED, 'f2', 'group_key')}, group_key) as rn_ from (select distinct group_key from short)"),
+        ("fold", "select group_key, rn_ <= ceil(round(0.1 * (select count(*) from grp), 9)) as is_test from grp"),
+    ], "select task, nullif(count(*) filter (not is_test), 0) as n_train, nullif(count(*) filter (is_test), 0) as n_test, "
+       "nullif(count(*) filter (is_test), 0) as n_scored from short join fold using (group_key) group by task")
+
+
+register("fit_scorer", _f2_sql())(_f2)
 
 
 def _a8(s, r):
@@ -119,8 +141,14 @@ def _a8(s, r):
     SCR.save_scorer(model, path)
     loaded = SCR.load_scorer(path)
     ev = _eval_long(s, r, ["copa"])
-    scored = SCR.model_scorer(loaded)(ev)
-    return SCR.argmax_candidates(scored)
+    keys = ["dataset", "example_id", "cand_idx"]
+    fitted = SCR.model_scorer(model)(ev).select(*keys, F.col("p_true").alias("p_fitted"))
+    both = SCR.model_scorer(loaded)(ev).select(*keys, "p_true").join(fitted, keys)
+    return both.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_statements"), F.count_if(F.col("p_true") == F.col("p_fitted")).alias("n_same"))
 
 
-register("save_load_scorer")(_a8)
+_a8_views, _a8_ctes = eval_ctes(["copa"])
+register(
+    "save_load_scorer",
+    with_ctes(_a8_views, _a8_ctes, "select dataset, count(*) as n_statements, count(*) as n_same from long_all group by dataset"),
+)(_a8)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from claimforge.functions.text import model_short_name, parse_percent, word_count
 from claimforge.operators import reshape as R
+from claimforge.operators.hooks import max_token_filter
 from claimforge.operators import runs as G
 from claimforge.operators import scoring as SCR
 from claimforge.operators.corpus import parse_exclude
@@ -213,7 +214,7 @@ _BASE_SQL = (
 register(
     "baseline_delta",
     rsql(
-        f"select {R6(MS, RES_COLS + ['delta'])} from (select r.*, r.Mean - b.accuracy as delta from res r join "
+        f"select {R6(MS, RES_COLS + ['delta'])} from (select r.*, r.Mean - b.accuracy as delta from res r left join "
         f"(select * from (select *, row_number() over (partition by shot, dataset order by accuracy nulls last) as rn_ from bl) where rn_ = 1) b "
         f"using (shot, dataset))",
         [("bl", _BASE_SQL)],
@@ -375,8 +376,8 @@ MAX_TOKENS = 514 + 20
 
 
 def _e2(s, r):
-    d = V(s, r).table("documents").select("doc_id", word_count("text").cast("bigint").alias("n_words"))
-    return d.filter(F.col("n_words") < MAX_TOKENS)
+    d = V(s, r).table("documents").select("doc_id", "text")
+    return max_token_filter(d, "text", MAX_TOKENS, word_count, "n_words").drop("text")
 
 
 register(

@@ -134,14 +134,18 @@ def sql_build(p: str, task: str, seed, ch: dict, n: int) -> list[tuple[str, str]
     elif b is B.build_shifted_answer:
         nb = max(1, -(-int(n) // 1000))
         ctes.append((f"{p}_x", f"select *, {pos} as pos, {sql_draw(seed, 'blk:' + task, 'sample_idx')} % {nb} as blk from {s}"))
+        block = "partition by blk order by sample_idx"
+        ctes.append((f"{p}_x1", (
+            f"select *, case when lead(sample_idx) over ({block}) is not null and lead(answer) over ({block}) is distinct from answer "
+            f"then {{'v': lead(answer) over ({block})}} end as turn, first_value(answer) over ({block}) as head from {p}_x"
+        )))
         ctes.append((f"{p}_x2", (
-            f"select *, coalesce(lead(answer) over (partition by blk order by sample_idx), first_value(answer) over "
-            f"(partition by blk order by sample_idx rows between unbounded preceding and unbounded following)) as other "
-            f"from {p}_x"
+            f"select *, coalesce(first_value(turn ignore nulls) over ({block} rows between current row and unbounded following), "
+            f"case when head is distinct from answer then {{'v': head}} end, "
+            f"first_value(turn ignore nulls) over ({block} rows between unbounded preceding and unbounded following)) as nxt from {p}_x1"
         )))
         ctes.append((f"{p}_x3", (
-            f"select *, case when pos then answer else other end as ans from {p}_x2 "
-            f"where pos or other is distinct from answer"
+            f"select *, case when pos then answer else nxt.v end as ans from {p}_x2 where pos or nxt is not null"
         )))
         body = (
             f"select source_id, sample_idx, t.template_id, pos, {fill_expr('t.tpl', ['question', 'ans'])} as statement, "

@@ -7,7 +7,7 @@ oracle statement carries the views it needs as a ``WITH`` prefix.
 from __future__ import annotations
 
 VIEW_SQL: dict[str, str] = {
-    "V_docs": "select doc_id as id, substring(text,1,200) as text, lang, source, n_chars from documents",
+    "V_docs": "select doc_id as id, text, lang, source, n_chars from documents",
     "V_bin": "select d.id, d.text, l.toxic as label, l.quality from V_docs d join labels l on l.doc_id = d.id",
     "V_multi": (
         "select id, text, case lang when 'de' then 0 when 'en' then 1 when 'es' then 2 else 3 end as label from V_docs"
@@ -18,7 +18,7 @@ VIEW_SQL: dict[str, str] = {
     ),
     "V_nli": "select id, text1, text2, case when id % 20 = 0 then -1 else id % 3 end as label from V_pairs",
     "V_qa": (
-        "select u.conv_id * 100 + u.turn as id, substring(u.text,1,200) as question, substring(a.text,1,200) as answer "
+        "select u.conv_id * 4294967296 + u.turn as id, u.text as question, a.text as answer "
         "from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 "
         "where u.role = 'user' and a.role = 'assistant'"
     ),
@@ -27,8 +27,8 @@ VIEW_SQL: dict[str, str] = {
         "cast(1 + p_partkey % 2 as varchar(1)) as answer, p_partkey % 2 as label from part"
     ),
     "V_span": (
-        "select doc_id as id, substring(text,1,400) as context, substring(text,1,40) as question, "
-        "substring(text,21,15) as answer_text from documents where length(text) >= 40"
+        "select doc_id as id, text as context, split_part(text, '.', 1) as question, "
+        "split_part(text, ' ', 2) as answer_text from documents where text is not null"
     ),
     "V_sub": (
         "select p_partkey as id, concat(p_name, ' met ', p_brand, ' when It won; it left the pit') as sentence, "
@@ -50,15 +50,21 @@ VIEW_SQL: dict[str, str] = {
         "chr(cast(65 + p_partkey % 4 as int)) as answer from part"
     ),
     "V_copa": (
-        "select id, text1 as premise, substring(text2,1,80) as choice1, substring(text2,81,80) as choice2, "
+        "select id, text1 as premise, split_part(text2, '.', 1) as choice1, substring(text2, length(split_part(text2, '.', 1)) + 2) as choice2, "
         "case when id % 2 = 0 then 'cause' else 'effect' end as question, id % 2 as label from V_pairs"
     ),
     "V_story": (
-        "select id, substring(text1,1,40) as input_sentence_1, substring(text1,41,40) as input_sentence_2, "
-        "substring(text1,81,40) as input_sentence_3, substring(text1,121,40) as input_sentence_4, "
-        "substring(text1,161,40) as sentence_quiz1, substring(text2,161,40) as sentence_quiz2, "
+        "select id, split_part(text1, '.', 1) as input_sentence_1, split_part(text1, '.', 2) as input_sentence_2, "
+        "split_part(text1, '.', 3) as input_sentence_3, split_part(text1, '.', 4) as input_sentence_4, "
+        "array_to_string(string_split(text1, '.')[5:], '.') as sentence_quiz1, "
+        "array_to_string(string_split(text2, '.')[5:], '.') as sentence_quiz2, "
         "1 + id % 2 as answer_right_ending from V_pairs"
     ),
+    "V_topic": (
+        "select id, split_part(text, '.', 1) as title, substring(text, length(split_part(text, '.', 1)) + 2) as content, "
+        "id % 10 as label from V_docs"
+    ),
+    "V_emotion": "select id, text, id % 6 as label from V_docs",
     "V_runs": (
         "select event_id as run_id, event_id % 5 as model_no, event_type as dataset, case when user_id % 2 = 0 then "
         "'org/base' else 'large' end as model, case event_id % 6 when 0 then '0' when 1 then '32' when 2 then '200' "
@@ -86,6 +92,8 @@ VIEW_DEPS: dict[str, list[str]] = {
     "V_multi": ["V_docs"],
     "V_pairs": ["V_docs"],
     "V_nli": ["V_pairs"],
+    "V_topic": ["V_docs"],
+    "V_emotion": ["V_docs"],
     "V_copa": ["V_pairs"],
     "V_story": ["V_pairs"],
     "V_wide_baseline": ["V_runs"],

@@ -1,9 +1,9 @@
 """Result, speed and baseline files: sinks (A5, A6) and directory scans (A2, A3, A4).
 
 Result tables are written as CSV datasets (one folder per experiment, many part
-files, written in parallel) with an explicit schema on read, so a directory of
-hundreds of experiment folders is one scan with no inference pass and no driver
-listing loop.  ``file`` (from ``_metadata``) identifies the experiment a row
+files, written in parallel).  Directories are read as lines: each file's header line names
+its fields, so files may differ in column order, lack columns or carry more (an unnamed
+index column, say), and every value is taken by name in one scan of all files.  ``file`` (from ``_metadata``) identifies the experiment a row
 came from, which gives duplicate keys a defined order.
 """
 
@@ -24,20 +24,44 @@ def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+_FIELDS = """split({0}, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)"""
+_BARE = """transform({0}, f -> replace(replace(regexp_replace(trim(f), '^"(.*)"$', '$1'), '\\\\"', '"'), '""', '"'))"""
+
+
+def _named_lines(spark: SparkSession, path: str, is_header, **options) -> DataFrame:
+    """``file, fields``: each data line of the files below ``path`` as a map from its file's column names
+    (an unnamed column is ``_c0``, ``_c1``, ...).  Values must not hold line breaks."""
+    reader = spark.read
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    lines = reader.text(path).select(
+        F.expr(_BARE.format(_FIELDS.format("value"))).alias("v"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_name").alias("file"),
+    ).filter("size(v) > 1 OR v[0] <> ''")
+    lines = lines.withColumn("head", is_header(F.col("v")))
+    names = F.transform("v", lambda c, i: F.when(c == "", F.concat(F.lit("_c"), i.cast("string"))).otherwise(c))
+    heads = lines.filter("head").groupBy("path").agg(F.first(names).alias("names"))  # one row per file
+    rows = lines.filter("NOT head").join(heads, "path")
+    fields = F.transform("names", lambda c, i: F.get("v", i))
+    return rows.select("file", F.map_from_arrays("names", fields).alias("fields"))
+
+
+def _value(name: str, dtype: str):
+    raw = F.try_element_at("fields", F.lit(name))
+    return F.when(~raw.isin("", "None", "nan", "NaN"), raw).try_cast(dtype).alias(name)
+
+
 def scan_results_dir(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """A2: every result file below ``root`` unioned by column name, plus the file name.
+    """A2: every result file below ``root``, columns by name, plus the file name.
 
-    ``None`` and empty fields read as NULL (the modelled files use both).
+    ``None`` and empty fields read as NULL (the modelled files use both); a column that a file
+    lacks is NULL in its rows.
     """
-    df = (
-        spark.read.schema(RESULT_SCHEMA)
-        .option("header", True)
-        .option("nullValue", "None")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .csv(root)
-    )
-    return df.withColumn("file", F.col("_metadata.file_name"))
+    is_header = lambda v: F.array_contains(v, "dataset") & F.array_contains(v, "Mean")
+    rows = _named_lines(spark, root, is_header, recursiveFileLookup=True, pathGlobFilter=pattern)
+    columns = [c.split() for c in RESULT_SCHEMA.split(", ")]
+    return rows.select(*[_value(c, t) for c, t in columns], "file")
 
 
 def write_speed_wide(speeds_long: DataFrame, path: str, datasets: list[str], mode: str = "overwrite") -> str:
@@ -48,12 +72,18 @@ def write_speed_wide(speeds_long: DataFrame, path: str, datasets: list[str], mod
 
 
 def scan_speed_files(spark: SparkSession, glob_path: str) -> DataFrame:
-    """A3: union of speed files (path glob, e.g. ``.../*speeds*``); an unnamed first column is the model."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(glob_path)
-    first = df.columns[0]
-    if first in ("_c0", "", "Unnamed: 0"):
-        df = df.withColumnRenamed(first, "model")
-    return df
+    """A3: union of speed files (path glob, e.g. ``.../*speeds*``), columns by name.
+
+    The model is in a column of that name or in the unnamed first one; the others are the
+    data sets of any file, each NULL where a file lacks it.
+    """
+    number = lambda x: x.try_cast("double").isNotNull() | (x == "")
+    is_header = lambda v: ~F.exists(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), number)
+    rows = _named_lines(spark, glob_path, is_header)
+    names = [r[0] for r in rows.select(F.explode(F.map_keys("fields"))).distinct().orderBy("col").collect()]  # column names
+    sets = [n for n in names if n != "model" and not n.startswith("_c")]
+    model = F.coalesce(F.try_element_at("fields", F.lit("model")), F.try_element_at("fields", F.lit("_c0")))
+    return rows.select(model.alias("model"), *[_value(n, "double") for n in sets])
 
 
 def write_wide_baseline(df: DataFrame, path: str, mode: str = "overwrite") -> str:

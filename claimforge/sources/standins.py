@@ -14,30 +14,39 @@ from pyspark.sql import functions as F
 from claimforge.sources.tables import source
 
 
-_TABLES: dict = {}
+def first_sentence(col: str):
+    """Text up to the first full stop."""
+    return F.split_part(F.col(col), F.lit("."), F.lit(1))
+
+
+def after_first_sentence(col: str):
+    """The rest of the text after its first full stop (empty if there is none)."""
+    return F.expr(f"substring({col}, length(split_part({col}, '.', 1)) + 2)")
+
+
+def after_sentence(col: str, n: int):
+    """The rest of the text after its n-th full stop (empty if there are fewer)."""
+    parts = f"split({col}, '[.]')"
+    return F.expr(f"array_join(slice({parts}, {n + 1}, greatest(size({parts}) - {n}, 0)), '.')")
 
 
 class TaskViews:
-    """Lazily built views; each driver table is opened once per (session, folder)."""
+    """Lazily built views; a driver table is opened once per instance."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        key = (id(self.spark), self.root, name)
-        df = _TABLES.get(key)
-        if df is None or df.sparkSession is not self.spark:
-            df = source(self.spark, self.root, name)
-            _TABLES[key] = df
-        return df
+        if name not in self._tables:
+            self._tables[name] = source(self.spark, self.root, name)
+        return self._tables[name]
 
     # -- documents-based views -------------------------------------------------
     def docs(self) -> DataFrame:
         d = self.table("documents")
-        return d.select(
-            F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("text"), "lang", "source", "n_chars"
-        )
+        return d.select(F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars")
 
     def bin(self) -> DataFrame:
         d = self.docs()
@@ -77,20 +86,30 @@ class TaskViews:
         return u.join(
             a, (F.col("a.conv_id") == F.col("u.conv_id")) & (F.col("a.turn") == F.col("u.turn") + 1)
         ).select(
-            (F.col("u.conv_id") * 100 + F.col("u.turn")).alias("id"),
-            F.substring(F.col("u.text"), 1, 200).alias("question"),
-            F.substring(F.col("a.text"), 1, 200).alias("answer"),
+            (F.col("u.conv_id") * (1 << 32) + F.col("u.turn")).alias("id"),
+            F.col("u.text").alias("question"),
+            F.col("a.text").alias("answer"),
         )
 
     def span(self) -> DataFrame:
-        d = self.table("documents").filter(F.length("text") >= 40)
+        d = self.table("documents").filter(F.col("text").isNotNull())
         return d.select(
             F.col("doc_id").alias("id"),
-            F.substring("text", 1, 400).alias("context"),
-            F.substring("text", 1, 40).alias("question"),
-            F.substring("text", 21, 15).alias("answer_text"),
+            F.col("text").alias("context"),
+            first_sentence("text").alias("question"),
+            F.split_part(F.col("text"), F.lit(" "), F.lit(2)).alias("answer_text"),
+        )
+
+    def topic(self) -> DataFrame:
+        """Documents with a title, the rest as content, and one of ten labels."""
+        return self.docs().select(
+            "id", first_sentence("text").alias("title"), after_first_sentence("text").alias("content"), (F.col("id") % 10).alias("label")
         )
 
+    def emotion(self) -> DataFrame:
+        """Documents with one of six labels."""
+        return self.docs().select("id", "text", (F.col("id") % 6).alias("label"))
+
     # -- part-based views -------------------------------------------------------
     def _part(self) -> DataFrame:
         return self.table("part").select("p_partkey", "p_name", "p_brand", "p_type")
@@ -161,8 +180,8 @@ class TaskViews:
         return p.select(
             "id",
             F.col("text1").alias("premise"),
-            F.substring("text2", 1, 80).alias("choice1"),
-            F.substring("text2", 81, 80).alias("choice2"),
+            first_sentence("text2").alias("choice1"),
+            after_first_sentence("text2").alias("choice2"),
             F.when(F.col("id") % 2 == 0, F.lit("cause")).otherwise(F.lit("effect")).alias("question"),
             (F.col("id") % 2).alias("label"),
         )
@@ -171,12 +190,9 @@ class TaskViews:
         p = self.pairs()
         return p.select(
             "id",
-            F.substring("text1", 1, 40).alias("input_sentence_1"),
-            F.substring("text1", 41, 40).alias("input_sentence_2"),
-            F.substring("text1", 81, 40).alias("input_sentence_3"),
-            F.substring("text1", 121, 40).alias("input_sentence_4"),
-            F.substring("text1", 161, 40).alias("sentence_quiz1"),
-            F.substring("text2", 161, 40).alias("sentence_quiz2"),
+            *[F.split_part(F.col("text1"), F.lit("."), F.lit(k)).alias(f"input_sentence_{k}") for k in range(1, 5)],
+            after_sentence("text1", 4).alias("sentence_quiz1"),
+            after_sentence("text2", 4).alias("sentence_quiz2"),
             (F.lit(1) + F.col("id") % 2).alias("answer_right_ending"),
         )
 

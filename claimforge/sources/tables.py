@@ -7,8 +7,6 @@ Catalyst prunes columns and pushes filters into the scan.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -18,10 +16,8 @@ TABLES = (
 
 
 def table_path(root: str, name: str) -> str:
-    for candidate in (os.path.join(root, f"{name}.parquet"), os.path.join(root, name)):
-        if os.path.exists(candidate):
-            return candidate
-    return os.path.join(root, f"{name}.parquet")
+    """Folder of a table (any store that Spark reads, so it is not probed)."""
+    return f"{root.rstrip('/')}/{name}.parquet"
 
 
 def source(spark: SparkSession, root: str, name: str, fmt: str = "parquet", **options) -> DataFrame:

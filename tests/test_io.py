@@ -24,6 +24,28 @@ def test_scan_results_dir_nulls_and_file_names(spark):
     assert rows[1]["excluded"] == "a,b" and rows[1]["std"] is None and rows[1]["file"] == "a,b-EXCLUDE.csv"
 
 
+def test_scan_results_by_name_with_index_column_and_other_orders(spark):
+    root = tempfile.mkdtemp(prefix="cf-results-")
+    _write(os.path.join(root, "1-PPC.csv"), ",model,shot,SPC,PPC,excluded,dataset,Mean,std,speed\n0,m-base,0,4000,1,None,copa,0.75,0.02,500.0\n1,m-base,32,4000,1,None,copa,0.8,,\n")
+    _write(os.path.join(root, "x/2-PPC.csv"), 'dataset,Mean,model,shot,excluded,SPC,PPC,extra\n"co,pa",0.5,n,full,"a,b",1000,2,zzz\n')
+    rows = {(r["model"], r["shot"]): r for r in IO.scan_results_dir(spark, root).collect()}
+    assert len(rows) == 3
+    r = rows["m-base", "0"]
+    assert (r["SPC"], r["PPC"], r["excluded"], r["dataset"], r["Mean"], r["std"], r["speed"], r["file"]) == (4000, 1, None, "copa", 0.75, 0.02, 500.0, "1-PPC.csv")
+    r = rows["n", "full"]
+    assert (r["dataset"], r["Mean"], r["excluded"], r["SPC"], r["std"], r["speed"]) == ("co,pa", 0.5, "a,b", 1000, None, None)
+
+
+def test_scan_speed_files_with_other_column_orders(spark):
+    root = tempfile.mkdtemp(prefix="cf-speeds-")
+    _write(os.path.join(root, "a-speeds.csv"), ",copa,mrpc\nm1,1.0,2.0\n")
+    _write(os.path.join(root, "b-speeds.csv"), "model,mrpc,copa,extra\nm2,2.0,1.0,\nm3,,,7\n")
+    rows = {r["model"]: r for r in IO.scan_speed_files(spark, os.path.join(root, "*speeds*")).collect()}
+    assert (rows["m1"]["copa"], rows["m1"]["mrpc"], rows["m1"]["extra"]) == (1.0, 2.0, None)
+    assert (rows["m2"]["copa"], rows["m2"]["mrpc"]) == (1.0, 2.0)
+    assert (rows["m3"]["copa"], rows["m3"]["extra"]) == (None, 7.0)
+
+
 def test_scan_speed_files_unnamed_model_column(spark):
     root = tempfile.mkdtemp(prefix="cf-speeds-")
     _write(os.path.join(root, "decoder-speeds-a.csv"), ",copa,mrpc\norg/a,1.5,2.5\n")
