@@ -41,14 +41,20 @@ def word_count(text) -> Column:
 
 
 def shuffle_words(text, seed, salt: str, key) -> Column:
-    """Seeded word shuffle: order words by md5(seed:salt:key:position), join by one space."""
+    """Seeded word shuffle: order words by a key mixed from md5(seed:salt:key) and their position, join by one space.
+
+    One md5 per text; a word's key is a product of two position-dependent residues of it.
+    """
     w = words(text)
-    # md5(seed:salt:key:position); the per-row prefix is built once, outside the lambda
-    prefix = F.concat_ws(":", F.lit(str(seed)), F.lit(salt), _col(key).cast("string"), F.lit(""))
-    keyed = F.transform(
-        w, lambda x, i: F.struct(F.md5(F.concat(prefix, i.cast("string"))).alias("h"), i.alias("i"), x.alias("w"))
-    )
-    return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["w"]), " ")
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), _col(key).cast("string")))
+    a, b = (F.conv(F.substring(h, k, 8), 16, 10).cast("bigint") for k in (1, 9))
+
+    def keyed(x, i):
+        left = (a + i.cast("bigint") * F.lit(2654435761)) % F.lit(2147483647)
+        right = (b + i.cast("bigint") * F.lit(40503)) % F.lit(2147483629)
+        return F.struct((left * right % F.lit(2147483587)).alias("h"), i.alias("i"), x.alias("w"))
+
+    return F.array_join(F.transform(F.array_sort(F.transform(w, keyed)), lambda s: s["w"]), " ")
 
 
 def java_regex_quote(s: Column) -> Column:

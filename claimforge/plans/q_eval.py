@@ -11,7 +11,7 @@ from claimforge.operators import evalsets as EV
 from claimforge.operators import scoring as SCR
 from claimforge.operators.templates import CLASS_NAMES, EVAL_TEMPLATES, PROMPTS, eval_template_draw, template_table
 from claimforge.plans.base import SEED, V, register
-from claimforge.plans.sqlviews import q, sql_fill, sql_hash, with_ctes
+from claimforge.plans.sqlviews import q, sql_fill, sql_hash, sql_shuffle, with_ctes
 
 # ---------------------------------------------------------------------------------------------
 # SQL twins of the evaluation inputs and builders
@@ -134,14 +134,42 @@ def _d8(spark, root):
 
 register(
     "shuffle_words",
-    (
-        "select doc_id, array_to_string(list_transform(list_sort(list_transform(list_filter("
-        "regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''), lambda w, i: {'h': "
-        f"md5(concat_ws(':', '{SEED}', 'shuf:doc', cast(doc_id as varchar), cast(i - 1 as varchar))), 'i': i - 1, 'w': w}})), "
-        "lambda s: s.w), ' ') as shuffled from documents"
-    ),
+    f"select doc_id, {sql_shuffle('text', SEED, 'shuf:doc', 'doc_id')} as shuffled from documents",
 )(_d8)
 
+
+def _shuffled(spark, root):
+    """D1 with the shuffle flag: every slot value is shuffled before it is filled in."""
+    return EV.build_eval_sets(V(spark, root), SEED, 0, True, ["copa"])["copa"]
+
+
+def _shuffled_sql():
+    t = lambda fam: EV.pick_eval_template(SEED, "copa", fam, 0)[1]
+    parts = []
+    for k, c in enumerate(["choice1", "choice2"]):
+        key = f"concat_ws(':', cast(id as varchar), '{k}')"
+        vals = [sql_shuffle("premise", SEED, "shuf:copa:1", key), sql_shuffle(c, SEED, "shuf:copa:2", key)]
+        parts.append(
+            f"select 'copa' as dataset, id as example_id, {k} as cand_idx, case when question = 'cause' then {sql_fill(t('cause'), vals)} "
+            f"else {sql_fill(t('effect'), vals)} end as statement, cast(label as int) as label from V_copa"
+        )
+    return with_ctes(["V_copa"], [], " union all ".join(parts))
+
+
+register("eval_shuffled", _shuffled_sql())(_shuffled)
+
+
+def _wide(spark, root):
+    """D6 in wide form: one row per example, one column per candidate."""
+    return EV.wide_candidates(_eval_long(spark, root, ["yahoo"]), len(CLASS_NAMES["topic"]))
+
+
+_views, _ctes = eval_ctes(["yahoo"])
+register("eval_topic_wide", with_ctes(_views, _ctes, (
+    "select dataset, example_id, label, " + ", ".join(f"max(case when cand_idx = {k} then statement end) as statement{k}" for k in range(10))
+    + " from long_all group by dataset, example_id, label"
+)))(_wide)
+
 PROMPT_INPUT = {
     "copa": "copa", "mrpc": "mrpc", "figqa": "figqa_src", "amazon_p": "bin", "yahoo": "multi", "emotion": "multi",
 }

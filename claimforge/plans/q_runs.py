@@ -262,6 +262,27 @@ register(
 )(_h8)
 
 
+def _h8_deltas(s, r):
+    """Smoothing of the deltas to the baseline, with a cubic fit."""
+    deltas = R.baseline_delta(results(s, r), _baseline(s, r)).filter(
+        (F.col("model") == "org/base") & (F.col("PPC") == 5) & F.col("excluded").isNull() & F.col("delta").isNotNull()
+    )
+    out = R.savgol(deltas.select("dataset", "shot", "SPC", "delta"), ["dataset", "shot"], "SPC", "delta", 7, 3)
+    return r6(out, ("delta", "delta_smoothed"))
+
+
+register(
+    "savgol_smooth_deltas",
+    rsql("select dataset, shot, SPC, round(Mean, 6) as delta, round(Mean_smoothed, 6) as delta_smoothed from sg4",
+         [("bl", _BASE_SQL),
+          ("dl", "select r.dataset, r.shot, r.SPC, r.Mean - b.accuracy as Mean, r.std from res r join (select * from (select *, row_number() over "
+                 "(partition by shot, dataset order by accuracy nulls last) as rn_ from bl) where rn_ = 1) b using (shot, dataset) "
+                 "where r.model = 'org/base' and r.PPC = 5 and r.excluded is null and r.Mean - b.accuracy is not null")]
+         + [("sg0", "select * from dl"), *_savgol_sql(3)[1:]],
+         ["V_runs", "V_wide_baseline"]),
+)(_h8_deltas)
+
+
 def _e12(s, r):
     sm = R.savgol(_series(s, r), ["dataset", "shot"], "SPC", "Mean", 7, 5)
     out = R.confidence_band(sm, "Mean_smoothed", "std")

@@ -138,6 +138,17 @@ def sql_draw(seed, salt: str, *keys: str) -> str:
     return f"('0x' || substr({sql_hash(seed, salt, *keys)}, 1, 8))::BIGINT"
 
 
+def sql_shuffle(text: str, seed, salt: str, key: str) -> str:
+    """Words of ``text`` in the order of their mixed keys (the twin of ``shuffle_words``)."""
+    h = f"md5(concat_ws(':', {q(str(seed))}, {q(salt)}, cast({key} as varchar)))"
+    a, b = (f"('0x' || substr({h}, {k}, 8))::BIGINT" for k in (1, 9))
+    mixed = f"(({a} + (i - 1) * 2654435761) % 2147483647) * (({b} + (i - 1) * 40503) % 2147483629) % 2147483587"
+    words = f"list_filter(regexp_split_to_array({text}, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
+    return (
+        f"array_to_string(list_transform(list_sort(list_transform({words}, lambda w, i: {{'h': {mixed}, 'i': i - 1, 'w': w}})), lambda s: s.w), ' ')"
+    )
+
+
 def sql_fill(template: str, values: list[str]) -> str:
     out = q(template)
     for i, v in enumerate(values, start=1):
