@@ -44,15 +44,20 @@ def _a2(s, r):
     return IO.scan_results_dir(s, base, "*.csv").drop("file")
 
 
-register("scan_results_dir", rsql(f"select {R6(MS, RES_COLS)} from res"))(_a2)
+register("scan_results_dir", rsql(f"select {R6(MS, RES_COLS)}, 'plain' as variant from res"))(_a2)
 
 
 def _a5(s, r):
     _, data = _write_results(s, r)
-    return s.read.schema(IO.RESULT_SCHEMA).option("header", True).csv(data)
+    shuffled = IO.write_results(r6(results(s, r)), data.replace("pooled.csv", "shuffled"), variant="shuffled", fmt="parquet", partition_by=("model", "SPC"))
+    plain = s.read.schema(f"{IO.RESULT_SCHEMA}, variant string").option("header", True).csv(data)
+    return plain.unionByName(s.read.parquet(shuffled).select(*plain.columns))
 
 
-register("write_results", rsql(f"select {R6(MS, RES_COLS)} from res"))(_a5)
+register(
+    "write_results",
+    rsql(f"select {R6(MS, RES_COLS)}, 'plain' as variant from res union all select {R6(MS, RES_COLS)}, 'shuffled' as variant from res"),
+)(_a5)
 
 SPEED_SQL = "select model, dataset, sum(n_examples) / sum(seconds) as examples_per_s from V_runs group by model, dataset"
 

@@ -61,6 +61,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this session has written below the checkpoint folder (they are needed as long
+    as a DataFrame that reads them is)."""
+    base = os.path.join(ensure_checkpoint_dir(spark), "tables")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df, name: str):
     """Cut lineage by writing ``df`` as Parquet below the shared checkpoint folder and reading it back.
 

@@ -18,9 +18,15 @@ RESULT_SCHEMA = (
 )
 
 
-def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """A5: write an aggregated result table as a CSV dataset (header, NULL as empty)."""
-    df.select(*RESULT_COLUMNS).write.mode(mode).option("header", True).csv(path)
+def write_results(df: DataFrame, path: str, mode: str = "overwrite", variant: str = "plain", fmt: str = "csv", partition_by=()) -> str:
+    """A5: write an aggregated result table (CSV with header and NULL as empty, or any Spark format).
+
+    ``variant`` says what the runs were done on (``plain``, ``shuffled``): results of one key but
+    different variants stay apart.  ``partition_by`` lays out folders, e.g. ``("model", "SPC")``.
+    """
+    out = df if "variant" in df.columns else df.withColumn("variant", F.lit(variant))
+    writer = out.select(*RESULT_COLUMNS, "variant").write.mode(mode).partitionBy(*partition_by)
+    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
     return path
 
 
@@ -61,7 +67,8 @@ def scan_results_dir(spark: SparkSession, root: str, pattern: str = "*.csv") ->
     is_header = lambda v: F.array_contains(v, "dataset") & F.array_contains(v, "Mean")
     rows = _named_lines(spark, root, is_header, recursiveFileLookup=True, pathGlobFilter=pattern)
     columns = [c.split() for c in RESULT_SCHEMA.split(", ")]
-    return rows.select(*[_value(c, t) for c, t in columns], "file")
+    variant = F.coalesce(_value("variant", "string"), F.lit("plain")).alias("variant")
+    return rows.select(*[_value(c, t) for c, t in columns], variant, "file")
 
 
 def write_speed_wide(speeds_long: DataFrame, path: str, datasets: list[str], mode: str = "overwrite") -> str:

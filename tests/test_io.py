@@ -61,8 +61,9 @@ def test_write_and_read_results_roundtrip(spark):
     df = spark.createDataFrame(rows, IO.RESULT_SCHEMA)
     path = os.path.join(tempfile.mkdtemp(prefix="cf-out-"), "exp.csv")
     IO.write_results(df, path)
+    IO.write_results(df, path + "-shuffled.csv", variant="shuffled")
     back = IO.scan_results_dir(spark, os.path.dirname(path)).drop("file").collect()
-    assert [tuple(r) for r in back] == [tuple(rows[0])]
+    assert sorted(tuple(r) for r in back) == [(*rows[0], "plain"), (*rows[0], "shuffled")]
 
 
 def test_read_wide_baseline_renames_full_column(spark):
