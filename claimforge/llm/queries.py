@@ -79,6 +79,39 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_page_text, op2_embedding_near_dedup, op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts, op10_personal_data, pipeline)}
 
 ORACLE = {
+    "op2_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), n AS (
+          SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE len(e) > 0
+        ), links AS (
+          SELECT x.vec_id AS a, y.vec_id AS b FROM n x JOIN n y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+          WHERE x.norm > 0 AND y.norm > 0 AND list_inner_product(x.e, y.e) / (x.norm * y.norm) >= 0.93
+        ), reach(a, b) AS (
+          SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), c AS (SELECT a, min(b) AS low FROM reach GROUP BY a), k AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(c.low, vec_id)) AS component_id,
+               vec_id = least(vec_id, coalesce(c.low, vec_id)) AS kept
+        FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id
+    """,
+    "op4_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), s AS (
+          SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) END AS sh FROM w
+        ), u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s), links AS (
+          SELECT p.doc_id AS a, q.doc_id AS b FROM u p JOIN u q ON p.x = q.x AND p.doc_id <> q.doc_id
+          GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+        ), reach(a, b) AS (
+          SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), c AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+        SELECT doc_id, len(sh) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+               doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+        FROM s LEFT JOIN c ON c.a = doc_id
+    """,
     "op8_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
