@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from claimforge.llm.common import byte_slices, cut, mix64, texts_of, word_hashes, word_tokens
+from claimforge.llm.common import byte_slices, cut, mix64, release, texts_of, word_hashes, word_tokens
 from claimforge.llm.components import connected_components
 
 SHINGLE = 5
@@ -46,7 +46,7 @@ COORDINATES = 64
 MATCHES = 40
 CHUNK = 128
 SEED = 12345
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -109,6 +109,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, size: int, coordinates: in
                     cols.append(pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())))
                     names.append("shingles")
                 yield pa.RecordBatch.from_arrays(cols, names)
+            release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n bigint, node bigint, sig array<int>" + ", shingles array<bigint>" * with_sets

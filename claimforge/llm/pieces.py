@@ -27,11 +27,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from claimforge.llm.common import byte_slices, char_codes, spread, texts_of
+from claimforge.llm.common import byte_slices, char_codes, release, spread, texts_of
 from claimforge.llm.token_counts import vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 LONG_UNIT = 256
 MARK = "▁"
 NONE = np.int64(1) << 40  # rank of a pair that is no piece
@@ -370,6 +370,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     [b.column(0)[lo:hi], pa.array(np.diff(off)), pa.array(packed, pa.binary()), pa.array(decode_slice(v, ids, off), pa.string())],
                     ["id", "n_tokens", "ids", "decoded"],
                 )
+            release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from claimforge.llm.common import byte_slices, char_codes, fold_bucket, mix64, spread, texts_of, word_tokens
+from claimforge.llm.common import byte_slices, char_codes, fold_bucket, mix64, release, spread, texts_of, word_tokens
 
 WINDOW = 48
 STRIDE = 36
@@ -43,7 +43,7 @@ WIDTH = 8
 FACTS = 3  # numbers beside the embedding
 INPUT = WIDTH + FACTS
 TRAIN_ROWS = 1200
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BLOCK = 2048  # windows worked at once
 THRESHOLD = 0.3
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -414,6 +414,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(texts_of(b.column(1))))], ["id", "score"])
+            release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
@@ -428,5 +429,6 @@ def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(shared.value.scores(texts_of(b.column(at))) < THRESHOLD))
+            release()
 
     return docs.mapInArrow(run, docs.schema)
