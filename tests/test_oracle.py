@@ -22,9 +22,10 @@ def test_contract_shapes():
 
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
-    rows_only = set(qs) - set(sqls)
-    assert rows_only == {"fit_scorer", "save_load_scorer"}
-    assert len(qs) >= 90
+    from claimforge.plans.registry import ORACLE, QUERIES
+
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(qs)
+    assert len(QUERIES) >= 100
 
 
 def test_entry_runs(spark):
