@@ -49,12 +49,16 @@ def shuffle_words(text, seed, salt: str, key) -> Column:
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), _col(key).cast("string")))
     a, b = (F.conv(F.substring(h, k, 8), 16, 10).cast("bigint") for k in (1, 9))
 
-    def keyed(x, i):
-        left = (a + i.cast("bigint") * F.lit(2654435761)) % F.lit(2147483647)
-        right = (b + i.cast("bigint") * F.lit(40503)) % F.lit(2147483629)
-        return F.struct((left * right % F.lit(2147483587)).alias("h"), i.alias("i"), x.alias("w"))
+    def shuffled(r):  # r holds what is the same for all words, so that it is worked out once
+        def keyed(x, i):
+            left = (r["a"] + i.cast("bigint") * F.lit(2654435761)) % F.lit(2147483647)
+            right = (r["b"] + i.cast("bigint") * F.lit(40503)) % F.lit(2147483629)
+            return F.struct((left * right % F.lit(2147483587)).alias("h"), i.alias("i"), x.alias("w"))
 
-    return F.array_join(F.transform(F.array_sort(F.transform(w, keyed)), lambda s: s["w"]), " ")
+        return F.array_join(F.transform(F.array_sort(F.transform(r["w"], keyed)), lambda s: s["w"]), " ")
+
+    row = F.struct(a.alias("a"), b.alias("b"), w.alias("w"))
+    return F.get(F.transform(F.array(row), shuffled), 0)
 
 
 def java_regex_quote(s: Column) -> Column:
