@@ -380,10 +380,15 @@ register(
 )(_f9)
 
 
-def _f10(spark, root):
+def random_rows(spark, root):
+    """Random baseline of the seven sets: ``dataset, model, n_examples, accuracy``."""
     sets = EV.eval_inputs(V(spark, root))
     counts = reduce(lambda a, b: a.unionByName(b), [d.agg(F.count(F.lit(1)).alias("n_examples")).select(F.lit(k).alias("dataset"), "n_examples") for k, d in sets.items()])
-    return SCR.random_baseline(counts, EV.SET_SIZES).select("dataset", "model", "n_examples", F.round("accuracy", 6).alias("accuracy"))
+    return SCR.random_baseline(counts, EV.SET_SIZES).select("dataset", "model", "n_examples", "accuracy")
+
+
+def _f10(spark, root):
+    return random_rows(spark, root).withColumn("accuracy", F.round("accuracy", 6))
 
 
 register(
