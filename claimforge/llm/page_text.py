@@ -13,8 +13,10 @@
    path prefix, by longest common subsequence of line hashes (bit-parallel, with linear-space
    splitting).  Lines in common are deleted: they are the site's, not the page's.  A neighbour
    which shares most of the page's article is a copy of it, not another page of the site, and says
-   nothing; then the other neighbour is taken.  Prose inside the article is kept even if shared
-   (two articles may quote one passage).
+   nothing; then the other neighbour is taken.  Prose inside the article goes too, unless a count
+   over the host shows it to be a passage that articles quote: one that stands on fewer than
+   ``SITE_PAGES`` distinct pages, or that fewer than ``SITE_SHARE`` of the pages which have it
+   share with their nearest page (site text is met at almost every neighbour, a quotation by chance).
 4. The text is the lines that stay in the article, or, in a page without one, all lines that
    stay outside of the places that never are one.
 
@@ -40,6 +42,8 @@ from claimforge.llm.common import byte_slices, cut, texts_of
 SLICE_BYTES = 8 << 20
 COPY_SHARE = 0.5
 LINK_SHARE = 0.5
+SITE_PAGES = 3
+SITE_SHARE = 0.75
 DIRECT_BITS = 1 << 27
 OUTSIDE, PLAIN, ARTICLE = range(3)
 SOFT = 4  # added to the place of a line that goes if shared
@@ -216,8 +220,8 @@ def _lcs(a: list[int], b: list[int]) -> list[int]:
     return _lcs(a[:half], b[:cut_at]) + [half + i for i in _lcs(a[half:], b[cut_at:])]
 
 
-def shared_lines(hashes: np.ndarray, weights: np.ndarray, places: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Lines in common with the first of the other pages that is no copy of this one."""
+def shared_lines(hashes: np.ndarray, weights: np.ndarray, places: np.ndarray, others: list[np.ndarray]) -> np.ndarray | None:
+    """Lines in common with the first of the other pages that is no copy of this one (None: all are)."""
     places = places & 3
     inside = places == ARTICLE if (places == ARTICLE).any() else places != OUTSIDE
     total = weights[inside].sum()
@@ -225,7 +229,7 @@ def shared_lines(hashes: np.ndarray, weights: np.ndarray, places: np.ndarray, ot
         common = lcs_rows(hashes, other)
         if total == 0 or weights[inside & common].sum() <= COPY_SHARE * total:
             return common
-    return np.zeros(len(hashes), bool)
+    return None
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -297,29 +301,56 @@ def neighbours(hashed: DataFrame) -> DataFrame:
     return rows.filter("NOT guest").drop("part", "guest")
 
 
-def shared_positions(pairs: DataFrame) -> DataFrame:
-    """``key, shared``: of each page the soft lines (by position) that it has in common with its nearest page."""
+def compared_lines(pairs: DataFrame) -> DataFrame:
+    """``key, host, line, spot, soft, has, met, shared`` of the lines that differencing can take out of a page.
+
+    These are the soft lines shared with the nearest page, and all article lines.  ``has`` is 1 on the first
+    line of its text in the page's article, and ``met`` is 1 there if one of that text is shared.
+    """
+    kinds = [pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
+    names = ["key", "host", "line", "spot", "soft", "has", "met", "shared"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, flags = [], []
+            cols = [[] for _ in names]
             for r in b.to_pylist():
                 others = [o for o in (r["before"], r["after"]) if o and o["host"] == r["host"]]
                 others.sort(key=lambda o: -_prefix(o["path"], r["path"]))  # stable: the one before wins ties
-                lines = [np.frombuffer(o["lines"], "<u8") for o in others]
-                places = np.frombuffer(r["places"], np.uint8)
-                common = shared_lines(np.frombuffer(r["lines"], "<u8"), np.frombuffer(r["weights"], "<u4").astype(np.int64), places, lines)
-                spots = np.flatnonzero(common & (places >= SOFT))
-                if len(spots):
-                    keys.append(r["key"])
-                    flags.append(spots.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(flags, pa.list_(pa.int32()))], ["key", "shared"])
+                others = [np.frombuffer(o["lines"], "<u8") for o in others]
+                lines, places = np.frombuffer(r["lines"], "<u8"), np.frombuffer(r["places"], np.uint8)
+                common = shared_lines(lines, np.frombuffer(r["weights"], "<u4").astype(np.int64), places, others)
+                if common is None:
+                    continue
+                soft = places >= SOFT
+                prose = (places == ARTICLE) & ~soft
+                met = set(lines[prose & common].tolist())
+                seen = set()
+                for i in np.flatnonzero(prose | soft & common).tolist():
+                    x = int(lines[i])
+                    first = bool(prose[i]) and x not in seen
+                    if first:
+                        seen.add(x)
+                    row = (r["key"], r["host"], x - (x >> 63 << 64), i, bool(soft[i]), int(first), int(first and x in met), bool(common[i]))
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    return pairs.mapInArrow(run, "key binary, host string, line long, spot int, soft boolean, has int, met int, shared boolean")
 
-    return pairs.mapInArrow(run, "key binary, shared array<int>")
+
+def shared_positions(pairs: DataFrame) -> DataFrame:
+    """``key, shared``: of each page the lines (by position) that are the site's."""
+    lines = cut(compared_lines(pairs), "compared-lines")
+    counts = lines.filter("has = 1").groupBy("host", "line").agg(F.sum("has").alias("n"), F.sum("met").alias("n_met"))
+    site = counts.filter((F.col("n") >= SITE_PAGES) & (F.col("n_met") >= SITE_SHARE * F.col("n"))).select("host", "line")
+    site = cut(site, "site-lines")  # few: the join is planned from its true size
+    shared = lines.filter("shared")
+    gone = shared.filter("soft").select("key", "spot").unionByName(shared.filter("NOT soft").join(site, ["host", "line"]).select("key", "spot"))
+    return gone.groupBy("key").agg(F.collect_list("spot").alias("shared"))
 
 
 def staying_lines(lines: list[tuple[str, int, bool]]) -> list[tuple[str, int, bool]]:
-    """(text, position in the page, goes if shared) of the lines that structure lets stay."""
+    """(text, position in the page, goes if shared without a count over the host) of the lines that structure lets stay."""
     article = any(place == ARTICLE for _, place, _ in lines)
     out = []
     for i, (text, place, links) in enumerate(lines):
@@ -332,7 +363,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``id, url, text, n_chars`` of each row."""
     hashed = page_hashes(pages, url_col, html_col)
     shared = cut(shared_positions(neighbours(hashed)), "shared-lines").withColumnRenamed("key", "k")
-    line = pa.struct([("text", pa.string()), ("spot", pa.int32()), ("soft", pa.bool_())])
+    line = pa.struct([("text", pa.string()), ("spot", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -341,14 +372,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 urls, some = b.column(1)[lo:hi], texts[lo:hi].to_pylist()
                 parsed = [page_lines(t) for t in some]
                 keys = [lines_key(host_and_path(u)[0], p)[1] for u, p in zip(urls.to_pylist(), parsed, strict=True)]
-                stay = [[dict(zip(("text", "spot", "soft"), x, strict=True)) for x in staying_lines(p)] for p in parsed]
+                stay = [[{"text": t, "spot": i} for t, i, _ in staying_lines(p)] for p in parsed]
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], urls, pa.array(keys, pa.binary()), pa.array(stay, pa.list_(line))], ["id", "url", "key", "lines"])
 
     kind = dict(pages.dtypes)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.mapInArrow(run, f"id {kind[id_col]}, url {kind[url_col]}, key binary, lines array<struct<text:string,spot:int,soft:boolean>>")
+    rows = rows.mapInArrow(run, f"id {kind[id_col]}, url {kind[url_col]}, key binary, lines array<struct<text:string,spot:int>>")
     met = rows.join(shared, F.col("key") == F.col("k"), "left")
-    gone = lambda x: x["soft"] & F.coalesce(F.array_contains("shared", x["spot"]), F.lit(False))
+    gone = lambda x: F.coalesce(F.array_contains("shared", x["spot"]), F.lit(False))
     text = F.array_join(F.transform(F.filter("lines", lambda x: ~gone(x)), lambda x: x["text"]), " ")
     met = met.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"))
     return met.withColumn("n_chars", F.length("text").cast("long"))

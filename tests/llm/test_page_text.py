@@ -105,3 +105,18 @@ def test_neighbours_are_those_of_the_whole_order(spark):
 
 def test_empty_table(spark):
     assert pt.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_site_text_inside_the_article_goes_and_quoted_passages_stay(spark):
+    rows = []
+    for i in range(24):
+        quote = "<p>A passage that some articles quote.</p>" if i % 6 == 0 else ""
+        body = "".join(f"<p>Own sentence {i} {k} of this page, long enough to be its text.</p>" for k in range(4))
+        rows.append((i, f"http://site.x/{i:03}", f"<article><h1>Title {i}</h1><div><p>Reprints need the consent of the site.</p></div>{quote}{body}<p>Read more on our pages.</p></article>"))
+    rows += [(100 + i, f"http://two.x/{i}", f"<main><p>Quoted by both.</p><p>Alone {i}, with a text of its own.</p></main>") for i in range(2)]
+    text = {r["page_id"]: r["text"] for r in pt.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    for i in range(24):
+        assert "Reprints" not in text[i] and "Read more" not in text[i]
+        assert text[i].startswith(f"Title {i} ") and text[i].count("Own sentence") == 4
+        assert ("A passage that some articles quote." in text[i]) == (i % 6 == 0)
+    assert text[100] == "Quoted by both. Alone 0, with a text of its own."
