@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimforge.functions.draws import hash_key, py_hash_key
-from claimforge.operators.corpus import RECIPES, TASKS, build_statements, with_digest
+from claimforge.operators.corpus import KEYS, RECIPES, TASKS, build_statements, with_digest
 from claimforge.operators.sampling import largest_remainder_quotas, take_first
 from claimforge.operators.templates import TRAIN_TEMPLATES
 
@@ -125,3 +125,16 @@ def ppc_sweep(statements: DataFrame, ppcs, spc: int, seed, key_cols=("sample_idx
 def all_statements(views, n, ppc, seed, tasks=TASKS, materialize=True, shape=with_digest) -> DataFrame:
     """The statements that a sweep selects from, by default by digest: texts come last."""
     return build_statements(views, tasks, n, ppc, seed, materialize, shape)
+
+
+def with_statements(selected: DataFrame, views, n, ppc, seed, tasks=TASKS) -> DataFrame:
+    """The rows that a sweep selected by digest, with their whole statements in place of the digests.
+
+    ``views, n, ppc, seed, tasks`` are those of ``all_statements``.  Statements are built again (draws are
+    seeded) and met by key and digest; a text that several corpora hold is moved once, before the join.
+    """
+    by = [*KEYS, "statement_md5"]
+    texts = build_statements(views, tasks, n, ppc, seed, False, lambda st: st.withColumn("statement_md5", F.md5("statement")))
+    wanted = selected.select(*by).distinct()
+    texts = texts.select(*by, "statement").join(wanted, by, "left_semi").dropDuplicates(by)
+    return selected.join(texts, by).drop("statement_md5")

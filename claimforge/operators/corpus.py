@@ -150,8 +150,8 @@ def keys_only(statements: DataFrame) -> DataFrame:
 
 
 def with_digest(statements: DataFrame) -> DataFrame:
-    """Statements by the md5 of their text, for selections over many corpora (the text can be joined to
-    the selected keys at the end)."""
+    """Statements by the md5 of their text, for selections over many corpora (``ablation.with_statements``
+    joins the text to the selected rows at the end)."""
     return statements.withColumn("statement_md5", F.md5("statement")).drop("statement")
 
 
