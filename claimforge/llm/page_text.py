@@ -12,8 +12,9 @@
 3. *Differencing.*  A page is aligned with the neighbour of its host that shares the longest
    path prefix, by longest common subsequence of line hashes (bit-parallel, with linear-space
    splitting).  Lines in common are deleted: they are the site's, not the page's.  A neighbour
-   which shares most of the page's article is a copy of it, not another page of the site, and says
-   nothing; then the other neighbour is taken.  Prose inside the article goes too, unless a count
+   which shares most of the page's own text (its article without lines that stand on nearly all
+   pages of the host) is a copy of it, not another page of the site, and says nothing: runs of
+   copies in URL order are passed over, to the page before and the page after the run.  Prose inside the article goes too, unless a count
    over the host shows it to be a passage that articles quote: one that stands on fewer than
    ``SITE_PAGES`` distinct pages, or that fewer than ``SITE_SHARE`` of the pages which have it
    share with their nearest page (site text is met at almost every neighbour, a quotation by chance).
@@ -42,11 +43,15 @@ from claimforge.llm.common import byte_slices, cut, texts_of
 SLICE_BYTES = 8 << 20
 COPY_SHARE = 0.5
 LINK_SHARE = 0.5
+#: A line on so many of a host's distinct pages does not make two pages copies, where a page has so much other text.
+HOST_SHARE = 0.8
+OWN_SHARE = 0.1
 SITE_PAGES = 3
 SITE_SHARE = 0.75
 DIRECT_BITS = 1 << 27
 OUTSIDE, PLAIN, ARTICLE = range(3)
 SOFT = 4  # added to the place of a line that goes if shared
+HOST = 8  # added to the place of a line on nearly all pages of the host
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -220,18 +225,32 @@ def _lcs(a: list[int], b: list[int]) -> list[int]:
     return _lcs(a[:half], b[:cut_at]) + [half + i for i in _lcs(a[half:], b[cut_at:])]
 
 
-def shared_lines(hashes: np.ndarray, weights: np.ndarray, places: np.ndarray, others: list[np.ndarray]) -> np.ndarray | None:
+def own_weights(weights: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Characters of each line that count when pages are compared for being copies (0: the line is not the page's own)."""
+    kinds = places & 3
+    inside = np.where(kinds == ARTICLE if (kinds == ARTICLE).any() else kinds != OUTSIDE, weights, 0)
+    own = np.where(places & HOST, 0, inside)
+    return own if own.sum() > OWN_SHARE * inside.sum() else inside
+
+
+def shared_lines(hashes: np.ndarray, own: np.ndarray, others: list[np.ndarray]) -> np.ndarray | None:
     """Lines in common with the first of the other pages that is no copy of this one (None: all are)."""
-    places = places & 3
-    inside = places == ARTICLE if (places == ARTICLE).any() else places != OUTSIDE
-    total = weights[inside].sum()
+    total = own.sum()
     for other in others:
         common = lcs_rows(hashes, other)
-        if total == 0 or weights[inside & common].sum() <= COPY_SHARE * total:
+        if total == 0 or own[common].sum() <= COPY_SHARE * total:
             return common
     return None
 
 
+def are_copies(first: dict, second: dict) -> bool:
+    """Whether the smaller of two pages shares most of its own text with the other."""
+    a, b = (own_weights(np.frombuffer(r["weights"], "<u4").astype(np.int64), np.frombuffer(r["places"], np.uint8)) for r in (first, second))
+    least = min(a.sum(), b.sum())
+    common = lcs_rows(np.frombuffer(first["lines"], "<u8"), np.frombuffer(second["lines"], "<u8"))
+    return bool(least and a[common].sum() > COPY_SHARE * least)
+
+
 def host_and_path(url: str | None) -> tuple[str, str]:
     """Host and path of a URL (what is no URL is all path)."""
     try:
@@ -282,12 +301,43 @@ def page_hashes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return rows.agg(F.first("host").alias("host"), F.min("path").alias("path"), *[F.first(c).alias(c) for c in ("lines", "weights", "places")])
 
 
+def mark_host_lines(hashed: DataFrame) -> DataFrame:
+    """The pages with HOST added to the places of lines that stand on nearly all distinct pages of their host."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hosts, lines = [], []
+            for host, line, place in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                some = np.unique(np.frombuffer(line, "<i8")[np.frombuffer(place, np.uint8) & 3 != OUTSIDE])
+                hosts.extend([host] * len(some))
+                lines.append(some)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.concatenate([*lines, np.zeros(0, np.int64)]), pa.int64())], ["host", "line"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = []
+            for line, place, common in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("lines", "places", "common")), strict=True):
+                where = np.isin(np.frombuffer(line, "<i8"), np.array(common or [], np.int64))
+                places.append((np.frombuffer(place, np.uint8) + HOST * where.astype(np.uint8)).tobytes())
+            cols = [b.column(b.schema.get_field_index(c)) for c in names[:-1]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(places, pa.binary())], names)
+
+    names = ["key", "host", "path", "lines", "weights", "places"]
+    counts = hashed.select("host", "lines", "places").mapInArrow(explode, "host string, line long").groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    pages = hashed.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= SITE_PAGES)
+    common = counts.filter(F.col("n") >= SITE_PAGES).join(pages, "host").filter(F.col("n") >= HOST_SHARE * F.col("pages"))
+    # a host has at most 1 / HOST_SHARE times the lines of its mean page; written first, so that the join is planned from its true size
+    common = cut(common.groupBy("host").agg(F.collect_list("line").alias("common")), "host-lines")
+    met = hashed.join(common, "host", "left").select(*names, "common")
+    return met.mapInArrow(mark, "key binary, host string, path string, lines binary, weights binary, places binary")
+
+
 def neighbours(hashed: DataFrame) -> DataFrame:
     """Each distinct page with the lines and places of the pages before and after it in URL order."""
     ordered = hashed.repartitionByRange("host", "path", "key").select("*", F.spark_partition_id().alias("part"))
     ordered = cut(ordered, "url-order")  # one order, whatever is computed again
     place = F.struct("host", "path", "key")
-    row = F.struct("host", "path", "key", "lines")
+    row = F.struct("host", "path", "key", "lines", "weights", "places")
     # the first and last page of each part also stand in the parts beside it
     ends = ordered.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last"))
     parts = Window.partitionBy(F.lit(0)).orderBy("part")  # one row per partition
@@ -296,9 +346,47 @@ def neighbours(hashed: DataFrame) -> DataFrame:
     guests = guests.filter("part IS NOT NULL").select("r.*", "part", F.lit(True).alias("guest"))
     rows = ordered.withColumn("guest", F.lit(False)).unionByName(guests, allowMissingColumns=True)
     order = Window.partitionBy("part").orderBy(place)
-    pick = F.struct("host", "path", "lines")
-    rows = rows.select("*", F.lag(pick).over(order).alias("before"), F.lead(pick).over(order).alias("after"))
-    return rows.filter("NOT guest").drop("part", "guest")
+    rows = rows.select("*", F.lag(row).over(order).alias("before"), F.lead(row).over(order).alias("after"))
+    return rows.filter("NOT guest").drop("guest")
+
+
+def past_copies(pairs: DataFrame) -> DataFrame:
+    """Each page with ``others``: the pages before and after its run of copies in URL order, then the ends of
+    the run (a long run may drift away from the page), then its neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts, ends = [], []
+            for r in b.to_pylist():
+                before, after = ([o] if o and o["host"] == r["host"] else [] for o in (r["before"], r["after"]))
+                starts.append(not any(are_copies(o, r) for o in before))
+                ends.append(not any(are_copies(r, o) for o in after))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.bool_()), pa.array(ends, pa.bool_())], [*b.schema.names, "starts", "ends"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in pairs.dtypes)
+    rows = cut(pairs.mapInArrow(run, f"{schema}, starts boolean, ends boolean"), "copy-runs")
+    place, pick = F.struct("host", "path", "key"), lambda c: F.struct(*[F.col(f"{c}{k}").alias(k) for k in ("host", "path", "key", "lines")])
+    opened = F.struct(F.when(F.col("before").isNotNull(), pick("before.")).alias("beyond"), pick("").alias("end"))
+    closed = F.struct(F.when(F.col("after").isNotNull(), pick("after.")).alias("beyond"), pick("").alias("end"))
+    # runs that go on from part to part
+    parts = rows.groupBy("part").agg(
+        F.max_by(F.when(F.col("starts"), opened), F.when(F.col("starts"), place)).alias("o"), F.min_by(F.when(F.col("ends"), closed), F.when(F.col("ends"), place)).alias("c")
+    )
+    over = Window.partitionBy(F.lit(0)).orderBy("part")  # one row per partition
+    far = parts.select(
+        "part",
+        F.last("o", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("o"),
+        F.first("c", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("c"),
+    )
+    so_far = [Window.unboundedPreceding, Window.currentRow]
+    up = Window.partitionBy("part").orderBy("host", "path", "key").rowsBetween(*so_far)
+    down = Window.partitionBy("part").orderBy(*[F.desc(c) for c in ("host", "path", "key")]).rowsBetween(*so_far)
+    rows = rows.withColumn("opened", F.last(F.when(F.col("starts"), opened), ignorenulls=True).over(up))
+    rows = rows.withColumn("closed", F.last(F.when(F.col("ends"), closed), ignorenulls=True).over(down)).join(F.broadcast(far), "part", "left")
+    rows = rows.withColumn("opened", F.coalesce("opened", "o")).withColumn("closed", F.coalesce("closed", "c"))
+    near = [F.when(F.col(c).isNotNull(), pick(f"{c}.")) for c in ("before", "after")]
+    others = F.array("opened.beyond", "closed.beyond", "opened.end", "closed.end", *near)
+    return rows.select("key", "host", "path", "lines", "weights", "places", others.alias("others"))
 
 
 def compared_lines(pairs: DataFrame) -> DataFrame:
@@ -314,15 +402,20 @@ def compared_lines(pairs: DataFrame) -> DataFrame:
         for b in batches:
             cols = [[] for _ in names]
             for r in b.to_pylist():
-                others = [o for o in (r["before"], r["after"]) if o and o["host"] == r["host"]]
-                others.sort(key=lambda o: -_prefix(o["path"], r["path"]))  # stable: the one before wins ties
-                others = [np.frombuffer(o["lines"], "<u8") for o in others]
+                tried = {r["key"]}
+                others = []
+                for pair in (r["others"][k : k + 2] for k in (0, 2, 4)):
+                    pair.sort(key=lambda o: -_prefix(o["path"], r["path"]) if o else 0)  # stable: the one before wins ties
+                    for o in pair:
+                        if o and o["host"] == r["host"] and o["key"] not in tried:
+                            tried.add(o["key"])
+                            others.append(np.frombuffer(o["lines"], "<u8"))
                 lines, places = np.frombuffer(r["lines"], "<u8"), np.frombuffer(r["places"], np.uint8)
-                common = shared_lines(lines, np.frombuffer(r["weights"], "<u4").astype(np.int64), places, others)
+                common = shared_lines(lines, own_weights(np.frombuffer(r["weights"], "<u4").astype(np.int64), places), others)
                 if common is None:
                     continue
-                soft = places >= SOFT
-                prose = (places == ARTICLE) & ~soft
+                soft = places & SOFT > 0
+                prose = (places & 3 == ARTICLE) & ~soft
                 met = set(lines[prose & common].tolist())
                 seen = set()
                 for i in np.flatnonzero(prose | soft & common).tolist():
@@ -361,8 +454,8 @@ def staying_lines(lines: list[tuple[str, int, bool]]) -> list[tuple[str, int, bo
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id, url, text, n_chars`` of each row."""
-    hashed = page_hashes(pages, url_col, html_col)
-    shared = cut(shared_positions(neighbours(hashed)), "shared-lines").withColumnRenamed("key", "k")
+    hashed = mark_host_lines(cut(page_hashes(pages, url_col, html_col), "page-lines"))
+    shared = cut(shared_positions(past_copies(neighbours(hashed))), "shared-lines").withColumnRenamed("key", "k")
     line = pa.struct([("text", pa.string()), ("spot", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -120,3 +120,27 @@ def test_site_text_inside_the_article_goes_and_quoted_passages_stay(spark):
         assert text[i].startswith(f"Title {i} ") and text[i].count("Own sentence") == 4
         assert ("A passage that some articles quote." in text[i]) == (i % 6 == 0)
     assert text[100] == "Quoted by both. Alone 0, with a text of its own."
+
+
+def test_runs_of_near_copies_and_short_pages_lose_the_text_of_the_site(spark):
+    site = "<p>Site name of the copies</p>", "<p>All rights kept</p>"
+    rows, want = [], {}
+
+    def add(path, own, host="copies.x", shared=site):
+        rows.append((len(rows), f"http://{host}/{path}", f"<div>{shared[0]}{''.join(f'<p>{t}</p>' for t in own)}{shared[1]}</div>"))
+        want[len(rows) - 1] = " ".join(own)
+
+    for i in range(9):  # 0-2 and 6-8 are pages of their own, 3-5 ten near copies each
+        for k in range(10 if 3 <= i <= 5 else 1):
+            add(f"{i}/{k}", [f"Sentence {i} {j} of a text that has many more of them." for j in range(6)] + [f"Printed on day {i} {k}."])
+    menu = tuple(f"<p>{' '.join(f'entry{c}{j}' for j in range(20))}</p>" for c in "ab")
+    for i in range(12):  # the menu is longer than the text
+        add(f"{i:02}", [f"Short text number {i}, just this one line of the page {i * 7919}."], "short.x", menu)
+    df = spark.createDataFrame(rows, SCHEMA)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r["page_id"]: r["text"] for r in pt.extract(df.repartition(3)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
