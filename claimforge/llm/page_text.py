@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -60,6 +60,16 @@ RAW = frozenset("script style noscript template textarea title iframe xmp noembe
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 SKIPPED = frozenset("nav footer aside form button select option datalist dialog menu svg math canvas object audio video head map".split())
+# Elements whose end tag may be left out: a start tag ends the last open one of these, unless one of those was opened after it.
+_BLOCKS = "article aside blockquote details dialog fieldset figure footer form header main nav section table td th".split()
+_ROW_PARTS, _CELLS = "tbody thead tfoot".split(), "td th".split()
+ENDED_BY = {
+    "li": (["li"], ["ul", "ol", "menu", "dir", "dl", *_BLOCKS]),
+    **dict.fromkeys(["dt", "dd"], (["dt", "dd"], ["dl", "ul", "ol", "menu", "dir", *_BLOCKS])),
+    **dict.fromkeys(_CELLS, (_CELLS, ["tr", "table"])),
+    "tr": (["tr"], ["table", *_ROW_PARTS]),
+    **dict.fromkeys(_ROW_PARTS, (_ROW_PARTS, ["table"])),
+}
 # Words of class, id and role values that name places beside the article.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription "
@@ -99,6 +109,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     parts: list[str] = []
     linked = 0
     stack = [_Open("", False, False, False)]
+    opened: dict[str, list[int]] = {}  # by name, the places of open elements in the stack
     at, size = 0, len(page)
 
     def flush():
@@ -112,6 +123,13 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             parts.clear()
         linked = 0
 
+    def last(names: Iterable[str]) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=0)
+
+    def close(to: int):
+        while len(stack) > to:
+            opened[stack.pop().name].pop()
+
     def add(text: str):
         nonlocal linked
         if text:
@@ -136,12 +154,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         name = m[2].lower()
         if m[1]:
-            if any(e.name == name for e in stack[-64:]):
+            if opened.get(name):
                 if name not in INLINE:
                     flush()
-                while stack[-1].name != name:
-                    stack.pop()
-                stack.pop()
+                close(opened[name][-1])
             continue
         if name == "br" or name == "hr":
             parts.append(" ")
@@ -155,13 +171,17 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name not in INLINE:
             flush()
+        if name in ENDED_BY:
+            ended, within = ENDED_BY[name]
+            if (at_open := last(ended)) > last(within):
+                close(at_open)
+        if name == "option" and stack[-1].name == name or stack[-1].name == "p" and name not in INLINE:
+            close(len(stack) - 1)  # ends by itself
         top = stack[-1]
-        if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and top.name == name or top.name == "p" and name not in INLINE:
-            stack.pop()  # ends by itself
-            top = stack[-1]
         attrs = _attributes(m[3]) if m[3] else {}
         article = top.article or name in ("article", "main") or attrs.get("role") == "main"
         beside = top.beside or _is_beside(name, attrs, top.article)
+        opened.setdefault(name, []).append(len(stack))
         stack.append(_Open(name, beside, article, top.link or name == "a"))
     flush()
     return lines

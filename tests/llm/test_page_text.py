@@ -144,3 +144,19 @@ def test_runs_of_near_copies_and_short_pages_lose_the_text_of_the_site(spark):
             assert {r["page_id"]: r["text"] for r in pt.extract(df.repartition(3)).collect()} == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("n", [3, 33, 400])
+def test_end_tags_count_at_any_depth(n):
+    stays = lambda page: [t for t, _, _ in pt.staying_lines(pt.page_lines(page))]
+    terms = "".join(f"<dt>t{i}<dd><a>d{i}</a>" for i in range(n))
+    assert stays(f"<nav><dl>{terms}</dl></nav><article><p>text</p></article>") == ["text"]
+    assert stays(f"<nav><dl>{''.join(f'<dt><i>t{i}<dd><b>d{i}' for i in range(n))}</dl></nav><article><p>text</p></article>") == ["text"]
+    assert stays(f"<article>{'<p><b>a<br>' * n}</article><div>b</div>") == ["a"] * n
+    cells = "".join(f"<tr><td>c{i}<th>h{i}" for i in range(n))
+    assert stays(f"<aside><table><tbody>{cells}</table></aside><main>{'<li><b>x' * n}</main><div>b</div>") == ["x"] * n
+
+
+def test_items_end_by_their_own_rules():
+    page = "<main><ul><li class=ad>ad<li>one<ul><li>two</ul><li>three</ul><table><tr><td class=ad>ad<td>cell<table><tr><td>inner</table><tr><td>next</table><dl><dt class=ad>ad<dd>text</dl></main>"
+    assert [t for t, _, _ in pt.staying_lines(pt.page_lines(page))] == ["one", "two", "three", "cell", "inner", "next", "text"]
