@@ -6,7 +6,8 @@ last return the columns of documents:
 
 1. toxicity: documents that the classifier rejects go; it is trained on the labelled ones;
 2. exact dedup: one row of equal texts stays;
-3. near dedup: one document of each group of near copies stays;
+3. near dedup: one document of each group of near copies stays (sets of five-word shingles with a
+   similarity of 0.80 or more; ``op4`` by itself links from 0.85);
 4. mixing: sources are drawn to their target weights (a document may come twice);
 5. sentencepiece: every text encoded and decoded; number of ids and digests.
 """
@@ -19,6 +20,11 @@ from claimforge.llm import exact_dedup, mixing, near_dups, pieces, toxicity
 from claimforge.llm.common import cut, read_table
 
 
+#: Similarity limit of the near-dedup stage, and the coordinates of 64 that a candidate pair agrees in: a pair
+#: at the limit has fewer with a probability of about 1.2e-6.
+NEAR_PERCENT, NEAR_MATCHES = 80, 35
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
@@ -28,7 +34,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dups.drop_near_copies(docs)
+    return near_dups.drop_near_copies(docs, percent=NEAR_PERCENT, matches=NEAR_MATCHES)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,15 @@ def test_empty_documents(spark, tmp_path):
     docs, labels, _ = _tables(spark)
     sf = write_tables(spark, tmp_path / "sf", documents=docs.limit(0), labels=labels)
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_near_copies_from_four_fifths_on(spark):
+    rows = []
+    for k in range(12):  # 100 shingles each; of a pair's sets n are the same: 2n / 200, similarity n / (200 - n)
+        for side, own in enumerate(("p", "q")):
+            same = 90 if k < 6 else 88
+            words = [f"w{k}_{j}" for j in range(same + 4)] + [f"{own}{k}_{j}" for j in range(100 - same)]
+            rows.append((2 * k + side, " ".join(words), "en", "a", 0))
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOC_SCHEMA), "")
+    # 90 / 110 = 0.818 is a copy, 88 / 112 = 0.786 is none
+    assert sorted(r["doc_id"] for r in out.collect()) == [*range(0, 12, 2), *range(12, 24)]
