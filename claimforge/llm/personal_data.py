@@ -112,10 +112,12 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 def wider_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if "at" in text or "AT" in text:
+        low = 0
         for m in _AT.finditer(text):
             start = m.start()
-            while start > 0 and m.start() - start < 64 and text[start - 1] in _LOCAL:
+            while start > low and text[start - 1] in _LOCAL:
                 start -= 1
+            low = m.end()
             d = _DOMAIN_WORDS.match(text, m.end()) if start < m.start() else None
             if d:
                 out.append((start, EMAIL, d.end()))

@@ -86,3 +86,10 @@ def test_em_finds_good_and_bad_labelers():
     said = np.column_stack([good(0.95), good(0.9), good(0.85), np.zeros(4000, int), rng.integers(0, 3, 4000)])
     post = pd_._em(said, np.ones(4000))
     assert ((post > 0.5) == truth).mean() > 0.95
+
+
+def test_long_local_parts_are_whole():
+    for n in (3, 64, 65, 500):
+        text = f"write to {'b' * n} (at) example (dot) com or {'c' * n}[at]mail.example.com"
+        spans = [text[a:b] for a, k, b in pd_.wider_spans(text) if k == pd_.EMAIL]
+        assert spans == [f"{'b' * n} (at) example (dot) com", f"{'c' * n}[at]mail.example.com"]
