@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimforge.llm import page_text, personal_data, quality, toxicity
+from claimforge.llm import divergence, page_text, personal_data, quality, toxicity
 from claimforge.llm.common import fold_bucket, read_table
 from claimforge.llm.embedding_dups import near_vectors
 from claimforge.llm.exact_dedup import copy_groups
@@ -71,12 +71,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(personal_data.find(read_table(spark, sf_dir, "documents")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What tells each source of a language from the others and from the language: pairs of sources, terms."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_page_text, op2_embedding_near_dedup, op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts, op10_personal_data, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_embedding_near_dedup, op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts, op10_personal_data, op11_source_divergence, pipeline)}
 
 ORACLE = {
     "op2_embedding_near_dedup": """
@@ -120,4 +125,37 @@ ORACLE = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), g AS (SELECT DISTINCT lang, source FROM d), t AS (
+          SELECT k, lang, source, unnest(terms) AS term FROM d
+        ), kept AS (
+          SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 30
+        ), own AS (
+          SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+        ), l AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+        ), s AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM own GROUP BY lang, source
+        ), dense AS (
+          SELECT g.lang, g.source, kept.term, coalesce(own.n, 0) AS n,
+                 1 + (1000000000::HUGEINT * (coalesce(own.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * l.v) AS p,
+                 1 + (1000000000::HUGEINT * (kept.n + 5)) // (l.total + 5 * l.v) AS q
+          FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN own USING (lang, source, term)
+        ), pairs AS (
+          SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (
+            SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM dense x
+            JOIN dense y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+          ) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+        ), ranked AS (
+          SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value,
+                 row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+          UNION ALL
+          SELECT lang, source, 'term', term, (p - q)::BIGINT, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term)
+          FROM dense WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
 }
