@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimforge.llm import divergence, page_text, personal_data, quality, toxicity
+from claimforge.llm import conversations, divergence, katz, page_text, personal_data, quality, toxicity
 from claimforge.llm.common import fold_bucket, read_table
 from claimforge.llm.embedding_dups import near_vectors
 from claimforge.llm.exact_dedup import copy_groups
@@ -76,12 +76,22 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a backoff model of the training documents, and under word counts."""
+    return katz.score(read_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged and repaired: faults, cheapest edits, digest of the repaired rows."""
+    return conversations.repair(conversations.damage(read_table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_page_text, op2_embedding_near_dedup, op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts, op10_personal_data, op11_source_divergence, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_embedding_near_dedup, op3_sentencepiece, op4_minhash_near_dedup, op5_toxicity, op6_quality, op7_mix_sources, op8_exact_dedup, op9_token_counts, op10_personal_data, op11_source_divergence, op12_lm_scores, op13_conversation_repair, pipeline)}
 
 ORACLE = {
     "op2_embedding_near_dedup": """
