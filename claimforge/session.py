@@ -11,6 +11,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import SparkSession
 
@@ -64,9 +67,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the tables that this session has written below the checkpoint folder (they are needed as long
     as a DataFrame that reads them is)."""
-    base = os.path.join(ensure_checkpoint_dir(spark), "tables")
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, os.path.join(ensure_checkpoint_dir(spark), "tables"))
+
+
+_OPEN: list[list[str]] = []  # tables written in each open scope, see passing_tables
+_WRITTEN: WeakKeyDictionary = WeakKeyDictionary()  # where a materialized DataFrame's files are
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable]:
+    """Delete the tables that are materialized inside when the block ends.  Gives ``keep(df, name)``, which
+    materializes a table that stays; what is used after the block must come from such tables alone."""
+    own: list[str] = []
+    kept: list[str] = []
+
+    def keep(df, name: str):
+        out = materialize(df, name)
+        kept.append(_OPEN[-1].pop())
+        return out
+
+    _OPEN.append(own)
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(own)
+        for path in own:
+            _delete(spark, path)
+        if _OPEN:
+            _OPEN[-1].extend(kept)
 
 
 def materialize(df, name: str):
@@ -78,4 +111,15 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    out = spark.read.parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def drop_table(df) -> None:
+    """Delete the files of a materialized DataFrame that nothing reads any more; any other is left alone."""
+    path = _WRITTEN.pop(df, None)
+    if path:
+        _delete(df.sparkSession, path)
