@@ -41,6 +41,45 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def named(column: str) -> str:
+    """A column's name as Spark reads it whatever signs are in it."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def as_row(df: DataFrame, *helpers, keep: str = "row") -> DataFrame:
+    """The input's columns in one struct, beside helper columns: no name can clash."""
+    return df.select(F.struct(*(F.col(named(c)) for c in df.columns)).alias(keep), *helpers)
+
+
+def from_row(df: DataFrame, columns: list[str], *more, keep: str = "row") -> DataFrame:
+    return df.select(*(F.col(keep)[c].alias(c) for c in columns), *more)
+
+
+BITS_A_KEY = 16
+MOST_BITS = 1 << 29  # 64 MB
+_BITMAP = 32_768
+
+
+def split_by_keys(rows: DataFrame, key, keys: DataFrame, most_bits: int = MOST_BITS) -> tuple[DataFrame | None, DataFrame]:
+    """(rows whose ``key`` is surely not in ``keys``, a written table of one column; rows whose key may be there).
+
+    The keys' hashes are set in bitmaps of ``BITS_A_KEY`` bits a key, which are broadcast, so the first rows need no
+    shuffle.  Beyond ``most_bits`` the first part is None, and the second all rows."""
+    n = keys.count()
+    if n * BITS_A_KEY > most_bits:
+        return None, rows
+    pages = 1 + n * BITS_A_KEY // _BITMAP
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(pages * _BITMAP)) + 1
+    at = place(F.col(named(keys.columns[0])))
+    maps = keys.groupBy(F.bitmap_bucket_number(at).alias("__page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+    bit = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("__bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1, F.lit(False))
+    met = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(key)) == F.col("__page"), "left")  # at most most_bits
+    met = met.withColumn("__hit", hit).drop("__page", "__bits")
+    return met.filter("NOT __hit").drop("__hit"), met.filter("__hit").drop("__hit")
+
+
 def fold_bucket(col, mod: int):
     """``crc32(text of the id) mod n``: which labelled rows are held out of training."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

@@ -11,21 +11,22 @@
 
 Defined results: a null text counts as empty; a null id never beats another id; rows
 that repeat an id with the same text share one verdict, and ``drop_copies`` keeps one
-of them; an empty table gives an empty result.
+of them; an empty table gives an empty result; the input's other columns may have any names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from claimforge.llm.common import SPACES, cut
+from claimforge.llm.common import SPACES, as_row, cut, from_row, named, split_by_keys
+from claimforge.session import passing_tables
 
 SUPPORT = 0.001
 
 
 def text_digest(text: str = "text"):
     """SHA-256 (32 bytes) of the normalised text."""
-    normal = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ")
+    normal = F.regexp_replace(F.coalesce(F.col(named(text)), F.lit("")), SPACES, " ")
     return F.unhex(F.sha2(F.encode(normal, "UTF-8"), 256))
 
 
@@ -57,18 +58,25 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The input rows that stay, one per distinct normalised text, with their own columns."""
-    verdict = copy_groups(docs, id_col, text_col, support)
-    stay = verdict.filter("kept").groupBy(F.col("id").alias("__keep_id"), F.col("digest").alias("__keep_digest"))
-    stay = cut(stay.agg(F.count(F.lit(1)).alias("__rows")), "kept-digests")
-    own = docs.withColumn("__digest", text_digest(text_col))
-
-    def met(some: DataFrame) -> DataFrame:
-        same = F.col("__digest").eqNullSafe(F.col("__keep_digest")) & F.col(id_col).eqNullSafe(F.col("__keep_id"))
-        return own.join(some, same, "left_semi")
-
-    again = stay.filter("__rows > 1")  # rows that repeat an id with the same text
-    if again.isEmpty():
-        return met(stay).drop("__digest")
-    once = met(again).dropDuplicates(["__digest", id_col])
-    return met(stay.filter("__rows = 1")).unionByName(once).drop("__digest")
+    """The input rows that stay, one per distinct normalised text, with their own columns.
+
+    Rows of heavy digests that lose go on the map side.  Of the others, rows whose digest is in no group of
+    copies, as bitmaps of the groups' digests show, stay where they are; only the rest is shuffled."""
+    spark = docs.sparkSession
+    with passing_tables(spark) as keep:
+        digests = cut(docs.select(F.col(named(id_col)).alias("id"), text_digest(text_col).alias("digest")), "digests")
+        heavy = keep(heavy_winners(digests, support).select("digest", "keep_id"), "heavy-digests")
+        light = digests.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        light = keep(light.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select("digest", "keep_id"), "light-groups")
+    rows = as_row(docs, F.col(named(id_col)).alias("id"), text_digest(text_col).alias("digest"))
+    won = heavy.select("digest", F.col("keep_id").alias("won"), F.lit(True).alias("heavy"))
+    rows = rows.join(F.broadcast(won), "digest", "left")  # at most 1/support rows
+    rows = rows.filter(F.col("heavy").isNull() | F.col("id").eqNullSafe(F.col("won")))
+    alone, maybe = split_by_keys(rows.filter("heavy IS NULL").drop("won", "heavy"), F.col("digest"), light.select("digest"))
+    groups = light.withColumn("copied", F.lit(True))
+    stay = maybe.join(groups, "digest", "left").filter(F.col("copied").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
+    stay = stay.select("row", "id", "digest").unionByName(rows.filter("heavy").select("row", "id", "digest"))
+    stay = stay.groupBy("id", "digest").agg(F.first("row").alias("row"))  # rows that repeat an id with the same text
+    if alone is not None:
+        stay = alone.select("row").unionByName(stay.select("row"))
+    return from_row(stay, docs.columns)

@@ -23,14 +23,16 @@ Every number depends on the rows alone: reruns, lost executors and other partiti
 give the same mix.  Tables by source, block or shard are bounded by sources x BLOCKS.
 
 Defined results: null text has 0 words; null is a source of its own; documents without
-words are drawn like others; a table without words or rows gives target 0 and draws nothing.
+words are drawn like others; rows that tie in hash and id are drawn together; a table without words or rows
+gives target 0 and draws nothing; the input's other columns may have any names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from claimforge.llm.common import WORDS, cut
+from claimforge.llm.common import WORDS, as_row, cut, from_row, named
+from claimforge.session import passing_tables
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -39,16 +41,17 @@ SEED = 7
 BLOCKS = 1024
 LONG = 128
 SHARDS = 16
+WORDS_A_PIECE = 4_000_000
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int = SEED) -> DataFrame:
-    """The rows with ``__id, __source, __size, __hash, __block``."""
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS)).cast("long")
-    place = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
-    return docs.select(
-        "*",
-        F.col(id_col).alias("__id"),
-        F.col(source_col).alias("__source"),
+    """The rows, each in a struct ``row``, with ``__id, __source, __size, __hash, __block``."""
+    words = F.regexp_count(F.coalesce(F.col(named(text_col)), F.lit("")), F.lit(WORDS)).cast("long")
+    place = F.xxhash64(F.col(named(id_col)), F.col(named(text_col)), F.lit(seed))
+    return as_row(
+        docs,
+        F.col(named(id_col)).alias("__id"),
+        F.col(named(source_col)).alias("__source"),
         words.alias("__size"),
         place.alias("__hash"),
         F.pmod(F.shiftrightunsigned(place, 32), F.lit(BLOCKS)).cast("int").alias("__block"),
@@ -232,13 +235,16 @@ def mix_report(docs: DataFrame, id_col="doc_id", text_col="text", source_col="so
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mixed rows (a document once per copy) with ``mix_shard``, shuffled within shards."""
-    _, drawn, dealt = plan(docs, id_col, text_col, source_col, shards, seed)
-    rows = keyed(docs, id_col, text_col, source_col, seed)
-    own = ["__id", "__source", "__size", "__hash", "__block"]
-    rows = rows.select(F.struct(*docs.columns).alias("__row"), *own)  # the input's own columns can't clash
-    rows = with_shards(with_copies(rows, drawn), dealt)
-    rows = rows.select("__row", "__hash", F.posexplode("shards").alias("__copy", "mix_shard"))
+    """The mixed rows (a document once per copy) with ``mix_shard``.  Partitions are shards, or pieces of about
+    ``WORDS_A_PIECE`` words of one shard where it has more, in the order of a second hash."""
+    with passing_tables(docs.sparkSession) as keep:
+        _, drawn, dealt = plan(docs, id_col, text_col, source_col, shards, seed)
+        drawn, dealt = keep(drawn, "draws"), keep(dealt, "dealt")
+    words = drawn.agg(F.sum("target")).first()[0] or 0
+    pieces = 1 + int(words / (shards * WORDS_A_PIECE))
+    rows = with_shards(with_copies(keyed(docs, id_col, text_col, source_col, seed), drawn), dealt)
+    rows = rows.select("row", "__hash", F.posexplode("shards").alias("__copy", "mix_shard"))
     rows = rows.withColumn("__key", F.xxhash64("__hash", "__copy", F.lit(seed + 1)))
-    rows = rows.repartition("mix_shard", "__key").sortWithinPartitions("mix_shard", "__key")
-    return rows.select(*[F.col("__row")[c].alias(c) for c in docs.columns], "mix_shard")
+    piece = F.col("mix_shard") * pieces + F.pmod(F.shiftrightunsigned("__key", 20), F.lit(pieces))
+    rows = rows.repartitionById(shards * pieces, piece.cast("int")).sortWithinPartitions("mix_shard", "__key")
+    return from_row(rows, docs.columns, "mix_shard")

@@ -24,8 +24,9 @@ A pair at the similarity limit agrees in fewer than ``MATCHES`` = 40 of 64 coord
 probability of about 2e-6; links above it are lost more rarely still, and no false link is made.
 
 Defined results: texts without words have an empty set and link with nothing; rows with a
-null id link with nothing; rows that repeat an id or a text are in one component with their
-equals; an empty table gives an empty result.
+null id link with nothing; rows that repeat a text are in one component with their equals, rows that repeat
+an id with another text are documents of their own; ties of similarity do not matter, as every link counts;
+an empty table gives an empty result; the input's other columns may have any names.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from claimforge.llm.common import byte_slices, cut, mix64, release, texts_of, word_hashes, word_tokens
+from claimforge.llm.common import as_row, byte_slices, cut, from_row, mix64, named, release, split_by_keys, texts_of, word_hashes, word_tokens
 from claimforge.llm.components import connected_components
+from claimforge.session import passing_tables
 
 SHINGLE = 5
 PERCENT = 85
@@ -90,8 +92,8 @@ def set_node(shingles: np.ndarray) -> int:
     return xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str, size: int, coordinates: int, with_sets: bool = False) -> DataFrame:
-    """``id, n, node, sig`` of each row (node null for an empty set), with ``shingles`` if asked."""
+def sign(docs: DataFrame, id_col: str, text_col: str, size: int, coordinates: int, with_sets: bool = False, with_text: bool = False) -> DataFrame:
+    """``id, n, node, sig`` of each row (node null for an empty set), with ``shingles`` or ``text`` if asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,12 +110,15 @@ def sign(docs: DataFrame, id_col: str, text_col: str, size: int, coordinates: in
                 if with_sets:
                     cols.append(pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())))
                     names.append("shingles")
+                if with_text:
+                    cols.append(b.column(1)[lo:hi])
+                    names.append("text")
                 yield pa.RecordBatch.from_arrays(cols, names)
             release()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n bigint, node bigint, sig array<int>" + ", shingles array<bigint>" * with_sets
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = f"id {kind}, n bigint, node bigint, sig array<int>" + ", shingles array<bigint>" * with_sets + ", text string" * with_text
+    return docs.select(F.col(named(id_col)).alias("id"), F.col(named(text_col)).alias("text")).mapInArrow(run, schema)
 
 
 def prefix_postings(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
@@ -241,17 +246,23 @@ def unit_links(members: DataFrame, sets: DataFrame, bounds: DataFrame, matches:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT,
-                coordinates: int = COORDINATES, matches: int = MATCHES, chunk: int = CHUNK) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id, kept``."""
+    return verdicts(docs, id_col, text_col, **how).drop("node")
+
+
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT,
+             coordinates: int = COORDINATES, matches: int = MATCHES, chunk: int = CHUNK) -> DataFrame:
+    """``near_groups`` with ``node``, the name of the row's set."""
     signed = cut(sign(docs, id_col, text_col, size, coordinates), "signatures")
-    named = signed.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node")
-    nodes = cut(named.agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig")), "nodes")
+    by_node = signed.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node")
+    nodes = cut(by_node.agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig")), "nodes")
     postings = cut(prefix_postings(nodes, coordinates, matches), "postings")
     # the full sets of all nodes that can be in a candidate pair
     wanted = cut(postings.select("node").distinct().join(nodes.select("node", "first"), "node"), "posted-nodes")
-    own = docs.join(wanted.select(F.col("first").alias(id_col)).distinct(), id_col, "left_semi")
-    sets = sign(own, id_col, text_col, size, coordinates, with_sets=True).join(wanted.select("node"), "node", "left_semi")
+    own = docs.select(F.col(named(id_col)).alias("id"), F.col(named(text_col)).alias("text"))
+    own = own.join(wanted.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
+    sets = sign(own, "id", "text", size, coordinates, with_sets=True).join(wanted.select("node"), "node", "left_semi")
     sets = cut(sets.dropDuplicates(["node"]), "sets")
     bounds = cut(set_bounds(sets, percent), "bounds")
     members = task_members(postings.join(bounds, "node"), chunk)
@@ -264,20 +275,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = nodes.filter("rows > 1").join(parts.select("node"), "node", "left_anti").select("node", F.col("first").alias("component_id"))
     groups = cut(linked.unionByName(alone), "groups")
     rows = signed.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
-    out = rows.join(groups, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    out = rows.join(groups, "node", "left").select("id", "n_shingles", "node", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, **how) -> DataFrame:
     """The input rows that stay, one document of each group, with their own columns; rows that
-    repeat both id and text of a document that stays are one."""
-    verdict = near_groups(docs, id_col, text_col, **how)
-    by_id = cut(verdict.groupBy("id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept-ids")
-    gone = by_id.filter("NOT kept").select(F.col("id").alias("__gone"))
-    rest = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    again = by_id.filter("kept AND rows > 1").select(F.col("id").alias("__again"))
-    if again.isEmpty():
-        return rest
-    same = F.col(id_col) == F.col("__again")
-    marked = rest.join(again, same, "left_semi").withColumn("__mark", F.sha2(F.col(text_col), 256))
-    return rest.join(again, same, "left_anti").unionByName(marked.dropDuplicates([id_col, "__mark"]).drop("__mark"))
+    repeat the id and the set of a row that stays are one.
+
+    Only ids decide while an id has one row.  Rows whose id is not among those that go stay where they are, as
+    bitmaps of these ids show; the rest is joined.  Rows that share an id are told apart by their sets."""
+    with passing_tables(docs.sparkSession) as keep:
+        verdict = cut(verdicts(docs, id_col, text_col, size=size, **how).filter("id IS NOT NULL"), "verdicts")
+        by_id = verdict.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept"))
+        doubtful = keep(by_id.filter("rows > 1 OR NOT kept").select("id", (F.col("rows") > 1).alias("shared")), "doubtful-ids")
+        shared = doubtful.filter("shared").select("id")
+        several = not shared.isEmpty()
+        if several:
+            good = keep(verdict.join(shared, "id", "left_semi").filter("kept").select("id", "node").distinct(), "kept-sets")
+    rows = as_row(docs, F.col(named(id_col)).alias("id"), F.col(named(text_col)).alias("text"))
+    alone, maybe = split_by_keys(rows, F.col("id"), doubtful.select("id"))
+    stay = maybe.join(doubtful.select("id"), "id", "left_anti").select("row")
+    if alone is not None:
+        stay = alone.select("row").unionByName(stay)
+    if several:
+        mine = cut(maybe.join(shared, "id", "left_semi"), "shared-ids")
+        # rows of one id and text have one set; without words, the text is the set
+        sets = sign(mine.select("id", "text").distinct(), "id", "text", size, 1, with_text=True)
+        same = (sets["id"] == good["id"]) & sets["node"].eqNullSafe(good["node"])
+        sets = sets.join(good, same, "left_semi")
+        one = F.coalesce(F.col("node").cast("string"), F.concat(F.lit("text "), F.coalesce(sets["text"], F.lit(""))))
+        met = mine.join(sets, mine["id"].eqNullSafe(sets["id"]) & mine["text"].eqNullSafe(sets["text"]))
+        met = met.groupBy(sets["id"], one.alias("one")).agg(F.first("row").alias("row"))
+        stay = stay.unionByName(met.select("row"))
+    return from_row(stay, docs.columns)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from claimforge.llm.common import byte_slices, fold_bucket, mix64, spread, texts_of, word_hashes, word_tokens
+from claimforge.llm.common import byte_slices, fold_bucket, mix64, named, spread, texts_of, word_hashes, word_tokens
 
 BUCKETS = 1 << 18
 FIT_ROWS = 2000
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         known.filter(F.col("y") == k).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(fit_rows + calibration_rows // 2)
         for k in (0, 1)
     ]
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "id")
+    sample = docs.select(F.col(named(id_col)).alias("id"), F.col(named(text_col)).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "id")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(2)[lo:hi], lists, b.column(3)[lo:hi]], ["y", "ids", "place"])
 
+    sample = sample.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))  # a text per id
     sample = sample.withColumn("place", F.xxhash64("id", F.lit(11)))
     got = sample.mapInArrow(sparse, "y int, ids array<int>, place bigint").toArrow().sort_by([("place", "ascending")])
     y = got["y"].to_numpy().astype(np.int64) * 2 - 1
@@ -211,5 +212,5 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    scored = docs.select(F.col(named(id_col)).alias("id"), F.col(named(text_col)).alias("text")).mapInArrow(run, f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

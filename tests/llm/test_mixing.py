@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimforge.llm.mixing import mix, mix_report, shard_quotas
 from tests.llm.helpers import DOC_SCHEMA
@@ -59,7 +60,7 @@ def test_targets_and_words(spark):
 
 def test_rows_match_report_and_reruns(spark):
     rows, df = _table(spark, 300, 2)
-    df = df.selectExpr("*", "lang AS shards", "lang AS copies", "lang AS words")
+    df = df.selectExpr("*", "lang AS shards", "lang AS copies", "lang AS words", "1 AS __id", "2 AS `a.b`", "3 AS row", "4 AS __copy", "5 AS __source")
     report = {r["doc_id"]: r for r in mix_report(df).collect()}
     out = mix(df)
     assert out.columns == [*df.columns, "mix_shard"]
@@ -67,6 +68,9 @@ def test_rows_match_report_and_reruns(spark):
     for r in out.collect():
         seen.setdefault(r["doc_id"], []).append(r["mix_shard"])
     assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(r["shards"]) for k, r in report.items() if r["shards"]}
+    # a partition holds rows of one shard
+    parts = out.select("mix_shard", F.spark_partition_id().alias("part")).distinct().groupBy("part").count().collect()
+    assert len(parts) > 4 and all(r["count"] == 1 for r in parts)
     again = {r["doc_id"]: r for r in mix_report(df.repartition(5)).collect()}
     assert again == report
 

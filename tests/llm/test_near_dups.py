@@ -120,3 +120,14 @@ def test_components(spark, n):
     want = {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
     assert got == want
     assert np.all([c <= k for k, c in got.items()])
+
+
+def test_stage_rows_that_share_an_id_and_names(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b = " ".join(words), " ".join(reversed(words))
+    rows = [(3, a), (5, a + " tail"), (5, b), (6, b + " x"), (7, "own text"), (7, "own text"), (7, "own  TEXT"), (None, a), (None, "z"), (8, None), (8, ""), (9, " ")]
+    df = docs_frame(spark, rows).selectExpr("*", "1 AS row", "2 AS `a.b`", "3 AS __gone", "4 AS __mark", "5 AS node", "6 AS id", "7 AS shared", "8 AS __hit")
+    out = near_dups.drop_near_copies(df)
+    assert out.columns == df.columns
+    got = sorted((str(r["doc_id"]), " ".join((r["text"] or "").lower().split()), r["a.b"], r["__gone"]) for r in out.collect())
+    assert got == sorted([("3", a, 2, 3), ("5", b, 2, 3), ("7", "own text", 2, 3), ("None", a, 2, 3), ("None", "z", 2, 3), ("8", "", 2, 3), ("9", "", 2, 3)])
