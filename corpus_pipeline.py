@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimforge.llm import exact_dedup, mixing, near_dups, pieces, toxicity
-from claimforge.llm.common import cut, read_table
+from claimforge.llm.common import read_table
+from claimforge.session import drop_table, passing_tables
 
 
 #: Similarity limit of the near-dedup stage, and the coordinates of 64 that a candidate pair agrees in: a pair
@@ -58,7 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents.  What a stage has written for itself goes when its result is written, and
+    so does its input."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with passing_tables(spark) as keep:
+            after = keep(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        drop_table(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
