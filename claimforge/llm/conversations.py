@@ -7,8 +7,8 @@ costs 5 more.  Of the cheapest edits the first letters that are ASCII-least are
 
 Method: iterative-deepening A* (``cheapest``).  A depth-first search tries the edits in ASCII order
 under a cost bound, which goes up to the least cost that the last search left out; states that failed
-are kept with the cost that they are known to need, and a row that can't be kept for nothing is known
-to cost 2.  The first path that is accepted is the answer.
+are kept with the cost that they are known to need, and what the rest costs at least is known from its
+faults and from neighbours that can't follow each other.  The first path that is accepted is the answer.
 
 A long conversation is no unit of work.  Rows are sorted by range, so a conversation may lie in many
 partitions, and are cut to segments of ``size`` rows.  Before a segment the grammar can be in one of
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from claimforge.llm.common import cut
 
-SIZE = 256
+SIZE = 16
 BLANKS = " \t\n\x0b\x0c\r"
 
 #: States of the grammar: nothing yet, after s, after u, after a.
@@ -70,14 +70,27 @@ def reachable(rows: list[tuple[str, str]], entry: int, end: int) -> bool:
     return entry == end or end == S and entry == NOTHING and any(initial == "s" and fault in "-t" for initial, fault in rows)
 
 
+def suffix_needs(rows: list[tuple[str, str]]) -> list[int]:
+    """What the rows from each on cost at least, whatever the state: DELETE for a row with a fault, REROLE for two
+    sound rows that can't follow each other, no row counted twice (rows that must go don't part others)."""
+    n = len(rows)
+    least = [0] * (n + 2)
+    after, between = n, 0  # the next row that may stay, the cost of those before it
+    for i in range(n - 1, -1, -1):
+        initial, fault = rows[i]
+        least[i] = least[i + 1] + (fault != "-") * DELETE
+        if fault == "-" and after < n and rows[after][1] == "-" and initial + rows[after][0] not in ("su", "ua", "au"):
+            least[i] = max(least[i], between + REROLE + least[after + 1])
+        after, between = (i, 0) if fault in "-t" else (after, between + DELETE)
+    return least[: n + 1]
+
+
 def cheapest(rows: list[tuple[str, str]], entry: int, end: int) -> tuple[int, str] | None:
     """(cost, letters) of the ASCII-least cheapest edits that lead from ``entry`` to ``end``; the last is one of a row."""
     if not reachable(rows, entry, end):
         return None
     n = len(rows)
-    least = [0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        least[i] = least[i + 1] + (rows[i][1] != "-") * DELETE
+    least = suffix_needs(rows)
     failed: dict[tuple[int, int], int] = {}  # what a state needs at least
 
     def needs(i: int, state: int) -> int:
