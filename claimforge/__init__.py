@@ -7,7 +7,6 @@ sources     table readers, stand-in task views, result/speed file scans and sink
 operators   sampling, statement builders, corpus assembly, evaluation sets,
             scoring/metrics, run aggregation, reshaping/statistics, ablation sweeps
 plans       the query registry used by ``__spark_entry__`` and its DuckDB oracle SQL
-streaming   (intentionally empty: the modelled workload has no streaming operator)
 """
 
 from claimforge.session import get_session, ensure_checkpoint_dir, scratch_path

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,9 +36,12 @@ def words(text) -> Column:
     return F.filter(F.split(_col(text), WS_PATTERN), lambda w: w != F.lit(""))
 
 
+WORD_PATTERN = "[^ \\t\\n\\r\\f]+"
+
+
 def word_count(text) -> Column:
     """Default token counter for length filters: number of whitespace words."""
-    return F.size(words(text))
+    return F.regexp_count(_col(text), F.lit(WORD_PATTERN))
 
 
 def shuffle_words(text, seed, salt: str, key) -> Column:
@@ -98,6 +102,52 @@ def token_count(c) -> Column:
     return word_count(c)
 
 
+SPACES = (" ", "\t", "\n", "\r", "\f")
+
+
+def _piece(text: str) -> tuple[int, bool, bool, bool]:
+    """(words, begins with a word, ends with a word, empty) of a constant text."""
+    edge = lambda c: c != "" and c not in SPACES
+    return len(re.findall("[^ \t\n\r\f]+", text)), edge(text[:1]), edge(text[-1:]), text == ""
+
+
+def _slot_piece(c: Column, shuffled: bool) -> tuple[Column, Column, Column, Column]:
+    """The same of a column; a shuffled text has its words, one space apart."""
+    n = word_count(c)
+    if shuffled:
+        return n, n > 0, n > 0, n == 0
+    edge = lambda at: (F.length(c) > 0) & ~F.substring(c, at, 1).isin(*SPACES)
+    return n, edge(1), edge(-1), F.length(c) == 0
+
+
+def filled_word_count(template: str, values, shuffled: bool = False) -> Column:
+    """Words of ``fill_template(template, values)``, without filling it in.
+
+    The words of the template's pieces and of the values add up, less one for every place where two words touch.
+    ``values`` are constants (str) or columns, which ``shuffled`` says will be shuffled by words first.  Not right for
+    values that hold a placeholder themselves (``holds_placeholder``).
+    """
+    one = re.compile(r"\$\{(\d+)\}")
+    parts, at = [], 0
+    for m in one.finditer(template):
+        if int(m.group(1)) <= len(values):
+            v = values[int(m.group(1)) - 1]
+            parts += [_piece(template[at : m.start()]), _piece(v) if isinstance(v, str) else _slot_piece(v, shuffled)]
+            at = m.end()
+    parts.append(_piece(template[at:]))
+    total, ends = F.lit(0), F.lit(False)
+    for n, first, last, empty in parts:
+        n, first, last, empty = (x if isinstance(x, Column) else F.lit(x) for x in (n, first, last, empty))
+        total = total + n - F.when(ends & first, 1).otherwise(0)
+        ends = F.when(empty, ends).otherwise(last)
+    return total
+
+
+def holds_placeholder(columns) -> Column:
+    """Whether any of the columns holds the beginning of a placeholder, which a later step of filling in would take."""
+    return reduce(lambda a, b: a | b, [F.contains(_col(c), F.lit("${")) for c in columns])
+
+
 SLOT_RE = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 
 

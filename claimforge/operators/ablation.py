@@ -1,8 +1,9 @@
 """Ablation sweeps as data jobs.
 
-A sweep is a small *plan* table (one row per variant) broadcast against the
-statement table; every variant's corpus is then one stratified selection
-partitioned by (variant, task).  Nothing loops on the driver per variant.
+A sweep is a small *plan* table (one row per variant) broadcast against the keys of
+all statements; every variant's corpus is then one stratified selection partitioned
+by (variant, task).  Nothing loops on the driver per variant, and texts come last
+(``sweep_statements``).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimforge.functions.draws import hash_key, py_hash_key
-from claimforge.operators.corpus import KEYS, RECIPES, TASKS, build_statements, with_digest
+from claimforge.operators.corpus import KEYS, RECIPES, TASKS, chosen_statements
 from claimforge.operators.sampling import largest_remainder_quotas, take_first
 from claimforge.operators.templates import TRAIN_TEMPLATES
 
@@ -122,19 +123,17 @@ def ppc_sweep(statements: DataFrame, ppcs, spc: int, seed, key_cols=("sample_idx
     return take_first(x, order, ["task"] + key_cols, quotas, ["ppc", "task", "is_true"])
 
 
-def all_statements(views, n, ppc, seed, tasks=TASKS, materialize=True, shape=with_digest) -> DataFrame:
-    """The statements that a sweep selects from, by default by digest: texts come last."""
-    return build_statements(views, tasks, n, ppc, seed, materialize, shape)
+def sweep_statements(sample: dict[str, DataFrame], selected: DataFrame, setting: str, name: str, n, ppc, seed) -> DataFrame:
+    """The corpora of a sweep with whole statements: each statement once, and in ``name`` the sorted settings
+    whose corpora hold it.
 
+    ``selected`` has a row per setting and key.  Corpora of a sweep share most statements, so a text is filled
+    in once, from the sampled rows, and never moved; ``corpus_of`` gives one corpus.
+    """
+    chosen = selected.groupBy(*KEYS).agg(F.sort_array(F.collect_list(setting)).alias(name))  # settings of a plan
+    return chosen_statements(sample, chosen, n, ppc, seed, name)
 
-def with_statements(selected: DataFrame, views, n, ppc, seed, tasks=TASKS) -> DataFrame:
-    """The rows that a sweep selected by digest, with their whole statements in place of the digests.
 
-    ``views, n, ppc, seed, tasks`` are those of ``all_statements``.  Statements are built again (draws are
-    seeded) and met by key and digest; a text that several corpora hold is moved once, before the join.
-    """
-    by = [*KEYS, "statement_md5"]
-    texts = build_statements(views, tasks, n, ppc, seed, False, lambda st: st.withColumn("statement_md5", F.md5("statement")))
-    wanted = selected.select(*by).distinct()
-    texts = texts.select(*by, "statement").join(wanted, by, "left_semi").dropDuplicates(by)
-    return selected.join(texts, by).drop("statement_md5")
+def corpus_of(sweep: DataFrame, name: str, setting) -> DataFrame:
+    """The corpus of one setting of a sweep."""
+    return sweep.filter(F.array_contains(name, F.lit(setting))).drop(name)

@@ -8,6 +8,9 @@ draw) and ``source_id``.  Output columns (all builders)::
 Shape of every builder: per-row draws as columns -> one array of
 ``struct(template_id, statement)`` per row -> ``inline``.  Everything stays in
 whole-stage-codegen expressions; there is no Python in the path.
+
+A frame with a column ``WANTED`` (map of template id to any value) asks for some statements
+only: other templates are not filled, and the value comes out as column ``VALUE``.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from claimforge.functions.text import fill_template, replace_word
 
 OUT_COLS = ["task", "source_id", "sample_idx", "template_id", "polarity", "statement", "is_true"]
 BLANK_ID = -1  # template id of rows built without a template (blank fill, pronoun substitution)
+WANTED, VALUE = "_wanted", "_value"
 
 
 def _c(x) -> Column:
@@ -31,12 +35,24 @@ def is_positive(seed, task: str) -> Column:
     return draw_mod(seed, f"pol:{task}", 2, "sample_idx") == 0
 
 
+def _items(df: DataFrame, items: list[tuple]) -> Column:
+    """Array of ``struct(template_id, statement, ...)``; null in place of those that are not wanted."""
+    structs = []
+    for tid, statement, *more in items:
+        one = F.struct(F.lit(tid).alias("template_id"), statement.alias("statement"), *more)
+        structs.append(F.when(F.map_contains_key(WANTED, F.lit(tid)), one) if WANTED in df.columns else one)
+    return F.array(*structs)
+
+
 def _explode(df: DataFrame, items: list[tuple[int, Column]]) -> DataFrame:
-    arr = F.array(*[F.struct(F.lit(tid).alias("template_id"), s.alias("statement")) for tid, s in items])
-    return df.select("*", F.inline(arr))
+    return df.select("*", F.inline(_items(df, items)))
 
 
-def _finish(df: DataFrame, task: str, positive: Column, is_true: Column) -> DataFrame:
+def _finish(df: DataFrame, task: str, positive: Column, is_true: Column, more=()) -> DataFrame:
+    more = list(more)
+    if WANTED in df.columns:
+        df = df.filter(F.col("template_id").isNotNull())
+        more += [F.element_at(F.col(WANTED), F.col("template_id")).alias(VALUE)]
     return df.select(
         F.lit(task).alias("task"),
         F.col("source_id").cast("bigint").alias("source_id"),
@@ -45,6 +61,7 @@ def _finish(df: DataFrame, task: str, positive: Column, is_true: Column) -> Data
         F.when(positive, F.lit("positive")).otherwise(F.lit("negative")).alias("polarity"),
         "statement",
         is_true.cast("int").alias("is_true"),
+        *more,
     )
 
 
@@ -60,17 +77,9 @@ def pick_wrong(seed, salt: str, n_options, truth: Column) -> Column:
 def build_pair_compare(df, task, pos_templates, neg_templates, columns, label="label", seed=42):
     """Every row with every positive template (label kept) and negative template (1 - label)."""
     vals = [_c(c) for c in columns]
-    arr = F.array(
-        *[
-            F.struct(F.lit(i).alias("template_id"), fill_template(t, vals).alias("statement"), F.lit(True).alias("pos"))
-            for i, t in pos_templates
-        ],
-        *[
-            F.struct(F.lit(100 + i).alias("template_id"), fill_template(t, vals).alias("statement"), F.lit(False).alias("pos"))
-            for i, t in neg_templates
-        ],
-    )
-    x = df.select("*", F.inline(arr))
+    items = [(i, fill_template(t, vals), F.lit(True).alias("pos")) for i, t in pos_templates]
+    items += [(100 + i, fill_template(t, vals), F.lit(False).alias("pos")) for i, t in neg_templates]
+    x = df.select("*", F.inline(_items(df, items)))
     lab = _c(label).cast("int")
     return _finish(x, task, F.col("pos"), F.when(F.col("pos"), lab).otherwise(1 - lab))
 
@@ -104,12 +113,7 @@ def build_class_template(df, task, templates_by_class, text_columns, label="labe
     vals = [_c(c) for c in text_columns]
     choice = None
     for c in range(k):
-        arr = F.array(
-            *[
-                F.struct(F.lit(c * 100 + i).alias("template_id"), fill_template(t, vals).alias("statement"))
-                for i, t in templates_by_class[c]
-            ]
-        )
+        arr = _items(df, [(c * 100 + i, fill_template(t, vals)) for i, t in templates_by_class[c]])
         choice = F.when(cls == c, arr) if choice is None else choice.when(cls == c, arr)
     x = df.withColumn("_pos", pos).select("*", F.inline(choice))
     return _finish(x, task, F.col("_pos"), F.col("_pos"))
@@ -146,17 +150,31 @@ def build_shifted_answer(df, task, templates, question, answer, n_sample, seed=4
     return _finish(x, task, F.col("_pos"), F.col("_pos"))
 
 
-def build_span(df, task, templates, context, question, answers="answers", seed=42):
-    """negative = random character span of the context (length in [0, len/4])."""
+def build_span(df, task, templates, context, question, answers="answers", seed=42, flag=False):
+    """negative = random character span of the context (length in [0, len/4]).
+
+    The drawn span may hold the truth.  ``flag`` adds ``is_suspect_negative``: the span of a negative row shares a
+    character with an occurrence of an answer text.  That is so if the text is found in the span lengthened by one
+    character less than the text at both ends.
+    """
     pos = is_positive(seed, task)
     ln = F.length(_c(context))
     span = draw_mod(seed, f"spanlen:{task}", F.floor(ln / 4).cast("bigint") + 1, "sample_idx")
     start = F.pmod(draw(seed, f"spanstart:{task}", "sample_idx"), F.greatest(ln - span, F.lit(1)))
     wrong = F.substring(_c(context), (start + 1).cast("int"), span.cast("int"))
     truth = F.get(F.col(answers)["text"], 0)
+
+    def met(a):
+        first = F.greatest(start - F.length(a) + 1, F.lit(0))
+        near = F.substring(_c(context), (first + 1).cast("int"), (start + span + F.length(a) - 1 - first).cast("int"))
+        return (F.length(a) > 0) & F.contains(near, a)
+
     x = df.withColumn("_pos", pos).withColumn("_ans", F.when(pos, truth).otherwise(wrong))
+    if flag:
+        suspect = ~F.col("_pos") & (span > 0) & F.exists(F.col(answers)["text"], met)
+        x = x.withColumn("is_suspect_negative", F.coalesce(suspect, F.lit(False)))
     x = _explode(x, [(i, fill_template(t, [_c(context), _c(question), F.col("_ans")])) for i, t in templates])
-    return _finish(x, task, F.col("_pos"), F.col("_pos"))
+    return _finish(x, task, F.col("_pos"), F.col("_pos"), ["is_suspect_negative"] * flag)
 
 
 def build_binary_class(df, task, templates, text, class_names, label="label", seed=42):

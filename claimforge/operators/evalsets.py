@@ -12,11 +12,13 @@ word shuffle (D8) to every slot value.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.functions.draws import py_draw
-from claimforge.functions.text import fill_template, shuffle_words, token_count
+from claimforge.functions.text import fill_template, filled_word_count, holds_placeholder, shuffle_words, token_count
 from claimforge.operators.templates import CLASS_NAMES, EVAL_TEMPLATES
 from claimforge.sources.standins import after_first_sentence, first_sentence
 
@@ -101,9 +103,11 @@ def eval_story_ending(df, seed=42, run=0, shuffle=False, dataset="storycloze"):
     return _long(x, dataset, cands, F.col("answer_right_ending") - 1)
 
 
-def eval_class_candidates(df, text_cols, class_names, seed=42, run=0, shuffle=False, dataset="yahoo"):
-    """One statement per class name; label = gold class index."""
+def eval_class_candidates(df, text_cols, class_names, seed=42, run=0, shuffle=False, dataset="yahoo", limit=None):
+    """One statement per class name; label = gold class index.  With ``limit``, of ``short_examples``."""
     _, t = pick_eval_template(seed, dataset, "all", run)
+    if limit is not None:
+        df = short_examples(df, text_cols, class_names, seed, run, shuffle, dataset, limit)
     x = df.withColumnRenamed("id", "example_id")
     cands = []
     for k, name in enumerate(class_names):
@@ -112,27 +116,42 @@ def eval_class_candidates(df, text_cols, class_names, seed=42, run=0, shuffle=Fa
     return _long(x, dataset, cands, F.col("label"))
 
 
-def short_examples(long: DataFrame, candidates: int, limit: int = MAX_EVAL_TOKENS, count=token_count) -> DataFrame:
+def short_examples(df, text_cols, class_names, seed=42, run=0, shuffle=False, dataset="yahoo", limit: int = MAX_EVAL_TOKENS):
     """Examples all of whose candidate statements have fewer than ``limit`` tokens.
 
-    The longest candidate decides; candidates of an example differ by one short slot, so the test
-    runs per statement and an example stays if all of its ``candidates`` do.
+    A predicate on the input row: no statement is made.  Candidates differ by the class name alone, so of names
+    that begin and end with a word the longest decides.
     """
-    ok = long.filter(count(F.col("statement")) < limit)
-    whole = ok.groupBy("dataset", "example_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == candidates)
-    return ok.join(whole.drop("_n"), ["dataset", "example_id"], "left_semi").select(*OUT_COLS)
+    _, t = pick_eval_template(seed, dataset, "all", run)
+    plain = [name for name in class_names if name.strip() == name != ""]
+    tested = [name for name in class_names if name not in plain] + sorted(plain, key=lambda name: len(name.split()))[-1:]
+    short = [filled_word_count(t, [*(F.col(c) for c in text_cols), name], shuffle) < limit for name in tested]
+
+    def built(k: int, name: str) -> Column:  # for the rare texts with a placeholder in them
+        return fill_template(t, [*(_slot(c, shuffle, seed, dataset, i + 1, k) for i, c in enumerate(text_cols)), F.lit(name)])
+
+    each = [token_count(built(k, name)) < limit for k, name in enumerate(class_names)]
+    every = lambda tests: reduce(lambda a, b: a & b, tests)
+    if shuffle:
+        df = df.withColumn("example_id", F.col("id"))  # keys the shuffle
+    out = df.filter(F.when(holds_placeholder(text_cols), every(each)).otherwise(every(short)))
+    return out.drop("example_id") if shuffle else out
+
+
+#: Text columns and class names of the sets with a length limit.
+LIMITED = {"yahoo": (["title", "content"], "topic"), "emotion": (["text"], "emotion")}
 
 
 def eval_topic_candidates(df, seed=42, run=0, shuffle=False):
     """Ten topics; over-long examples are left out."""
-    names = CLASS_NAMES["topic"]
-    return short_examples(eval_class_candidates(df, ["title", "content"], names, seed, run, shuffle, "yahoo"), len(names))
+    columns, names = LIMITED["yahoo"]
+    return eval_class_candidates(df, columns, CLASS_NAMES[names], seed, run, shuffle, "yahoo", MAX_EVAL_TOKENS)
 
 
 def eval_emotion_candidates(df, seed=42, run=0, shuffle=False):
     """Six emotions; over-long examples are left out."""
-    names = CLASS_NAMES["emotion"]
-    return short_examples(eval_class_candidates(df, ["text"], names, seed, run, shuffle, "emotion"), len(names))
+    columns, names = LIMITED["emotion"]
+    return eval_class_candidates(df, columns, CLASS_NAMES[names], seed, run, shuffle, "emotion", MAX_EVAL_TOKENS)
 
 
 def wide_candidates(long: DataFrame, n_cands: int) -> DataFrame:
@@ -175,3 +194,16 @@ def build_eval_sets(views, seed=42, run=0, shuffle=False, datasets=None) -> dict
         "emotion": lambda d: eval_emotion_candidates(d, seed, run, shuffle),
     }
     return {k: fns[k](inp[k]) for k in (datasets or fns)}
+
+
+def example_counts(views, seed=42, run=0, datasets=None) -> DataFrame:
+    """``dataset, n_examples``: how many examples each set has; no statement is made."""
+    parts = []
+    for name, rows in eval_inputs(views).items():
+        if datasets is not None and name not in datasets:
+            continue
+        if name in LIMITED:
+            columns, names = LIMITED[name]
+            rows = short_examples(rows, columns, CLASS_NAMES[names], seed, run, False, name)
+        parts.append(rows.agg(F.count(F.lit(1)).alias("n_examples")).select(F.lit(name).alias("dataset"), "n_examples"))
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -7,9 +7,10 @@ collected except the final formatted rows of a report.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import math
+from fractions import Fraction
+from functools import lru_cache, reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,39 +82,61 @@ def baseline_delta(results: DataFrame, baseline: DataFrame, on=("shot", "dataset
 
 
 @lru_cache(maxsize=None)
-def hat_matrix(window: int, order: int) -> tuple[tuple[float, ...], ...]:
-    """Least-squares polynomial fit evaluated at the window positions (rows: output position)."""
-    x = np.arange(window, dtype=float)
-    X = np.vander(x, order + 1, increasing=True)
-    H = X @ np.linalg.pinv(X)
-    return tuple(tuple(float(v) for v in row) for row in H)
-
-
-def savgol(df: DataFrame, keys, order_col: str, value: str, window: int = 7, polyorder: int = 5, out: str | None = None) -> DataFrame:
+def hat_matrix(window: int, order: int) -> tuple[int, tuple[tuple[int, ...], ...]]:
+    """Least-squares polynomial fit evaluated at the window positions (rows: output position), exactly: one
+    denominator and integer numerators."""
+    x = [[Fraction(k) ** p for p in range(order + 1)] for k in range(window)]
+    size = order + 1
+    # X (X'X)^-1 X': the columns of (X'X)^-1 X' by elimination
+    rows = [[sum(r[a] * r[b] for r in x) for b in range(size)] + [x[k][a] for k in range(window)] for a in range(size)]
+    for a in range(size):
+        at = next(b for b in range(a, size) if rows[b][a])
+        rows[a], rows[at] = rows[at], rows[a]
+        rows[a] = [v / rows[a][a] for v in rows[a]]
+        for b in range(size):
+            if b != a and rows[b][a]:
+                rows[b] = [v - rows[b][a] * w for v, w in zip(rows[b], rows[a])]
+    fit = [[sum(x[i][a] * rows[a][size + k] for a in range(size)) for k in range(window)] for i in range(window)]
+    below = math.lcm(*(v.denominator for row in fit for v in row))
+    return below, tuple(tuple(int(v * below) for v in row) for row in fit)
+
+
+#: Values enter the smoothing as whole numbers of 10**-SCALE.
+SCALE = 9
+
+
+def savgol(df: DataFrame, keys, order_col: str, value: str, window: int = 7, polyorder: int = 5, out: str | None = None, places: int | None = None) -> DataFrame:
     """H8: smoothing along ``order_col`` per ``keys``; edges from the polynomial fit of the
     first / last window (interp mode).  Series shorter than the window give NULL.
+
+    Sums are of whole numbers (the value at 9 places times integer weights), so the result does not depend on
+    the order of terms.  With ``places`` it is rounded there, halves away from zero; else divided as a double.
     """
     out = out or f"{value}_smoothed"
     keys = list(keys)
     half = window // 2
-    H = hat_matrix(window, polyorder)
+    below, weights = hat_matrix(window, polyorder)
     w = Window.partitionBy(*keys).orderBy(order_col)
     x = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     frame = w.rowsBetween(-(window - 1), window - 1)
-    x = x.withColumn("_ys", F.collect_list(F.col(value).cast("double")).over(frame))
+    whole = F.round(F.col(value).cast("double") * F.lit(float(10**SCALE))).cast("decimal(20,0)")
+    x = x.withColumn("_ys", F.collect_list(whole).over(frame))
     start = F.greatest(F.col("_i") - (window - 1), F.lit(0))
     base = F.least(F.greatest(F.col("_i") - half, F.lit(0)), F.col("_n") - window)
-    flat = F.array(*[F.lit(v) for row in H for v in row])
+    flat = F.array(*[F.lit(v).cast("decimal(18,0)") for row in weights for v in row])
     r = F.col("_i") - base
     terms = [
         F.try_element_at(flat, (r * window + k + 1).cast("int")) * F.try_element_at(F.col("_ys"), (base + k - start + 1).cast("int"))
         for k in range(window)
     ]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    res = F.when(F.col("_n") >= window, total)
-    return x.withColumn(out, res).drop("_i", "_n", "_ys")
+    x = x.withColumn("_sum", F.when(F.col("_n") >= window, reduce(lambda a, b: a + b, terms)).cast("decimal(38,0)"))
+    if places is None:
+        res = F.col("_sum").cast("double") / F.lit(float(below)) / F.lit(float(10**SCALE))
+    else:
+        unit = below * 10 ** (SCALE - places)
+        size = F.expr(f"cast((2 * abs(_sum) + {unit}BD) div {2 * unit}BD as double)")
+        res = F.when(F.col("_sum") < 0, -size).otherwise(size) / F.lit(float(10**places))
+    return x.withColumn(out, res).drop("_i", "_n", "_ys", "_sum")
 
 
 def confidence_band(df: DataFrame, center: str, spread: str = "std") -> DataFrame:

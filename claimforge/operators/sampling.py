@@ -22,6 +22,7 @@ is built the same way (running count before the bucket + rank inside it).
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -226,6 +227,25 @@ def stratified_exact(
     )
 
 
+def few_shot_sets(df: DataFrame, shots, seed, salt: str, id_col: str = "id", label: str = "label", keep_back: int = 2) -> DataFrame:
+    """B11 for several sizes at once: per ``shot`` a stratified draw of ``min(shot, n - keep_back)`` rows.
+
+    All sizes use one order, ranked once on the candidates of the largest size (``shots`` bounds them), so the sets of
+    a label nest as far as its quotas grow.
+    """
+    spark = df.sparkSession
+    counts = materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), "label-counts")  # one row per label
+    total = F.greatest(F.sum("n").over(Window.partitionBy(F.lit(0))) - keep_back, F.lit(0))  # over the labels
+    sizes = spark.createDataFrame([(int(s),) for s in shots], "shot int")
+    asked = counts.withColumn("_left", total).crossJoin(F.broadcast(sizes)).withColumn("_want", F.least("_left", "shot"))
+    quotas = largest_remainder_quotas(asked, "_want", ["shot"], label)
+    order = hash_key(seed, salt, id_col)
+    top = quotas.groupBy(label).agg(F.max("quota").alias("quota"))
+    cand = take_first(df, order, [id_col], top, [label])
+    ranked = cand.withColumn("_rk", F.row_number().over(Window.partitionBy(label).orderBy(order, id_col)))
+    return ranked.join(F.broadcast(quotas), label).filter(F.col("_rk") <= F.col("quota")).drop("_rk", "quota").select("shot", *df.columns)
+
+
 def stratified_split(df: DataFrame, n_first: int, seed, salt: str, key_cols, stratum_col: str = "label") -> DataFrame:
     """Flag ``is_train`` on a stratified ``n_first``-row part; both sides are kept."""
     picked = stratified_exact(df, n_first, seed, salt, key_cols, stratum_col).select(
@@ -234,27 +254,74 @@ def stratified_split(df: DataFrame, n_first: int, seed, salt: str, key_cols, str
     return df.join(picked, key_cols, "left").withColumn("is_train", F.coalesce("is_train", F.lit(False)))
 
 
+def thresholds(df: DataFrame, order_hex: Column, key_cols, ranks: list[int]) -> list[tuple | None]:
+    """The ``(hash, key)`` of the rows with the given ranks (from 1) in ``(order_hex, key_cols)`` order.
+
+    One histogram of hash prefixes names the bucket of each rank; only those buckets' rows, keys and hash alone, are
+    ordered.  None for rank 0; a rank beyond the table gives its last row.
+    """
+    key_cols = list(key_cols)
+    d = df.select(order_hex.alias("_h"), bucket_of(order_hex).alias("_b"), *key_cols)
+    per_bucket = d.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).orderBy("_b").collect()  # at most 65,536 rows
+    found, need = [], {}
+    for rank in ranks:
+        before, hit = 0, None
+        for b, n in per_bucket:
+            if rank <= before + n or b == per_bucket[-1][0]:
+                hit = (b, min(rank - before, n))
+                break
+            before += n
+        found.append(hit if rank > 0 else None)
+        if found[-1]:
+            need.setdefault(hit[0], set()).add(hit[1])
+    if not need:
+        return [None] * len(ranks)
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *key_cols))
+    wanted = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(k).alias("k")) for b, ks in need.items() for k in ks])
+    rows = d.filter(F.col("_b").isin(list(need))).withColumn("_k", inside)
+    rows = rows.filter(F.array_contains(wanted, F.struct(F.col("_b").alias("b"), F.col("_k").alias("k"))))
+    at = {(r["_b"], r["_k"]): (r["_h"], *(r[c] for c in key_cols)) for r in rows.collect()}  # one row a rank
+    return [at[hit] if hit else None for hit in found]
+
+
+def _up_to(order_hex: Column, key_cols, limit: tuple | None, kinds) -> Column:
+    """Whether a row is not after ``limit`` in the order."""
+    if limit is None:
+        return F.lit(False)
+    names = ["h", *key_cols]
+    own = F.struct(order_hex.alias("h"), *(F.col(c).alias(c) for c in key_cols))
+    return own <= F.struct(*(F.lit(v).cast(k).alias(c) for c, v, k in zip(names, limit, ["string", *kinds])))
+
+
+def fold_of(df: DataFrame, shares: list[float], seed, salt: str, key_cols, group: str | None = None, name: str = "fold") -> DataFrame:
+    """Folds of exact sizes: fold ``i`` ends at row ``ceil(n (shares[0] + ... + shares[i]))`` of a seeded order, the rest is
+    the last fold.  With ``group`` whole groups are dealt, and ``n`` counts them.  A flag by comparison: no join."""
+    key_cols = [group] if group else list(key_cols)
+    units = df.select(group).distinct() if group else df
+    order = hash_key(seed, salt, *key_cols)
+    n = units.count()
+    ranks = [math.ceil(round(sum(shares[: i + 1]) * n, 9)) for i in range(len(shares))]
+    limits = thresholds(units, order, key_cols, ranks)
+    kinds = [df.schema[c].dataType.simpleString() for c in key_cols]
+    fold = F.lit(len(shares))
+    for i in range(len(shares) - 1, -1, -1):
+        fold = F.when(_up_to(order, key_cols, limits[i], kinds), i).otherwise(fold)
+    return df.withColumn(name, fold)
+
+
+def split_flag(df: DataFrame, test_fraction: float, seed, salt: str, key_cols, group: str | None = None, name: str = "is_test") -> DataFrame:
+    """The rows with a flag for the test side, which holds ``ceil(f * n)`` rows (or groups)."""
+    return fold_of(df, [test_fraction], seed, salt, key_cols, group, name).withColumn(name, F.col(name) == 0)
+
+
 def train_val_split(df: DataFrame, test_fraction: float, seed, salt: str, key_cols, group: str | None = None):
     """Unstratified split; returns (train, test).  ``test`` holds ``ceil(f * n)`` rows.
 
     With ``group`` the split is made on whole groups (e.g. ``source_id``), so bootstrap
     duplicates cannot leak from train into test.
     """
-    import math
-
-    key_cols = list(key_cols)
-    if group is None:
-        n = df.count()
-        k = int(math.ceil(round(test_fraction * n, 9)))
-        test = take_first(df, hash_key(seed, salt, *key_cols), key_cols, k)
-        train = df.join(test.select(*key_cols), key_cols, "left_anti")
-        return train, test
-    groups = df.select(group).distinct()
-    k = int(math.ceil(round(test_fraction * groups.count(), 9)))
-    test_groups = take_first(groups, hash_key(seed, salt, group), [group], k)
-    test = df.join(test_groups, group, "left_semi")
-    train = df.join(test_groups, group, "left_anti")
-    return train, test
+    flagged = split_flag(df, test_fraction, seed, salt, key_cols, group, "_is_test")
+    return flagged.filter("NOT _is_test").drop("_is_test"), flagged.filter("_is_test").drop("_is_test")
 
 
 def union_all(frames) -> DataFrame:

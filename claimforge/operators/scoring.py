@@ -14,6 +14,9 @@ Scorers add a ``p_true`` column to a statement table.  Two are provided:
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -182,3 +185,48 @@ def load_scorer(path: str):
     from pyspark.ml import PipelineModel
 
     return PipelineModel.load(path)
+
+
+class ScorerStore:
+    """Fitted scorers below a folder, by run number.
+
+    Every save writes a new version and then its manifest, one small file that names it; a version without manifest
+    (a save that was cut off) is never read.  The folder may be in any store that Spark writes to.
+    """
+
+    def __init__(self, spark, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _files(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def save(self, model, run: int) -> str:
+        """Store a scorer as the newest of its run; returns its folder."""
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        model.write().save(f"{self.root}/run={int(run)}/{version}/model")
+        note = [(int(run), version, type(model).__name__)]
+        manifest = f"{self.root}/run={int(run)}/{version}/manifest"
+        self.spark.createDataFrame(note, "run int, version string, kind string").coalesce(1).write.json(manifest)
+        return f"{self.root}/run={int(run)}/{version}"
+
+    def versions(self, run: int) -> list[str]:
+        """Complete versions of a run, oldest first."""
+        folder, fs = self._files(f"run={int(run)}")
+        if not fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return sorted(n for n in names if fs.exists(self._files(f"run={int(run)}", n, "manifest", "_SUCCESS")[0]))
+
+    def runs(self) -> list[int]:
+        folder, fs = self._files()
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        runs = sorted(int(n.removeprefix("run=")) for n in names if n.startswith("run="))
+        return [r for r in runs if self.versions(r)]
+
+    def load(self, run: int, version: str | None = None):
+        """The newest complete scorer of a run, or a version of it."""
+        found = self.versions(run)
+        if not found or version not in (None, *found):
+            raise FileNotFoundError(f"no complete scorer of run {run} below {self.root}")
+        return load_scorer(f"{self.root}/run={int(run)}/{version or found[-1]}/model")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from claimforge.operators import ablation as AB
 from claimforge.operators import scoring as SCR
-from claimforge.operators.corpus import RECIPES, TASKS, build_corpus, corpus_profile, keys_only
+from claimforge.operators.corpus import RECIPES, TASKS, corpus_keys, corpus_profile, run_corpora, sample_tasks, statement_keys
 from claimforge.plans import sql_corpus as SC
 from claimforge.plans.base import N, PPC, SEED, SPC, V, register
 from claimforge.plans.q_eval import ARGMAX_SQL, K_WAY, TWO_WAY, _eval_long, eval_ctes, p_sql
@@ -47,7 +47,7 @@ def _stm_ctes(ppc=PPC):
     ctes = []
     for t in TASKS:
         ctes += SC.sql_task_statements(t, N, ppc, SEED)
-    ctes.append(("stm", " union all ".join(f"select * exclude (statement), md5(statement) as statement_md5 from t_{t}_st" for t in TASKS)))
+    ctes.append(("stm", " union all ".join(f"select * from t_{t}_st" for t in TASKS)))
     return ctes
 
 
@@ -55,7 +55,7 @@ VIEWS = SC.views_for(TASKS)
 
 
 def _profile(s, r):
-    return corpus_profile(build_corpus(V(s, r), None, N, PPC, SPC, SEED, shape=keys_only))
+    return corpus_profile(corpus_keys(V(s, r), None, N, PPC, SPC, SEED))
 
 
 # ---- I1 / I2 ------------------------------------------------------------------------------------
@@ -116,18 +116,25 @@ register("constant_budget", _i2_sql())(_i2)
 # ---- I3 / I4 / I5 -------------------------------------------------------------------------------
 
 
-def _statements(s, r, ppc=PPC):
-    return AB.all_statements(V(s, r), N, ppc, SEED)
+def _sweep(s, r, select, setting, name, ppc=PPC):
+    """The corpora that ``select`` picks from the keys of all statements."""
+    sample = sample_tasks(V(s, r), TASKS, N, SEED)
+    return AB.sweep_statements(sample, select(statement_keys(sample, N, ppc, SEED)), setting, name, N, ppc, SEED)
 
 
 def _i3(s, r):
     plan = AB.constant_budget(AB.ablation_plan(s), len(TASKS))
-    return AB.ablation_corpora(_statements(s, r), plan, SEED)
+    return _sweep(s, r, lambda keys: AB.ablation_corpora(keys, plan, SEED), "variant", "variants")
 
 
 ORDER_SQL = sql_hash(SEED, "strat", "task", "sample_idx", "template_id")
 
 
+def _whole(setting: str, name: str, picked: str) -> list[tuple[str, str]]:
+    """Statements with the sorted settings of the keys in ``picked``."""
+    return [("sel", f"select task, sample_idx, template_id, list_sort(list({setting})) as {name} from ({picked}) group by task, sample_idx, template_id")]
+
+
 def _quota_ctes(p: str, cnt: str, parent: list[str]) -> list[tuple[str, str]]:
     """Largest-remainder quotas from a CTE with ``parent + [is_true, n, req]``."""
     part = "partition by " + ", ".join(parent)
@@ -147,13 +154,14 @@ register(
         ("cnt0", "select task, is_true, count(*) as n from stm group by task, is_true"),
         ("cnt", "select p.variant, c.task, c.is_true, c.n, cast(p.spc as bigint) as req from cnt0 c cross join plan p where not list_contains(p.excluded_list, c.task)"),
     ] + _quota_ctes("ab", "cnt", ["variant", "task"]) + [
-        ("rk", f"select *, row_number() over (partition by task, is_true order by {ORDER_SQL}, task, sample_idx, template_id) as rn_ from stm"),
-    ], "select rk.* exclude (rn_), q.variant from rk join ab_quota q using (task, is_true) where rn_ <= q.quota"),
+        ("rk", f"select task, is_true, sample_idx, template_id, row_number() over (partition by task, is_true order by {ORDER_SQL}, task, sample_idx, template_id) as rn_ from stm"),
+    ] + _whole("variant", "variants", "select rk.*, q.variant from rk join ab_quota q using (task, is_true) where rn_ <= q.quota"),
+        "select stm.*, sel.variants from stm join sel using (task, sample_idx, template_id)"),
 )(_i3)
 
 
 def _i4(s, r):
-    return AB.spc_sweep(_statements(s, r), SPC_SIZES, SEED)
+    return _sweep(s, r, lambda keys: AB.spc_sweep(keys, SPC_SIZES, SEED), "spc", "spcs")
 
 
 register(
@@ -163,13 +171,14 @@ register(
         ("cnt0", "select task, is_true, count(*) as n from stm group by task, is_true"),
         ("cnt", "select cast(sz.spc as bigint) as spc, c.task, c.is_true, c.n, sz.spc as req from cnt0 c cross join sz"),
     ] + _quota_ctes("sw", "cnt", ["spc", "task"]) + [
-        ("rk", f"select *, row_number() over (partition by task, is_true order by {ORDER_SQL}, task, sample_idx, template_id) as rn_ from stm"),
-    ], "select rk.* exclude (rn_), q.spc from rk join sw_quota q using (task, is_true) where rn_ <= q.quota"),
+        ("rk", f"select task, is_true, sample_idx, template_id, row_number() over (partition by task, is_true order by {ORDER_SQL}, task, sample_idx, template_id) as rn_ from stm"),
+    ] + _whole("spc", "spcs", "select rk.*, q.spc from rk join sw_quota q using (task, is_true) where rn_ <= q.quota"),
+        "select stm.*, sel.spcs from stm join sel using (task, sample_idx, template_id)"),
 )(_i4)
 
 
 def _i5(s, r):
-    return AB.ppc_sweep(_statements(s, r, max(PPC_VALUES)), PPC_VALUES, PPC_SWEEP_SPC, SEED)
+    return _sweep(s, r, lambda keys: AB.ppc_sweep(keys, PPC_VALUES, PPC_SWEEP_SPC, SEED), "ppc", "ppcs", max(PPC_VALUES))
 
 
 def _ranks_sql():
@@ -193,11 +202,12 @@ register(
     with_ctes(VIEWS, _stm_ctes(max(PPC_VALUES)) + [
         ("rk0", _ranks_sql()),
         ("pp", "select * from (values " + ", ".join(f"({p})" for p in PPC_VALUES) + ") t(ppc)"),
-        ("x", "select s.*, pp.ppc from stm s join rk0 using (task, template_id) cross join pp where rk0.tpl_rank <= pp.ppc"),
+        ("x", "select s.task, s.is_true, s.sample_idx, s.template_id, pp.ppc from stm s join rk0 using (task, template_id) cross join pp where rk0.tpl_rank <= pp.ppc"),
         ("cnt", f"select ppc, task, is_true, count(*) as n, {PPC_SWEEP_SPC} as req from x group by ppc, task, is_true"),
     ] + _quota_ctes("pc", "cnt", ["ppc", "task"]) + [
         ("rk", f"select *, row_number() over (partition by ppc, task, is_true order by {ORDER_SQL}, task, sample_idx, template_id) as rn_ from x"),
-    ], "select rk.* exclude (rn_) from rk join pc_quota q using (ppc, task, is_true) where rn_ <= q.quota"),
+    ] + _whole("ppc", "ppcs", "select rk.* from rk join pc_quota q using (ppc, task, is_true) where rn_ <= q.quota"),
+        "select stm.*, sel.ppcs from stm join sel using (task, sample_idx, template_id)"),
 )(_i5)
 
 # ---- I7: replicated evaluation runs ---------------------------------------------------------------
@@ -233,3 +243,39 @@ def _i7_sql():
 
 
 register("replicated_runs", _i7_sql())(_i7)
+
+# ---- I7: replicated corpora -------------------------------------------------------------------------
+
+RUN_TASKS = ["qqp", "mnli", "snli", "squad", "dpr", "sciq"]
+RUN_N, RUN_PPC, RUN_SPC = 2000, 2, 1000
+
+
+def _i7_corpora(s, r):
+    """Every run draws its own corpus: size, balance and how many of its statements no other run has."""
+    runs = run_corpora(V(s, r), [SEED + k for k in range(N_RUNS)], None, RUN_N, RUN_PPC, RUN_SPC, RUN_TASKS)
+    rows = reduce(lambda a, b: a.unionByName(b), [
+        whole().select(F.lit(seed - SEED).alias("run"), "task", "source_id", "template_id", "is_true", "statement") for seed, (_, whole) in runs.items()
+    ])
+    once = rows.groupBy("task", "statement").agg(F.count_distinct("run").alias("runs"), F.min("run").alias("run"))
+    own = once.filter("runs = 1").groupBy("run", "task").agg(F.count(F.lit(1)).alias("n_own"))
+    sizes = rows.groupBy("run", "task").agg(
+        F.count(F.lit(1)).alias("n_statements"), F.sum("is_true").cast("bigint").alias("n_true"), F.count_distinct("source_id").alias("n_sources")
+    )
+    return sizes.join(own, ["run", "task"], "left").fillna(0, ["n_own"])
+
+
+def _i7_corpora_sql():
+    ctes, parts = [], []
+    for k in range(N_RUNS):
+        for t in RUN_TASKS:
+            own = SC.sql_task_corpus(t, RUN_N, RUN_PPC, RUN_SPC, SEED + k)
+            ctes += [(name.replace("t_", f"r{k}_", 1), sql.replace(f"t_{t}_", f"r{k}_{t}_")) for name, sql in own]
+            parts.append(f"select {k} as run, task, source_id, template_id, is_true, statement from r{k}_{t}_corpus")
+    ctes.append(("rows_", " union all ".join(parts)))
+    ctes.append(("once", "select task, statement, min(run) as run from rows_ group by task, statement having count(distinct run) = 1"))
+    ctes.append(("own", "select run, task, count(*) as n_own from once group by run, task"))
+    ctes.append(("sizes", "select run, task, count(*) as n_statements, cast(sum(is_true) as bigint) as n_true, count(distinct source_id) as n_sources from rows_ group by run, task"))
+    return with_ctes(SC.views_for(RUN_TASKS), ctes, "select run, task, n_statements, n_true, n_sources, coalesce(n_own, 0) as n_own from sizes left join own using (run, task)")
+
+
+register("replicated_corpora", _i7_corpora_sql())(_i7_corpora)

@@ -8,7 +8,7 @@ from claimforge.functions.draws import draw_mod
 from claimforge.functions.text import fill_template
 from claimforge.operators import builders as B
 from claimforge.operators import sampling as S
-from claimforge.operators.corpus import build_corpus, corpus_profile, keys_only, task_corpus, task_statements
+from claimforge.operators.corpus import RECIPES, build_corpus, corpus_keys, corpus_profile, sample_tasks, task_corpus, task_statements, template_choice
 from claimforge.plans import sql_corpus as SC
 from claimforge.plans.base import N, PPC, SEED, SPC, V, register
 from claimforge.plans.sqlviews import sql_draw, sql_hash, with_ctes
@@ -39,6 +39,24 @@ def _task_statements_sql(task, n=N, ppc=PPC):
     return with_ctes(SC.views_for([task]), ctes, f"select * from t_{task}_st")
 
 
+def _span(spark, root):
+    """C8 with the flag of negatives that hold (part of) an answer."""
+    rows = sample_tasks(V(spark, root), ["squad"], N, SEED, write=False)["squad"]
+    return B.build_span(rows, "squad", template_choice(SEED, "squad", RECIPES["squad"].template_set, PPC)["all"], "context", "question", seed=SEED, flag=True)
+
+
+def _span_sql():
+    # characters from the span's first less one answer length to its last and one answer length more
+    near = "substring(context, greatest(st - length(a) + 1, 0) + 1, st + span + length(a) - 1 - greatest(st - length(a) + 1, 0))"
+    flag = f"not pos and span > 0 and len(list_filter(answers.text, lambda a: length(a) > 0 and instr({near}, a) > 0)) > 0"
+    ctes = SC.sql_task_statements("squad", N, PPC, SEED)
+    ctes.append(("flagged", f"select sample_idx, coalesce({flag}, false) as is_suspect_negative from t_squad_x4"))
+    return with_ctes(SC.views_for(["squad"]), ctes, "select s.*, f.is_suspect_negative from t_squad_st s join flagged f using (sample_idx)")
+
+
+register("build_span", _span_sql())(_span)
+del BUILDER_KEYS["build_span"]
+
 for _key, _task in BUILDER_KEYS.items():
     register(_key, _task_statements_sql(_task))(
         (lambda t: (lambda spark, root: task_statements(V(spark, root), t, N, PPC, SEED)))(_task)
@@ -102,7 +120,7 @@ register(
         "select task, count(*) as n_statements, cast(sum(is_true) as bigint) as n_true, round(avg(is_true), 6) as share_true "
         "from corpus group by task",
     ),
-)(lambda spark, root: corpus_profile(build_corpus(V(spark, root), None, N, PPC, SPC, SEED, shape=keys_only)))
+)(lambda spark, root: corpus_profile(corpus_keys(V(spark, root), None, N, PPC, SPC, SEED)))
 
 # =============================================================================================
 # B: sampling
@@ -219,8 +237,7 @@ register("head_n", with_ctes(["V_docs"], [], "select id, lang from V_docs order
 
 def _b10(spark, root):
     st = task_statements(V(spark, root), "qqp", N, PPC, SEED)
-    train, test = S.train_val_split(st, 0.1, SEED, "b10", ["sample_idx", "template_id"])
-    return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+    return S.split_flag(st, 0.1, SEED, "b10", ["sample_idx", "template_id"])
 
 
 def _b10_sql():
@@ -261,6 +278,33 @@ register(
               "select id, label from st_take"),
 )(_b11)
 
+SHOTS = [32, 200, 500, 1000]
+
+
+def _b11_sets(spark, root):
+    """The few-shot sets of all shot settings, of three evaluation sets."""
+    v = V(spark, root)
+    frames = {"copa": v.copa(), "mrpc": v.pairs(), "emotion": v.emotion()}
+    return S.union_all([
+        S.few_shot_sets(df.select("id", "label"), SHOTS, SEED, f"b11:{name}").withColumn("dataset", F.lit(name)) for name, df in frames.items()
+    ])
+
+
+def _b11_sets_sql():
+    views, ctes, parts = [], [], []
+    for name, view in (("copa", "V_copa"), ("mrpc", "V_pairs"), ("emotion", "V_emotion")):
+        views.append(view)
+        ctes.append((f"n_{name}", f"select count(*) as n from {view}"))
+        for shot in SHOTS:
+            p = f"fs_{name}_{shot}"
+            ctes.append((f"{p}_src", f"select id, label, least({shot}, greatest((select n from n_{name}) - 2, 0)) as req from {view}"))
+            ctes += SC.sql_stratified(p, f"{p}_src", "req", SEED, f"b11:{name}", ["id"], "label")
+            parts.append(f"select {shot} as shot, id, label, '{name}' as dataset from {p}_take")
+    return with_ctes(views, ctes, " union all ".join(parts))
+
+
+register("few_shot_sets", _b11_sets_sql())(_b11_sets)
+
 
 def _b12(spark, root):
     s = V(spark, root).story().select("id", (F.col("answer_right_ending") - 1).alias("label"))

@@ -216,20 +216,21 @@ def _d10(spark, root):
     rows = [(d, t) for d, t in PROMPTS.items()]
     tpl = spark.createDataFrame(rows, "dataset string, template string")
     slots = tpl.select("dataset", F.regexp_extract_all("template", F.lit(r"\{\{\s*(\w+)\s*\}\}"), 1).alias("slots"))
-    inputs = EV.eval_inputs(V(spark, root))
-    counts = reduce(lambda a, b: a.unionByName(b), [
-        inputs[d].agg(F.countDistinct("id").alias("n_examples")).select(F.lit(d).alias("dataset"), "n_examples") for d in PROMPTS
-    ])
+    counts = EV.example_counts(V(spark, root), SEED, 0, list(PROMPTS))
     return slots.join(counts, "dataset")
 
 
-_d10_views = [v for d in PROMPTS for v in EVAL_INPUT_SQL[d][1]]
-_d10_ctes = [(f"e_{d}", EVAL_INPUT_SQL[d][0]) for d in PROMPTS]
+def _count_sql(datasets) -> str:
+    """Examples of the sets, by their built statements."""
+    return " union all ".join(f"select {q(d)} as dataset, count(*) as n_examples from l_{d} where cand_idx = 0" for d in datasets)
+
+
+_d10_views, _d10_ctes = eval_ctes(list(PROMPTS))
 register(
     "prompt_slots",
     with_ctes(_d10_views, _d10_ctes + [
         ("tpl", "select * from (values " + ", ".join(f"({q(d)}, {q(t)})" for d, t in PROMPTS.items()) + ") t(dataset, template)"),
-        ("cnt", " union all ".join(f"select {q(d)} as dataset, count(distinct id) as n_examples from e_{d}" for d in PROMPTS)),
+        ("cnt", _count_sql(PROMPTS)),
     ], "select tpl.dataset, regexp_extract_all(template, '\\{\\{\\s*(\\w+)\\s*\\}\\}', 1) as slots, n_examples "
        "from tpl join cnt on cnt.dataset = tpl.dataset"),
 )(_d10)
@@ -382,8 +383,7 @@ register(
 
 def random_rows(spark, root):
     """Random baseline of the seven sets: ``dataset, model, n_examples, accuracy``."""
-    sets = EV.eval_inputs(V(spark, root))
-    counts = reduce(lambda a, b: a.unionByName(b), [d.agg(F.count(F.lit(1)).alias("n_examples")).select(F.lit(k).alias("dataset"), "n_examples") for k, d in sets.items()])
+    counts = EV.example_counts(V(spark, root), SEED)
     return SCR.random_baseline(counts, EV.SET_SIZES).select("dataset", "model", "n_examples", "accuracy")
 
 
@@ -391,14 +391,11 @@ def _f10(spark, root):
     return random_rows(spark, root).withColumn("accuracy", F.round("accuracy", 6))
 
 
+_v, _c = eval_ctes(DATASETS)
 register(
     "random_baseline",
-    with_ctes(
-        [v for _, vs in EVAL_INPUT_SQL.values() for v in vs],
-        [(f"e_{d}", sql) for d, (sql, _) in EVAL_INPUT_SQL.items()],
-        " union all ".join(
-            f"select '{d}' as dataset, 'random' as model, (select count(*) from e_{d}) as n_examples, round(CAST(1 AS DOUBLE) / {k}, 6) as accuracy"
-            for d, k in (("copa", 2), ("mrpc", 2), ("amazon_p", 2), ("figqa", 2), ("storycloze", 2), ("yahoo", 10), ("emotion", 6))
-        ),
-    ),
+    with_ctes(_v, _c + [("cnt", _count_sql(DATASETS))], (
+        "select dataset, 'random' as model, n_examples, round(CAST(1 AS DOUBLE) / k, 6) as accuracy from cnt join (values "
+        "('copa', 2), ('mrpc', 2), ('amazon_p', 2), ('figqa', 2), ('storycloze', 2), ('yahoo', 10), ('emotion', 6)) s(dataset, k) using (dataset)"
+    )),
 )(_f10)

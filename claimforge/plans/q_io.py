@@ -20,13 +20,37 @@ from claimforge.plans.q_runs import MAX_TOKENS, MS, R6, RES_COLS, RUN_DATASETS,
 from claimforge.plans.sqlviews import sql_hash, with_ctes
 from claimforge.session import materialize, scratch_path
 from claimforge.sources import results as IO
-from claimforge.sources.tables import source, split_of
+from claimforge.sources.tables import declare, load_splits, source, split_of, with_class_names
 
 register("scan_split", "select doc_id, lang, n_chars from documents where lang = 'en'")(
     lambda s, r: split_of(source(s, r, "documents"), "en", "lang").select("doc_id", "lang", "n_chars")
 )
 
 
+LANGUAGES = ["de", "en", "es", "fr"]
+
+
+def _a1_splits(s, r):
+    """Two of three splits of a table that is written by split, its schema checked, labels named."""
+    base = scratch_path(s, "splits")
+    docs = source(s, r, "documents")
+    label = F.array_position(F.array(*[F.lit(x) for x in LANGUAGES]), F.coalesce("lang", F.lit(""))).cast("int") - 1
+    third = F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    shaped = docs.select(F.struct("doc_id", "source").alias("origin"), F.length("text").alias("size"), label.alias("label"), third.alias("split"))
+    shaped.write.partitionBy("split").parquet(f"{base}/by_language.parquet")
+    declare("by_language", "origin struct<doc_id: bigint, source: string>, size int, label int", {"label": LANGUAGES})
+    got = with_class_names(load_splits(s, base, "by_language", ["train", "test"]), "by_language")
+    return got.select(F.col("origin.doc_id").alias("doc_id"), F.col("origin.source").alias("source"), "size", "label", "label_name", "split")
+
+
+register(
+    "load_splits",
+    "select doc_id, source, cast(length(text) as int) as size, cast(coalesce(list_position(['de', 'en', 'es', 'fr'], coalesce(lang, '')), 0) - 1 as int) as label, "
+    "case when lang in ('de', 'en', 'es', 'fr') then lang end as label_name, case doc_id % 3 when 0 then 'train' else 'test' end as split "
+    "from documents where doc_id % 3 in (0, 2)",
+)(_a1_splits)
+
+
 def _write_results(s, r):
     base = scratch_path(s, "results")
     data = IO.write_results(r6(results(s, r)), os.path.join(base, "pooled.csv"))
@@ -140,20 +164,23 @@ register("fit_scorer", _f2_sql())(_f2)
 
 
 def _a8(s, r):
+    """The scorers of two runs, stored by number and loaded again: every score is the same."""
     train, _ = _corpus_split(s, r)
-    model = SCR.fit_scorer(train)
-    path = scratch_path(s, "scorer")
-    SCR.save_scorer(model, path)
-    loaded = SCR.load_scorer(path)
-    ev = _eval_long(s, r, ["copa"])
-    keys = ["dataset", "example_id", "cand_idx"]
-    fitted = SCR.model_scorer(model)(ev).select(*keys, F.col("p_true").alias("p_fitted"))
-    both = SCR.model_scorer(loaded)(ev).select(*keys, "p_true").join(fitted, keys)
-    return both.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_statements"), F.count_if(F.col("p_true") == F.col("p_fitted")).alias("n_same"))
+    store = SCR.ScorerStore(s, scratch_path(s, "scorers"))
+    ev, keys = _eval_long(s, r, ["copa"]), ["dataset", "example_id", "cand_idx"]
+    parts = []
+    for run, iterations in ((0, 20), (1, 3)):
+        model = SCR.fit_scorer(train, max_iter=iterations)
+        store.save(model, run)
+        fitted = SCR.model_scorer(model)(ev).select(*keys, F.col("p_true").alias("p_fitted"))
+        both = SCR.model_scorer(store.load(run))(ev).select(*keys, "p_true").join(fitted, keys)
+        parts.append(both.withColumn("run", F.lit(run)))
+    same = F.count_if(F.col("p_true") == F.col("p_fitted")).alias("n_same")
+    return S.union_all(parts).groupBy("run", "dataset").agg(F.count(F.lit(1)).alias("n_statements"), same)
 
 
 _a8_views, _a8_ctes = eval_ctes(["copa"])
 register(
     "save_load_scorer",
-    with_ctes(_a8_views, _a8_ctes, "select dataset, count(*) as n_statements, count(*) as n_same from long_all group by dataset"),
+    with_ctes(_a8_views, _a8_ctes, "select run, dataset, count(*) as n_statements, count(*) as n_same from long_all cross join (values (0), (1)) t(run) group by run, dataset"),
 )(_a8)

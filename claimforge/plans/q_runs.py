@@ -227,31 +227,48 @@ def _series(s, r):
 
 
 def _h8(s, r):
-    out = R.savgol(_series(s, r), ["dataset", "shot"], "SPC", "Mean", 7, 5)
-    return r6(out, ("std", "Mean_smoothed"))
-
-
-def _savgol_sql(order: int, extra_select: str = "", value_cols=("Mean", "std", "Mean_smoothed")):
-    H = R.hat_matrix(7, order)
-    hat = ", ".join(f"({i}, {k}, CAST('{repr(H[i][k])}' AS DOUBLE))" for i in range(7) for k in range(7))
-    ctes = [
+    out = R.savgol(_series(s, r), ["dataset", "shot"], "SPC", "Mean", 7, 5, places=6)
+    return r6(out, ("std",))
+
+
+# The oracle states the weights of a fit to seven points itself.  Degree 5 leaves out the sixth difference
+# (1, -6, 15, -20, 15, -6, 1), of square 924; degree 3 is the table of the cubic, over 42.
+_SIXTH = [1, -6, 15, -20, 15, -6, 1]
+_CUBIC = [
+    [39, 8, -4, -4, 1, 4, -2],
+    [8, 19, 16, 6, -4, -7, 4],
+    [-4, 16, 19, 12, 2, -4, 1],
+    [-4, 6, 12, 14, 12, 6, -4],
+    [1, -4, 2, 12, 19, 16, -4],
+    [4, -7, -4, 6, 16, 19, 8],
+    [-2, 4, 1, -4, -4, 8, 39],
+]
+
+
+def _savgol_sql(order: int):
+    weights, below = (_CUBIC, 42) if order == 3 else ([[924 * (i == k) - a * b for k, b in enumerate(_SIXTH)] for i, a in enumerate(_SIXTH)], 924)
+    hat = ", ".join(f"({i}, {k}, {v})" for i, row in enumerate(weights) for k, v in enumerate(row))
+    unit = below * 1000  # of sums of values at 9 places, for 6 places
+    return [
         ("sg0", "select dataset, shot, SPC, Mean, std from res where model = 'org/base' and PPC = 5 and excluded is null and Mean is not null"),
         ("sg1", "select *, row_number() over (partition by dataset, shot order by SPC) - 1 as i, count(*) over (partition by dataset, shot) as n from sg0"),
         ("sg2", "select *, least(greatest(i - 3, 0), n - 7) as base from sg1"),
         ("hat", f"select * from (values {hat}) t(r, k, w)"),
         ("sg3", (
-            "select a.dataset, a.shot, a.SPC, sum(h.w * b.Mean) as sm from sg2 a join hat h on h.r = a.i - a.base "
+            "select a.dataset, a.shot, a.SPC, sum(h.w * cast(round(b.Mean * 1000000000) as bigint)) as sm from sg2 a join hat h on h.r = a.i - a.base "
             "join sg1 b on b.dataset = a.dataset and b.shot = a.shot and b.i = a.base + h.k where a.n >= 7 "
             "group by a.dataset, a.shot, a.SPC"
         )),
-        ("sg4", "select a.dataset, a.shot, a.SPC, a.Mean, a.std, s.sm as Mean_smoothed from sg1 a left join sg3 s using (dataset, shot, SPC)"),
+        ("sg4", (
+            f"select a.dataset, a.shot, a.SPC, a.Mean, a.std, sign(s.sm) * cast((2 * abs(s.sm) + {unit}) // {2 * unit} as double) / 1000000 as Mean_smoothed "
+            "from sg1 a left join sg3 s using (dataset, shot, SPC)"
+        )),
     ]
-    return ctes
 
 
 register(
     "savgol_smooth",
-    rsql("select dataset, shot, SPC, Mean, round(std, 6) as std, round(Mean_smoothed, 6) as Mean_smoothed from sg4",
+    rsql("select dataset, shot, SPC, Mean, round(std, 6) as std, Mean_smoothed from sg4",
          _savgol_sql(5)),
 )(_h8)
 
@@ -261,13 +278,13 @@ def _h8_deltas(s, r):
     deltas = R.baseline_delta(results(s, r), _baseline(s, r)).filter(
         (F.col("model") == "org/base") & (F.col("PPC") == 5) & F.col("excluded").isNull() & F.col("delta").isNotNull()
     )
-    out = R.savgol(deltas.select("dataset", "shot", "SPC", "delta"), ["dataset", "shot"], "SPC", "delta", 7, 3)
-    return r6(out, ("delta", "delta_smoothed"))
+    out = R.savgol(deltas.select("dataset", "shot", "SPC", "delta"), ["dataset", "shot"], "SPC", "delta", 7, 3, places=6)
+    return r6(out, ("delta",))
 
 
 register(
     "savgol_smooth_deltas",
-    rsql("select dataset, shot, SPC, round(Mean, 6) as delta, round(Mean_smoothed, 6) as delta_smoothed from sg4",
+    rsql("select dataset, shot, SPC, round(Mean, 6) as delta, Mean_smoothed as delta_smoothed from sg4",
          [("bl", _BASE_SQL),
           ("dl", "select r.dataset, r.shot, r.SPC, r.Mean - b.accuracy as Mean, r.std from res r join (select * from (select *, row_number() over "
                  "(partition by shot, dataset order by accuracy nulls last) as rn_ from bl) where rn_ = 1) b using (shot, dataset) "
@@ -278,14 +295,14 @@ register(
 
 
 def _e12(s, r):
-    sm = R.savgol(_series(s, r), ["dataset", "shot"], "SPC", "Mean", 7, 5)
+    sm = R.savgol(_series(s, r), ["dataset", "shot"], "SPC", "Mean", 7, 5, places=6)
     out = R.confidence_band(sm, "Mean_smoothed", "std")
-    return r6(out.select("dataset", "shot", "SPC", "Mean_smoothed", "upper", "lower"), ("Mean_smoothed", "upper", "lower"))
+    return r6(out.select("dataset", "shot", "SPC", "Mean_smoothed", "upper", "lower"), ("upper", "lower"))
 
 
 register(
     "confidence_band",
-    rsql("select dataset, shot, SPC, round(Mean_smoothed, 6) as Mean_smoothed, round(Mean_smoothed + std, 6) as upper, "
+    rsql("select dataset, shot, SPC, Mean_smoothed, round(Mean_smoothed + std, 6) as upper, "
          "round(Mean_smoothed - std, 6) as lower from sg4", _savgol_sql(5)),
 )(_e12)
 

@@ -9,7 +9,7 @@ histogram-based operators must reproduce row for row.
 from __future__ import annotations
 
 from claimforge.operators import builders as B
-from claimforge.operators.corpus import RECIPES, _chosen
+from claimforge.operators.corpus import RECIPES, template_choice
 from claimforge.operators.templates import CLASS_NAMES
 from claimforge.plans.sqlviews import q, sql_draw, sql_hash
 
@@ -288,7 +288,7 @@ def sql_task_statements(task: str, n: int, ppc: int, seed) -> list[tuple[str, st
     r = RECIPES[task]
     ctes = [(f"{p}_src", SQL_PREP[task])]
     ctes += sql_resize(p, f"{p}_src", n, seed, f"samp:{task}")
-    ctes += sql_build(p, task, seed, _chosen(seed, task, r.template_set, ppc), n)
+    ctes += sql_build(p, task, seed, template_choice(seed, task, r.template_set, ppc), n)
     return ctes
 
 

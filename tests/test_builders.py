@@ -117,3 +117,20 @@ def test_materialized_statements_cut_lineage_to_sources(views):
     files = cap_statements(st, 100, 5).inputFiles()
     # the capped corpus reads only the written statements, never documents / part again
     assert files and all("/tables/statements-" in f or "/tables/cuts-" in f for f in files)
+
+
+def test_suspect_negatives_share_a_character_with_an_answer(spark):
+    from claimforge.functions.draws import py_draw
+
+    context = "the cat sat on the mat and the cat ran"
+    df = spark.createDataFrame([(i, i, context, "q", (["cat", "mat", ""],)) for i in range(300)], "sample_idx long, source_id long, context string, question string, answers struct<text: array<string>>")
+    got = {r["sample_idx"]: r for r in B.build_span(df, "s", [(0, "${3}")], "context", "question", seed=5, flag=True).collect()}
+    places = [(p, p + 3) for a in ("cat", "mat") for p in range(len(context)) if context.startswith(a, p)]
+    seen = set()
+    for i, r in got.items():
+        n = py_draw(5, "spanlen:s", i) % (len(context) // 4 + 1)
+        lo = py_draw(5, "spanstart:s", i) % max(len(context) - n, 1)
+        want = r["is_true"] == 0 and any(lo < q and p < lo + n for p, q in places if n)
+        assert r["is_suspect_negative"] == want and (r["is_true"] or r["statement"] == context[lo:lo + n])
+        seen.add((r["is_true"], want))
+    assert seen == {(0, True), (0, False), (1, False)}

@@ -79,3 +79,42 @@ def test_render_prompt_and_rejects_expressions(spark):
 
     with pytest.raises(ValueError):
         render_prompt("{{[a, b]|join(' ')}}")
+
+
+def test_filled_word_count_is_that_of_the_filled_text(spark):
+    import random
+
+    from claimforge.functions.text import fill_template, filled_word_count, holds_placeholder
+
+    rng = random.Random(4)
+    pieces = ["a", "bc", " ", "", "\t", "x y", " z", "w ", "\n\nq", "$", "\u00a0", "."]
+    rows = [tuple("".join(rng.choice(pieces) for _ in range(rng.randrange(4))) for _ in range(2)) for _ in range(150)] + [(None, "a")]
+    df = spark.createDataFrame(rows, "u string, v string")
+    for template in ["${1} is ${2}", "${1}${2}", "a${1}b${2}c", " ${2} ", "no slot", "${1}: ${3}?", "${1}${1} ${2}${9}"]:
+        values = [F.col("u"), F.col("v"), "new topic"]
+        filled = fill_template(template, [F.lit(v) if isinstance(v, str) else v for v in values])
+        got = df.select("u", "v", filled_word_count(template, values).alias("got"), word_count(filled).alias("want")).collect()
+        assert all(r["got"] == r["want"] or "${1}" not in template and r["want"] is None for r in got)
+        mixed = [shuffle_words("u", 1, "s", F.col("v")), shuffle_words("v", 2, "s", F.col("u")), F.lit("new topic")]
+        got = df.filter("v is not null and u is not null").select(
+            filled_word_count(template, values, True).alias("got"), word_count(fill_template(template, mixed)).alias("want")).collect()
+        assert all(r["got"] == r["want"] for r in got)
+    odd = spark.createDataFrame([("a ${2}",), ("a {2}",), ("",)], "u string")
+    assert [r[0] for r in odd.select(holds_placeholder(["u"])).collect()] == [True, False, False]
+
+
+def test_short_examples_are_those_with_short_statements(spark):
+    from claimforge.operators import evalsets as EV
+
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(k, t, c, 0) for k, (t, c) in enumerate([("a", words(n)) for n in range(10, 30)] + [("${2} x", words(9)), ("${3}${3}", words(12)), (None, "b"), (" ", "")])]
+    df = spark.createDataFrame(rows, "id long, title string, content string, label int")
+    names = ["law", "fine  art", " odd "]
+    for shuffle in (False, True):
+        every = EV.eval_class_candidates(df, ["title", "content"], names, 1, 0, shuffle, "yahoo")
+        most = every.groupBy("example_id").agg(F.max(word_count("statement")).alias("n"), F.count("statement").alias("built"))
+        for limit in (18, 24, 32):
+            want = sorted(r["example_id"] for r in most.filter((F.col("n") < limit) & (F.col("built") == 3)).collect())
+            got = EV.short_examples(df, ["title", "content"], names, 1, 0, shuffle, "yahoo", limit)
+            assert sorted(r["id"] for r in got.collect()) == want and got.columns == df.columns
+            assert 0 < len(want) < len(rows) or limit == 32

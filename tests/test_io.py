@@ -71,3 +71,50 @@ def test_read_wide_baseline_renames_full_column(spark):
     _write(os.path.join(root, "size_ablation.csv"), "eval_set,model,full_shot,shot_0\ncopa,base,80.5%,50%\n")
     df = IO.read_wide_baseline(spark, os.path.join(root, "size_ablation.csv"))
     assert df.columns == ["eval_set", "model", "full_3000_shot", "shot_0"]
+
+
+def test_splits_with_a_declared_schema(spark, tmp_path):
+    import pytest
+
+    from claimforge.sources import tables as T
+
+    df = spark.range(30).selectExpr("id", "named_struct('text', array('a', 'b'), 'more', 1) as answers", "cast(id % 4 - 1 as int) as label", "concat('s', id % 3) as split", "1 as other")
+    df.write.partitionBy("split").parquet(f"{tmp_path}/qa.parquet")
+    T.declare("qa", "id bigint, answers struct<text: array<string>>, label int", {"label": ["no", "yes"]})
+    got = T.load_splits(spark, str(tmp_path), "qa", ["s0", "s2"])
+    assert got.columns == ["id", "answers", "label", "split"] and got.count() == 20
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "split" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    names = {(r["label"], r["label_name"]) for r in T.with_class_names(got, "qa").collect()}
+    assert names == {(-1, None), (0, "no"), (1, "yes"), (2, None)}
+    with pytest.raises(ValueError):
+        T.load_splits(spark, str(tmp_path), "qa", ["s0", "s9"])
+    for wrong in ("id int", "id bigint, gone string", "answers struct<text: array<int>>", "answers struct<none: int>", "label struct<x: int>"):
+        T.declare("qa", wrong)
+        with pytest.raises(T.SchemaError):
+            T.load_splits(spark, str(tmp_path), "qa", "s0")
+
+
+def test_scorer_store_reads_whole_versions_only(spark, tmp_path):
+    import os
+
+    import pytest
+
+    from claimforge.operators import scoring as SCR
+
+    train = spark.createDataFrame([(f"good {k}" if k % 2 else f"bad {k}", k % 2) for k in range(40)], "statement string, is_true int")
+    first, second = (SCR.fit_scorer(train, 64, steps) for steps in (1, 8))
+    store = SCR.ScorerStore(spark, f"{tmp_path}/store")
+    assert store.runs() == []
+    store.save(first, 3)
+    at = store.save(second, 3)
+    store.save(first, 1)
+    os.makedirs(f"{tmp_path}/store/run=3/99999999999999999999-cut/model")  # a save that did not end
+    os.makedirs(f"{tmp_path}/store/run=7/1-cut/model")
+    assert store.runs() == [1, 3] and len(store.versions(3)) == 2
+    score = lambda m: [r["p_true"] for r in SCR.model_scorer(m)(train).orderBy("statement").collect()]
+    assert score(store.load(3)) == score(second) != score(first) == score(store.load(1))
+    assert at.endswith(store.versions(3)[-1]) and score(store.load(3, store.versions(3)[0])) == score(first)
+    for run, version in ((7, None), (3, "none")):
+        with pytest.raises(FileNotFoundError):
+            store.load(run, version)

@@ -63,6 +63,25 @@ def test_savgol_matches_polynomial_fit(spark, n):
         assert np.allclose(got, _np_savgol(y, 7, order), atol=1e-9)
 
 
+def test_smoothing_weights_are_exact():
+    below, rows = R.hat_matrix(7, 3)
+    assert (below, rows[3]) == (42, (-4, 6, 12, 14, 12, 6, -4)) and rows[0] == (39, 8, -4, -4, 1, 4, -2)
+    for window, order in ((5, 2), (7, 5), (9, 4), (11, 3)):
+        below, rows = R.hat_matrix(window, order)
+        x = np.vander(np.arange(window, dtype=float) - window // 2, order + 1)
+        assert np.allclose(np.array(rows) / below, x @ np.linalg.pinv(x), atol=1e-9)
+        assert all(sum(row) == below for row in rows)  # a constant stays
+
+
+def test_smoothing_rounds_halves_away_from_zero(spark):
+    # weights of a line through three points: (5, 2, -1) / 6 at the first
+    df = spark.createDataFrame([("a", 0, 0.5), ("a", 1, 0.0), ("a", 2, 0.1), ("b", 0, -0.5), ("b", 1, 0.0), ("b", 2, -0.1)], "k string, i int, y double")
+    got = {r["k"]: r["s"] for r in R.savgol(df, ["k"], "i", "y", 3, 1, "s", places=1).filter("i = 0").collect()}
+    assert got == {"a": 0.4, "b": -0.4}
+    half = spark.createDataFrame([("c", 0, 0.06), ("c", 1, 0.0), ("c", 2, 0.0)], "k string, i int, y double")
+    assert [r["s"] for r in R.savgol(half, ["k"], "i", "y", 3, 1, "s", places=1).orderBy("i").collect()] == [0.1, 0.0, 0.0]
+
+
 def test_savgol_short_series_is_null_and_cubic_unchanged(spark):
     df = spark.createDataFrame([("s", i, float(i)) for i in range(6)], "k string, spc int, y double")
     assert all(r["y_s"] is None for r in R.savgol(df, ["k"], "spc", "y", 7, 3, "y_s").collect())

@@ -113,3 +113,31 @@ def test_take_first_plan_windows_by_group_and_bucket(spark):
     plan = S.take_first(df, hash_key(1, "p", "id"), ["id"], 10, ["g"])._jdf.queryExecution().executedPlan().toString()
     # the data-sized window is hash-partitioned by (group, bucket), never a single partition
     assert "hashpartitioning(g#" in plan and "_cf_b" in plan
+
+
+def test_split_flag_is_the_head_of_the_order(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 10).alias("k")).repartition(5)
+    order = hash_key(9, "x", "id")
+    for share in (0.0, 0.001, 0.1, 1.0):
+        flagged = S.split_flag(df, share, 9, "x", ["id"])
+        n = math.ceil(round(3000 * share, 9))
+        want = [r["id"] for r in df.orderBy(order, "id").limit(n).collect()]
+        assert sorted(r["id"] for r in flagged.filter("is_test").collect()) == sorted(want)
+        assert "Join" not in flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert S.split_flag(df.limit(0), 0.5, 9, "x", ["id"]).count() == 0
+
+
+def test_folds_have_exact_sizes_and_whole_groups(spark):
+    df = spark.range(1003).select("id", (F.col("id") % 57).alias("g"))
+    sizes = {r["fold"]: r["count"] for r in S.fold_of(df, [0.2, 0.3], 1, "f", ["id"]).groupBy("fold").count().collect()}
+    assert sizes == {0: 201, 1: 502 - 201, 2: 501}
+    folds = S.fold_of(df, [0.25, 0.25, 0.25], 1, "f", ["id"], group="g").select("g", "fold").distinct().collect()
+    assert len(folds) == 57 and sorted({r["fold"] for r in folds}) == [0, 1, 2, 3]
+
+
+def test_few_shot_sets_match_single_draws(spark):
+    df = spark.range(400).select("id", (F.col("id") % 5 == 0).cast("int").alias("label"))
+    sets = S.few_shot_sets(df, [10, 64, 500], 3, "fs")
+    for shot, n in ((10, 10), (64, 64), (500, 398)):
+        want = sorted(map(tuple, S.stratified_exact(df, n, 3, "fs", ["id"], "label").select("id", "label").collect()))
+        assert sorted(map(tuple, sets.filter(F.col("shot") == shot).drop("shot").collect())) == want
