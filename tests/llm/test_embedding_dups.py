@@ -69,3 +69,10 @@ def test_every_linked_pair_is_in_range_of_a_block():
     cos = np.einsum("ij,ij->i", x, y)
     near = np.add.reduceat((ed.rotated(x) - ed.rotated(y)) ** 2, ed.block_starts(64), axis=1) <= ed.budgets(64, ed.COSINE)
     assert near[cos >= ed.COSINE].any(axis=1).all() and (cos >= ed.COSINE).sum() > 500
+
+
+def test_very_long_and_short_vectors(spark):
+    rows = [(1, 0, [1e200, 0.0]), (2, 0, [1e300, 1e298]), (3, 0, [5e-324, 0.0]), (4, 0, [1e-200, 1e-203]), (5, 0, [0.0, 1e-300]), (6, 0, [3.0, 0.1]), (7, 0, [0.0, 0.0]), (8, 0, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in ed.near_vectors(df).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (0, 5), 6: (4, 1), 7: (0, 7), 8: (0, 8)}
