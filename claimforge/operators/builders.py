@@ -30,6 +30,11 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def _fill(template: str | None, values) -> Column:
+    """``fill_template``; a template of None (only keys are wanted) makes no text."""
+    return F.lit(None).cast("string") if template is None else fill_template(template, values)
+
+
 def is_positive(seed, task: str) -> Column:
     """positive/negative with p = 1/2, one draw per sampled row."""
     return draw_mod(seed, f"pol:{task}", 2, "sample_idx") == 0
@@ -77,8 +82,8 @@ def pick_wrong(seed, salt: str, n_options, truth: Column) -> Column:
 def build_pair_compare(df, task, pos_templates, neg_templates, columns, label="label", seed=42):
     """Every row with every positive template (label kept) and negative template (1 - label)."""
     vals = [_c(c) for c in columns]
-    items = [(i, fill_template(t, vals), F.lit(True).alias("pos")) for i, t in pos_templates]
-    items += [(100 + i, fill_template(t, vals), F.lit(False).alias("pos")) for i, t in neg_templates]
+    items = [(i, _fill(t, vals), F.lit(True).alias("pos")) for i, t in pos_templates]
+    items += [(100 + i, _fill(t, vals), F.lit(False).alias("pos")) for i, t in neg_templates]
     x = df.select("*", F.inline(_items(df, items)))
     lab = _c(label).cast("int")
     return _finish(x, task, F.col("pos"), F.when(F.col("pos"), lab).otherwise(1 - lab))
@@ -93,7 +98,7 @@ def build_multiple_choice(df, task, templates, question, answers, label, offset=
     x = df.withColumn("_opt", opt)
     ans = F.element_at(F.array(*[_c(a) for a in answers]), F.col("_opt").cast("int") + 1)
     x = x.withColumn("_ans", ans)
-    items = [(i, fill_template(t, [_c(question), F.col("_ans")])) for i, t in templates]
+    items = [(i, _fill(t, [_c(question), F.col("_ans")])) for i, t in templates]
     if blank_fill:
         items.append((BLANK_ID, F.replace(_c(question), F.lit("_"), F.col("_ans"))))
     x = _explode(x, items)
@@ -113,7 +118,7 @@ def build_class_template(df, task, templates_by_class, text_columns, label="labe
     vals = [_c(c) for c in text_columns]
     choice = None
     for c in range(k):
-        arr = _items(df, [(c * 100 + i, fill_template(t, vals)) for i, t in templates_by_class[c]])
+        arr = _items(df, [(c * 100 + i, _fill(t, vals)) for i, t in templates_by_class[c]])
         choice = F.when(cls == c, arr) if choice is None else choice.when(cls == c, arr)
     x = df.withColumn("_pos", pos).select("*", F.inline(choice))
     return _finish(x, task, F.col("_pos"), F.col("_pos"))
@@ -146,7 +151,7 @@ def build_shifted_answer(df, task, templates, question, answer, n_sample, seed=4
     x = x.filter(F.col("_pos") | F.col("_next").isNotNull()).withColumn("_other", F.col("_next")["v"])
     ans = F.when(F.col("_pos"), _c(answer)).otherwise(F.col("_other"))
     x = x.withColumn("_ans", ans)
-    x = _explode(x, [(i, fill_template(t, [_c(question), F.col("_ans")])) for i, t in templates])
+    x = _explode(x, [(i, _fill(t, [_c(question), F.col("_ans")])) for i, t in templates])
     return _finish(x, task, F.col("_pos"), F.col("_pos"))
 
 
@@ -173,7 +178,7 @@ def build_span(df, task, templates, context, question, answers="answers", seed=4
     if flag:
         suspect = ~F.col("_pos") & (span > 0) & F.exists(F.col(answers)["text"], met)
         x = x.withColumn("is_suspect_negative", F.coalesce(suspect, F.lit(False)))
-    x = _explode(x, [(i, fill_template(t, [_c(context), _c(question), F.col("_ans")])) for i, t in templates])
+    x = _explode(x, [(i, _fill(t, [_c(context), _c(question), F.col("_ans")])) for i, t in templates])
     return _finish(x, task, F.col("_pos"), F.col("_pos"), ["is_suspect_negative"] * flag)
 
 
@@ -184,7 +189,7 @@ def build_binary_class(df, task, templates, text, class_names, label="label", se
     names = F.array(*[F.lit(n) for n in class_names])
     name = F.element_at(names, F.when(pos, lab).otherwise(1 - lab) + 1)
     x = df.withColumn("_pos", pos).withColumn("_ans", name)
-    x = _explode(x, [(i, fill_template(t, [_c(text), F.col("_ans")])) for i, t in templates])
+    x = _explode(x, [(i, _fill(t, [_c(text), F.col("_ans")])) for i, t in templates])
     return _finish(x, task, F.col("_pos"), F.col("_pos"))
 
 
@@ -195,7 +200,7 @@ def build_multi_class(df, task, templates, text, class_names, label="label", see
     wrong = pick_wrong(seed, f"wrong:{task}", len(class_names), lab)
     names = F.array(*[F.lit(n) for n in class_names])
     x = df.withColumn("_pos", pos).withColumn("_ans", F.element_at(names, F.when(pos, lab).otherwise(wrong).cast("int") + 1))
-    x = _explode(x, [(i, fill_template(t, [_c(text), F.col("_ans")])) for i, t in templates])
+    x = _explode(x, [(i, _fill(t, [_c(text), F.col("_ans")])) for i, t in templates])
     return _finish(x, task, F.col("_pos"), F.col("_pos"))
 
 
@@ -205,7 +210,7 @@ def build_substitution(df, task, templates, sentence, pronoun, candidates, label
     lab = _c(label).cast("int")
     cand = F.element_at(_c(candidates), F.when(pos, lab).otherwise(1 - lab) + 1)
     x = df.withColumn("_pos", pos).withColumn("_ans", cand)
-    items = [(i, fill_template(t, [_c(sentence), _c(pronoun), F.col("_ans")])) for i, t in templates]
+    items = [(i, _fill(t, [_c(sentence), _c(pronoun), F.col("_ans")])) for i, t in templates]
     items.append((BLANK_ID, replace_word(_c(sentence), _c(pronoun), F.col("_ans"))))
     x = _explode(x, items)
     return _finish(x, task, F.col("_pos"), F.col("_pos"))
@@ -223,7 +228,7 @@ def build_lettered_choice(df, task, groups, seed=42, n_letters=8):
     slot_values = {"g1": [fq, letter], "g2": [fq, text], "g3": [fact, q, text], "g4": [fact, fq, letter]}
     items = []
     for gi, g in enumerate(["g1", "g2", "g3", "g4"]):
-        items += [(gi * 100 + i, fill_template(t, slot_values[g])) for i, t in groups.get(g, [])]
+        items += [(gi * 100 + i, _fill(t, slot_values[g])) for i, t in groups.get(g, [])]
     x = _explode(x, items)
     return _finish(x, task, F.col("_pos"), F.col("_pos"))
 
@@ -234,9 +239,9 @@ def build_distractor(df, task, groups, seed=42):
     pick = draw_mod(seed, f"distract:{task}", 3, "sample_idx")
     dis = F.element_at(F.array("distractor1", "distractor2", "distractor3"), pick.cast("int") + 1)
     x = df.withColumn("_pos", pos).withColumn("_ans", F.when(pos, F.col("correct_answer")).otherwise(dis))
-    items = [(i, fill_template(t, [F.col("question"), F.col("_ans")])) for i, t in groups.get("g1", [])]
+    items = [(i, _fill(t, [F.col("question"), F.col("_ans")])) for i, t in groups.get("g1", [])]
     items += [
-        (100 + i, fill_template(t, [F.col("support"), F.col("question"), F.col("_ans")])) for i, t in groups.get("g2", [])
+        (100 + i, _fill(t, [F.col("support"), F.col("question"), F.col("_ans")])) for i, t in groups.get("g2", [])
     ]
     x = _explode(x, items)
     return _finish(x, task, F.col("_pos"), F.col("_pos"))
@@ -254,5 +259,5 @@ def build_cloze_options(df, task, templates, seed=42, n_options=4):
     idx = F.when(pos, key).otherwise(pick_wrong(seed, f"cloze:{task}", n_options, key))
     opt = F.get(F.col("options"), idx.cast("int"))
     x = df.withColumn("_pos", pos).withColumn("_q", F.replace(F.col("question"), F.lit("_"), opt))
-    x = _explode(x, [(i, fill_template(t, [F.col("article"), F.col("_q")])) for i, t in templates])
+    x = _explode(x, [(i, _fill(t, [F.col("article"), F.col("_q")])) for i, t in templates])
     return _finish(x, task, F.col("_pos"), F.col("_pos"))

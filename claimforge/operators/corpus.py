@@ -181,6 +181,7 @@ def sample_runs(views: TaskViews, tasks, n, seeds, write=True) -> dict[tuple, Da
         return F.array(*[F.struct(F.lit(s).cast("string").alias(_SEED), F.lit(t).alias(_TASK), *more(t)) for s in seeds for t in some])
 
     plain = union_all([rows.select(F.col("id").cast("bigint").alias("id"), F.array(*[F.lit(t) for t in own]).alias("own")) for own, rows in sources])
+    plain = materialize_df(plain, "ids")  # views are joined and filtered once for all that follows
     counted = plain.select(F.explode("own").alias(_TASK)).groupBy(_TASK).count().collect()
     sizes = {r[_TASK]: r["count"] for r in counted}
     if empty := [t for t in tasks if not sizes.get(t)]:
@@ -214,14 +215,20 @@ def sample_runs(views: TaskViews, tasks, n, seeds, write=True) -> dict[tuple, Da
     return out
 
 
-def built(sample: dict[str, DataFrame], n, ppc, seed) -> DataFrame:
-    """The statements of all sampled tasks."""
-    return union_all([_build(t, RECIPES[t], df, template_choice(seed, t, RECIPES[t].template_set, ppc), seed, n) for t, df in sample.items()])
+def built(sample: dict[str, DataFrame], n, ppc, seed, texts=True) -> DataFrame:
+    """The statements of all sampled tasks (C2-C14); without ``texts``, their other columns."""
+    parts = []
+    for t, df in sample.items():
+        chosen = template_choice(seed, t, RECIPES[t].template_set, ppc)
+        if not texts:
+            chosen = {g: [(i, None) for i, _ in ts] for g, ts in chosen.items()}
+        parts.append(_build(t, RECIPES[t], df, chosen, seed, n))
+    return union_all(parts)
 
 
 def statement_keys(sample: dict[str, DataFrame], n, ppc, seed) -> DataFrame:
     """Keys of all statements, written once; no text is read or made."""
-    return materialize_df(built(sample, n, ppc, seed).select(*KEYS), "statement-keys")
+    return materialize_df(built(sample, n, ppc, seed, texts=False).select(*KEYS), "statement-keys")
 
 
 def chosen_statements(sample: dict[str, DataFrame], chosen: DataFrame, n, ppc, seed, value: str | None = None) -> DataFrame:

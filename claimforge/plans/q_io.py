@@ -74,7 +74,7 @@ register("scan_results_dir", rsql(f"select {R6(MS, RES_COLS)}, 'plain' as varian
 def _a5(s, r):
     _, data = _write_results(s, r)
     shuffled = IO.write_results(r6(results(s, r)), data.replace("pooled.csv", "shuffled"), variant="shuffled", fmt="parquet", partition_by=("model", "SPC"))
-    plain = s.read.schema(f"{IO.RESULT_SCHEMA}, variant string").option("header", True).csv(data)
+    plain = s.read.schema(f"{IO.RESULT_SCHEMA}, variant string").options(header=True, escape='"').csv(data)
     return plain.unionByName(s.read.parquet(shuffled).select(*plain.columns))
 
 

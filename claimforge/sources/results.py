@@ -1,10 +1,11 @@
 """Result, speed and baseline files: sinks (A5, A6) and directory scans (A2, A3, A4).
 
 Result tables are written as CSV datasets (one folder per experiment, many part
-files, written in parallel).  Directories are read as lines: each file's header line names
-its fields, so files may differ in column order, lack columns or carry more (an unnamed
-index column, say), and every value is taken by name in one scan of all files.  ``file`` (from ``_metadata``) identifies the experiment a row
-came from, which gives duplicate keys a defined order.
+files, written in parallel).  In a directory each file's header names its fields, so files may
+differ in column order, lack columns or carry more (an unnamed index column, say), and every
+value is taken by name in one scan of all files.  Result files are read as CSV records, whose quoted
+values may hold commas, quotes and line breaks; speed files, of numbers, as lines.  ``file`` (from
+``_metadata``) identifies the experiment a row came from, which gives duplicate keys a defined order.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def write_results(df: DataFrame, path: str, mode: str = "overwrite", variant: st
     """
     out = df if "variant" in df.columns else df.withColumn("variant", F.lit(variant))
     writer = out.select(*RESULT_COLUMNS, "variant").write.mode(mode).partitionBy(*partition_by)
-    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+    (writer.options(header=True, escape='"') if fmt == "csv" else writer).format(fmt).save(path)
     return path
 
 
@@ -45,6 +46,20 @@ def _named_lines(spark: SparkSession, path: str, is_header, **options) -> DataFr
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("file"),
     ).filter("size(v) > 1 OR v[0] <> ''")
+    return _by_name(lines, is_header)
+
+
+def _named_records(spark: SparkSession, path: str, is_header, **options) -> DataFrame:
+    """``file, fields`` as of ``_named_lines``, of CSV records (a doubled quote stands for one)."""
+    reader = spark.read.options(**options)
+    width = reader.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1  # no record has more fields
+    reader = reader.options(header=False, multiLine=True, quote='"', escape='"')
+    records = reader.schema(", ".join(f"_c{i} string" for i in range(width))).csv(path)
+    fields = F.array(*[F.coalesce(F.trim(f"_c{i}"), F.lit("")) for i in range(width)])
+    return _by_name(records.select(fields.alias("v"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file")), is_header)
+
+
+def _by_name(lines: DataFrame, is_header) -> DataFrame:
     lines = lines.withColumn("head", is_header(F.col("v")))
     names = F.transform("v", lambda c, i: F.when(c == "", F.concat(F.lit("_c"), i.cast("string"))).otherwise(c))
     heads = lines.filter("head").groupBy("path").agg(F.first(names).alias("names"))  # one row per file
@@ -65,7 +80,7 @@ def scan_results_dir(spark: SparkSession, root: str, pattern: str = "*.csv") ->
     lacks is NULL in its rows.
     """
     is_header = lambda v: F.array_contains(v, "dataset") & F.array_contains(v, "Mean")
-    rows = _named_lines(spark, root, is_header, recursiveFileLookup=True, pathGlobFilter=pattern)
+    rows = _named_records(spark, root, is_header, recursiveFileLookup=True, pathGlobFilter=pattern)
     columns = [c.split() for c in RESULT_SCHEMA.split(", ")]
     variant = F.coalesce(_value("variant", "string"), F.lit("plain")).alias("variant")
     return rows.select(*[_value(c, t) for c, t in columns], variant, "file")

@@ -36,6 +36,20 @@ def test_scan_results_by_name_with_index_column_and_other_orders(spark):
     assert (r["dataset"], r["Mean"], r["excluded"], r["SPC"], r["std"], r["speed"]) == ("co,pa", 0.5, "a,b", 1000, None, None)
 
 
+def test_scan_results_with_line_breaks_and_quotes(spark):
+    root = tempfile.mkdtemp(prefix="cf-results-")
+    _write(os.path.join(root, "1.csv"), 'model,dataset,Mean,excluded\n"m\nbase","co""pa",0.5,"a,\nb"\nplain,mrpc,0.25,\n')
+    _write(os.path.join(root, "2.csv"), 'Mean,excluded,dataset,shot,model\n0.75,None,"x\n\ny",32,"q ""r"""\n')
+    rows = {r["Mean"]: r for r in IO.scan_results_dir(spark, root).collect()}
+    assert (rows[0.5]["model"], rows[0.5]["dataset"], rows[0.5]["excluded"]) == ("m\nbase", 'co"pa', "a,\nb")
+    assert (rows[0.25]["model"], rows[0.25]["excluded"], rows[0.25]["shot"]) == ("plain", None, None)
+    assert (rows[0.75]["model"], rows[0.75]["dataset"], rows[0.75]["shot"], rows[0.75]["excluded"]) == ('q "r"', "x\n\ny", "32", None)
+    out = os.path.join(tempfile.mkdtemp(prefix="cf-out-"), "r.csv")
+    IO.write_results(IO.scan_results_dir(spark, root).drop("file", "variant"), out)
+    again = {r["Mean"]: r["model"] for r in IO.scan_results_dir(spark, os.path.dirname(out)).collect()}
+    assert again == {k: r["model"] for k, r in rows.items()}
+
+
 def test_scan_speed_files_with_other_column_orders(spark):
     root = tempfile.mkdtemp(prefix="cf-speeds-")
     _write(os.path.join(root, "a-speeds.csv"), ",copa,mrpc\nm1,1.0,2.0\n")
