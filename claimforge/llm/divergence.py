@@ -37,8 +37,8 @@ MIN_DOCS = 30
 TOP = 50
 SCALE = 1_000_000_000
 PRIOR = 5
-SLICE_BYTES = 8 << 20
-MOST_ROWS = 1 << 20  # sums that a task holds before it hands them on
+SLICE_BYTES = 4 << 20
+MOST_ROWS = 1 << 19  # sums that a task holds before it hands them on
 SALTS = 64
 BLOCK = 256
 MATRIX_TERMS = 512
