@@ -22,7 +22,8 @@ in a label grows with the square of its nodes; what is moved does not, up to chu
 
 Defined results: null labels, null, empty, zero or non-finite vectors, null components and
 null ids link with nothing and stay; vectors of unequal length never link; rows that repeat
-a vector are linked with one another; ties keep the smallest id.
+a vector are linked with one another; ties keep the smallest id; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations

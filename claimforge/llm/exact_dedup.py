@@ -9,7 +9,7 @@
    the map side and never meet in one task.
 4. All other digests, each below ``support`` of the rows, take an ordinary shuffle.
 
-Defined results: a null text counts as empty; a null id never beats another id; rows
+Defined results: of equal texts the smallest id stays; a null text counts as empty; a null id never beats another id; rows
 that repeat an id with the same text share one verdict, and ``drop_copies`` keeps one
 of them; an empty table gives an empty result; the input's other columns may have any names.
 """

@@ -23,7 +23,8 @@
 
 Defined results: null, empty and text-free pages give an empty text; broken markup is read as
 browsers do (open elements end with their parents; text after an unclosed script is its code);
-null urls are one host; repeated rows each get the same text.
+null urls are one host; pages that tie in url are in the order of a digest, and repeated rows each get the same
+text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ kept if it is a base span or the classifier gives it 0.5 or more.
 
 The texts are read once; positions count code points, ends are exclusive.  Defined results:
 null and empty texts have no spans; a table without candidates needs no model.  All patterns
-are linear in the text: none starts inside a run that it has already failed on.
+are linear in the text: none starts inside a run that it has already failed on.  Repeated rows are worked
+each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ the same merges from a heap.
 
 The ids of a text are packed as little-endian unsigned 32-bit integers (binary), with
 begin and end ids.  Defined results: null and empty texts encode to the begin and end
-ids alone and decode to the empty string.
+ids alone and decode to the empty string; repeated rows are encoded each; a text without white space
+is one unit of any length; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

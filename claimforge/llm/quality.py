@@ -14,7 +14,8 @@ on up to ``CALIBRATION_ROWS`` further rows give a logistic calibration.  Only la
 *Score.*  Every whole text, per Arrow batch: words are hashed once per distinct word.
 
 Defined results: null and empty texts have no features and get the calibrated bias;
-without labels of both classes every score is the known share of label 1 (0.5 with none).
+without labels of both classes every score is the known share of label 1 (0.5 with none); of rows that repeat a labelled id the
+least text trains, and every row is scored; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

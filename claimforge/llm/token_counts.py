@@ -8,7 +8,8 @@ batches of about ``batch_bytes``, and only lengths leave the encoder.  That the
 vocabulary drops white space is checked when it is loaded.
 
 Defined results: null or empty text has 0 bytes and 0 tokens; repeated rows are
-counted each.
+counted each; a text without white space is one piece; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
