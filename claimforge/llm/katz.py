@@ -40,9 +40,9 @@ from claimforge.llm.common import byte_slices, cut, fold_bucket, mix64, release,
 
 K = 5
 FOLDS = 10
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 WORDS_A_PART = 1 << 20
-TOKENS_A_PART = 3 << 20
+TOKENS_A_PART = 2 << 20
 SPLIT = 1 << 20
 END = "\n"  # no word
 START = 0  # the context of a first token; words have ids from 1
