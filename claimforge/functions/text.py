@@ -1,12 +1,17 @@
-"""Column-level text helpers (all JVM-side built-in expressions)."""
+"""Column-level text helpers: JVM-side built-in expressions, but for the word shuffle, which runs on Arrow batches."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 
 # Word separators used by word counting and word shuffling (ASCII whitespace).
@@ -44,25 +49,73 @@ def word_count(text) -> Column:
     return F.regexp_count(_col(text), F.lit(WORD_PATTERN))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 12, 13, 32]] = True  # the bytes of WS_PATTERN
+_SHUFFLE_BYTES = 2 << 20  # texts that are shuffled at once, so that a worker holds little beside its batch
+
+
+def _row_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, offsets): row k of the bytes has the words ``offsets[k]`` to ``offsets[k + 1]``."""
+    space = np.append(_SPACE[data], True)
+    row = np.zeros(len(data) + 1, bool)
+    row[bounds] = True
+    starts = np.flatnonzero(~space[:-1] & (np.append(True, space[:-2]) | row[:-1]))
+    ends = np.flatnonzero(~space[:-1] & (space[1:] | row[1:])) + 1
+    return starts, ends, np.searchsorted(starts, bounds)
+
+
+def _shuffled(data: np.ndarray, bounds: np.ndarray, digests: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds) of the rows' words in the order of their keys."""
+    starts, ends, offsets = _row_words(data, bounds)
+    counts = np.diff(offsets)
+    base = np.repeat(offsets[:-1], counts)
+    i = np.arange(len(starts)) - base
+    a, b = (np.repeat(np.array([int(h[k : k + 8], 16) for h in digests], np.int64), counts) for k in (0, 8))
+    left, right = (a + i * 2654435761) % 2147483647, (b + i * 40503) % 2147483629
+    key = left * right % 2147483587 << 32 | i  # 31 bits of key, and the position
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        key[lo:hi].sort()
+    pick = (key & 0xFFFFFFFF) + base
+    sizes = (ends - starts)[pick] + 1  # with the space after the word
+    last = offsets[1:][counts > 0] - 1
+    sizes[last] -= 1
+    stops = np.cumsum(sizes)
+    out = np.append(data, np.uint8(32))[np.arange(sizes.sum()) + np.repeat(starts[pick] - (stops - sizes), sizes)]
+    out[np.delete(stops, last) - 1] = 32
+    return out, np.append(0, stops)[offsets]
+
+
+def _shuffle_array(texts: pa.Array, keys: pa.Array, prefix: str) -> pa.Array:
+    plain = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, offsets, data = plain.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[plain.offset : plain.offset + len(plain) + 1] if len(plain) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    digests = [hashlib.md5((prefix if k is None else f"{prefix}:{k}").encode()).hexdigest() for k in keys.to_pylist()]
+    parts, bounds, lo = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)], 0
+    while lo < len(plain):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _SHUFFLE_BYTES, side="right")) - 1)
+        out, rows = _shuffled(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], digests[lo:hi])
+        parts.append(out)
+        bounds.append(rows[1:] + bounds[-1][-1])
+        lo = hi
+    buffers = [pa.py_buffer(np.concatenate(x)) for x in (bounds, parts)]
+    out = pa.Array.from_buffers(pa.large_string(), len(plain), [None, *buffers])
+    return pc.if_else(texts.is_null(), pa.scalar(None, pa.large_string()), out).cast(pa.string())
+
+
 def shuffle_words(text, seed, salt: str, key) -> Column:
     """Seeded word shuffle: order words by a key mixed from md5(seed:salt:key) and their position, join by one space.
 
-    One md5 per text; a word's key is a product of two position-dependent residues of it.
+    One md5 per text; a word's key is a product of two position-dependent residues of it.  Runs on Arrow batches:
+    lambda functions over arrays of words are interpreted word by word on the JVM.
     """
-    w = words(text)
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), _col(key).cast("string")))
-    a, b = (F.conv(F.substring(h, k, 8), 16, 10).cast("bigint") for k in (1, 9))
-
-    def shuffled(r):  # r holds what is the same for all words, so that it is worked out once
-        def keyed(x, i):
-            left = (r["a"] + i.cast("bigint") * F.lit(2654435761)) % F.lit(2147483647)
-            right = (r["b"] + i.cast("bigint") * F.lit(40503)) % F.lit(2147483629)
-            return F.struct((left * right % F.lit(2147483587)).alias("h"), i.alias("i"), x.alias("w"))
+    prefix = f"{seed}:{salt}"
 
-        return F.array_join(F.transform(F.array_sort(F.transform(r["w"], keyed)), lambda s: s["w"]), " ")
+    @arrow_udf("string")
+    def shuffled(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        return _shuffle_array(texts, keys, prefix)
 
-    row = F.struct(a.alias("a"), b.alias("b"), w.alias("w"))
-    return F.get(F.transform(F.array(row), shuffled), 0)
+    return shuffled(_col(text), _col(key).cast("string"))
 
 
 def java_regex_quote(s: Column) -> Column:

@@ -1,9 +1,13 @@
 """Column helpers: draws, template filling, text utilities, formatting."""
 
 import hashlib
+import random
+import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from claimforge.functions import text as text_functions
 from claimforge.functions import (
     draw,
     fill_template,
@@ -49,6 +53,30 @@ def test_replace_word_quotes_pattern_and_replacement(spark):
     assert out[1] == "see (a.b) here"
 
 
+def _shuffled(text, prefix):
+    h = hashlib.md5(prefix.encode()).hexdigest()
+    a, b = int(h[:8], 16), int(h[8:16], 16)
+    words = [w for w in re.split("[ \t\n\r\f]+", text) if w]
+    key = lambda i: ((a + i * 2654435761) % 2147483647 * ((b + i * 40503) % 2147483629) % 2147483587, i)
+    return " ".join(words[i] for i in sorted(range(len(words)), key=key))
+
+
+def test_shuffle_runs_on_batches_with_the_same_order(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = ["", " ", None, "\u000b", " a", "a ", "\r\n"] + ["".join(rng.choice("ab \t\n\r\f\u000bä\u2003😀\x85") for _ in range(rng.randrange(80))) for _ in range(300)]
+    df = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "id long, t string").repartition(3)
+    got = df.select("id", "t", shuffle_words("t", 42, "s", F.col("id")).alias("o"))
+    # no lambda function over the words, which the JVM interprets word by word
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        assert r["o"] == (None if r["t"] is None else _shuffled(r["t"], "42:s" if r["id"] is None else f"42:s:{r['id']}"))
+    # slices of a batch are put together again
+    monkeypatch.setattr(text_functions, "_SHUFFLE_BYTES", 100)
+    array = text_functions._shuffle_array(pa.array(texts)[2:], pa.array([str(i) for i in range(len(texts))])[2:], "p")
+    assert array.to_pylist() == [None if t is None else _shuffled(t, f"p:{i}") for i, t in enumerate(texts)][2:]
+    assert text_functions._shuffle_array(pa.array([], pa.string()), pa.array([], pa.string()), "p").to_pylist() == []
+
+
 def test_word_count_and_shuffle(spark):
     df = spark.createDataFrame([(1, "  one two\tthree\nfour  "), (2, ""), (3, None)], "id long, t string")
     rows = {r["id"]: r for r in df.select("id", word_count("t").alias("n"), shuffle_words("t", 42, "s", F.col("id")).alias("sh")).collect()}
