@@ -17,6 +17,7 @@ from __future__ import annotations
 import time
 import uuid
 
+from itertools import takewhile
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -176,6 +177,38 @@ def model_scorer(model):
     return apply
 
 
+def _settings(stage) -> tuple[str, dict]:
+    """What a stage without learned state does."""
+    return type(stage).__name__, {p.name: v for p, v in stage.extractParamMap().items()}
+
+
+def model_scorers(models: dict):
+    """Scorer from several fitted pipelines, in one pass over the statements: for each a column of its key's name
+    with its probability of class 1.
+
+    The tokens and term frequencies that pipelines begin with have no learned state: models that make them alike
+    share them, so a statement is split and hashed once.  What is learned (IDF weights, classifier) is each model's own.
+    """
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+
+    def apply(df: DataFrame) -> DataFrame:
+        out, made, shared, columns = df, None, [], list(df.columns)
+        for name, model in models.items():
+            first = list(takewhile(lambda s: isinstance(s, (RegexTokenizer, HashingTF)), model.stages))
+            if made != (wanted := [_settings(s) for s in first]):
+                out, made, shared = out.drop(*shared), wanted, [s.getOutputCol() for s in first]
+                for stage in first:
+                    out = stage.transform(out)
+            for stage in model.stages[len(first):]:
+                out = stage.transform(out)
+            columns.append(name)
+            out = out.withColumn(name, vector_to_array("probability")[1]).select(*columns, *shared)
+        return out.drop(*shared)
+
+    return apply
+
+
 def save_scorer(model, path: str) -> None:
     """Persist a fitted scorer (overwrite)."""
     model.write().overwrite().save(path)

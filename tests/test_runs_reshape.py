@@ -139,3 +139,22 @@ def test_fit_save_load_scorer_roundtrip(spark, tmp_path):
     p = {r["statement"]: r["p_true"] for r in SCR.model_scorer(loaded)(test).collect()}
     assert set(test.columns) | {"p_true"} == set(SCR.model_scorer(loaded)(test).columns)
     assert p["the sky is blue now"] > 0.5 > p["the sky is green now"]
+
+
+def test_scorers_share_one_pass_and_keep_their_own_state(spark, tmp_path):
+    rows = [(f"the sky is blue {i}", 1) for i in range(20)] + [(f"the sky is green {i}", 0) for i in range(20)]
+    train = spark.createDataFrame(rows, "statement string, is_true int")
+    first, second = (SCR.fit_scorer(train, num_features=1 << 10, max_iter=n) for n in (10, 2))
+    third = SCR.fit_scorer(train.filter("statement NOT LIKE '% 1%'"), num_features=1 << 8, max_iter=4)
+    SCR.save_scorer(first, str(tmp_path / "scorer"))
+    models = {"a": first, "a2": SCR.load_scorer(str(tmp_path / "scorer")), "b": second, "c": third}
+    test = spark.createDataFrame([(1, "the sky is blue now"), (2, "The sky: green!"), (2, "The sky: green!"), (None, "")], "id int, statement string")
+    out = SCR.model_scorers(models)(test)
+    assert out.columns == ["id", "statement", *models]
+    for name, model in models.items():
+        alone = [tuple(r) for r in SCR.model_scorer(model)(test).select("id", "statement", "p_true").collect()]
+        assert [tuple(r) for r in out.select("id", "statement", name).collect()] == alone
+    assert len({r["a"] for r in out.collect()} & {r["b"] for r in out.collect()}) == 0
+    # a statement is split into tokens once for the models that do it alike
+    plan = SCR.model_scorers({k: models[k] for k in ("a", "a2", "b")})(test)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(statement") == 1
