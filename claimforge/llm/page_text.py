@@ -32,6 +32,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -104,6 +105,18 @@ def _is_beside(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     return any(w in BESIDE and before not in ("with", "has", "no", "without") for before, w in zip(["", *words], words))  # noqa: B905
 
 
+_MARKS = 1 << 12  # start tags that a worker remembers, and their longest text
+
+
+def _marks(name: str, text: str, in_article: bool) -> tuple[bool, bool]:
+    """(begins an article, is beside one) of a start tag with attributes."""
+    attrs = _attributes(text)
+    return name in ("article", "main") or attrs.get("role") == "main", _is_beside(name, attrs, in_article)
+
+
+_known_marks = lru_cache(_MARKS)(_marks)  # pages repeat their tags
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, place, mostly links) of each text line of a page, in order."""
     lines: list[tuple[str, int, bool]] = []
@@ -179,11 +192,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if name == "option" and stack[-1].name == name or stack[-1].name == "p" and name not in INLINE:
             close(len(stack) - 1)  # ends by itself
         top = stack[-1]
-        attrs = _attributes(m[3]) if m[3] else {}
-        article = top.article or name in ("article", "main") or attrs.get("role") == "main"
-        beside = top.beside or _is_beside(name, attrs, top.article)
+        marks = _known_marks if len(m[3]) < _MARKS else _marks
+        article, beside = marks(name, m[3], top.article)
         opened.setdefault(name, []).append(len(stack))
-        stack.append(_Open(name, beside, article, top.link or name == "a"))
+        stack.append(_Open(name, top.beside or beside, top.article or article, top.link or name == "a"))
     flush()
     return lines
 
@@ -371,21 +383,33 @@ def neighbours(hashed: DataFrame) -> DataFrame:
     return rows.filter("NOT guest").drop("guest")
 
 
+def mark_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page with ``starts`` and ``ends``: no copy of it stands before, or after it.  In URL order a row's pair with
+    the page after it is the next row's with the page before it, and is compared once."""
+    met, same = None, False  # the last two pages compared, by key, and whether they are copies
+
+    def copies(first: dict, second: dict | None) -> bool:
+        nonlocal met, same
+        if not first or not second or first["host"] != second["host"]:
+            return False
+        if met != (pair := (first["key"], second["key"])):  # the next row meets this pair again
+            met, same = pair, are_copies(first, second)
+        return same
+
+    for b in batches:
+        starts, ends = [], []
+        for r in b.to_pylist():
+            starts.append(not copies(r["before"], r))
+            ends.append(not copies(r, r["after"]))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.bool_()), pa.array(ends, pa.bool_())], [*b.schema.names, "starts", "ends"])
+
+
 def past_copies(pairs: DataFrame) -> DataFrame:
     """Each page with ``others``: the pages before and after its run of copies in URL order, then the ends of
     the run (a long run may drift away from the page), then its neighbours."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            starts, ends = [], []
-            for r in b.to_pylist():
-                before, after = ([o] if o and o["host"] == r["host"] else [] for o in (r["before"], r["after"]))
-                starts.append(not any(are_copies(o, r) for o in before))
-                ends.append(not any(are_copies(r, o) for o in after))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.bool_()), pa.array(ends, pa.bool_())], [*b.schema.names, "starts", "ends"])
-
     schema = ", ".join(f"{c} {t}" for c, t in pairs.dtypes)
-    rows = cut(pairs.mapInArrow(run, f"{schema}, starts boolean, ends boolean"), "copy-runs")
+    rows = cut(pairs.mapInArrow(mark_runs, f"{schema}, starts boolean, ends boolean"), "copy-runs")
     place, pick = F.struct("host", "path", "key"), lambda c: F.struct(*[F.col(f"{c}{k}").alias(k) for k in ("host", "path", "key", "lines")])
     opened = F.struct(F.when(F.col("before").isNotNull(), pick("before.")).alias("beyond"), pick("").alias("end"))
     closed = F.struct(F.when(F.col("after").isNotNull(), pick("after.")).alias("beyond"), pick("").alias("end"))

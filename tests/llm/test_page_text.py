@@ -160,3 +160,26 @@ def test_end_tags_count_at_any_depth(n):
 def test_items_end_by_their_own_rules():
     page = "<main><ul><li class=ad>ad<li>one<ul><li>two</ul><li>three</ul><table><tr><td class=ad>ad<td>cell<table><tr><td>inner</table><tr><td>next</table><dl><dt class=ad>ad<dd>text</dl></main>"
     assert [t for t, _, _ in pt.staying_lines(pt.page_lines(page))] == ["one", "two", "three", "cell", "inner", "next", "text"]
+
+
+def test_neighbouring_pages_are_compared_for_copies_once(spark, monkeypatch):
+    rows = [(i, f"http://one.x/{i:02}", f"<p>Page {i // 2}, of a text that comes two times.</p><p>Its end {i}</p>") for i in range(20)]
+    pairs = pt.neighbours(pt.page_hashes(spark.createDataFrame(rows, SCHEMA), "url", "html")).coalesce(1).toArrow().combine_chunks().to_batches()
+    seen, real = [], pt.are_copies
+    monkeypatch.setattr(pt, "are_copies", lambda a, b: seen.append((a["key"], b["key"])) or real(a, b))
+    got = [r for b in pt.mark_runs(iter(pairs)) for r in b.to_pylist()]
+    assert len(got) == 20 and len(seen) == len(set(seen)) == 19
+    for r in got:
+        assert r["starts"] == (not r["before"] or not real(r["before"], r))
+        assert r["ends"] == (not r["after"] or not real(r, r["after"]))
+
+
+def test_marks_of_start_tags_are_read_once(monkeypatch):
+    seen, real = [], pt._is_beside
+    monkeypatch.setattr(pt, "_is_beside", lambda *a: seen.append(a) or real(*a))
+    pt._known_marks.cache_clear()
+    page = "<div class='ad one'><p>x</p></div><div role=main><div class='ad one'>y</div><div class='own'>z</div></div>"
+    lines = [pt.page_lines(page + f"<p>{i}</p>") for i in range(50)]
+    assert lines[0][:-1] == [("x", pt.OUTSIDE, False), ("y", pt.OUTSIDE, False), ("z", pt.ARTICLE, False)] and len(seen) < 10
+    long = f"<div class='ad {'w ' * pt._MARKS}'>x</div>"
+    assert pt.page_lines(long) == pt.page_lines(long) == [("x", pt.OUTSIDE, False)]
